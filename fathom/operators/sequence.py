@@ -209,3 +209,15 @@ def cross_corr(df: DataFrame, rn: str, x: str, y: str, max_lag: int,
     return lags.select(F.col("__l.lag").cast("int").alias("lag"),
                        F.when(F.col("__l.c") > 0, F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)))
                        .alias("acf"))
+
+
+def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out_col: str) -> DataFrame:
+    """1-based position of each row inside its ``by`` group in ``order``.
+
+    With distinct rows this is ``dense_rank``. Computed from the global index and a
+    per-group minimum (an aggregate), so a huge group is still spread over many tasks."""
+    by = list(by)
+    idx = with_row_index(df, [*by, *order], "__gr")
+    first = idx.groupBy(*by).agg(F.min("__gr").alias("__g0"))
+    return (idx.join(first, by) if by else idx.crossJoin(F.broadcast(first))) \
+        .withColumn(out_col, F.col("__gr") - F.col("__g0") + 1).drop("__gr", "__g0")
