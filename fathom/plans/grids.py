@@ -1 +1,327 @@
-"""placeholder"""
+"""Segment detection on echogram grids and what is derived from it
+(SURVEY G1-G9, Q1, Q2, Q3, Q13-Q15).
+
+The oracle runs the mask-only chain (components as segments) because the watershed
+flood has no SQL form; the watershed chain is registered rows-only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fathom.functions import math as M
+from fathom.functions import time as T
+from fathom.operators import aggregates as A
+from fathom.operators import grid as G
+from fathom.operators import relational as R
+from fathom.operators import sequence as S
+from fathom.plans.catalog import query
+from fathom.session import cut_lineage
+from fathom.sources import literals as L
+from fathom.sources.views import v_env, v_grid, with_views
+
+GROUP = ["date"]
+X, Y, V = "datetime", "depth", "Sv_mean"
+SMOOTH_ROWS = 6 * 3 + 1
+SUMMARY_MAX_BOTTOM = 200
+
+
+# ------------------------------------------------------------------ pipeline pieces
+
+
+def dense_grid(spark, sf, group=GROUP, grid: DataFrame | None = None) -> DataFrame:
+    return G.densify(grid if grid is not None else v_grid(spark, sf), group, X, Y, V)
+
+
+def labelled_grid(spark, sf, use_watershed: bool, group=GROUP, grid=None) -> DataFrame:
+    """Dense grid with segment labels, materialised once: segments and layers share it."""
+    return cut_lineage(G.label_grid(dense_grid(spark, sf, group, grid), group, V, use_watershed))
+
+
+def segments(lab: DataFrame, use_watershed: bool, group=GROUP, width_inclusive=True) -> DataFrame:
+    segs = G.segment_stats(lab, group, X, Y, V, include_background=use_watershed)
+    return G.size_filter(segs, width_inclusive=width_inclusive)
+
+
+def with_school_id(segs: DataFrame) -> DataFrame:
+    return segs.withColumn("school_id", M.segment_id("date", "label"))
+
+
+def layers(lab: DataFrame, kept: DataFrame, group=GROUP) -> DataFrame:
+    return G.layer_metrics(lab, kept, group, X, Y, V).withColumn("hour", F.hour("datetime"))
+
+
+def smooth_layers(lay: DataFrame) -> DataFrame:
+    """Q14: 19-row centred mean (replicated ends) over the whole series in time order."""
+    idx = S.with_row_index(lay, ["datetime", "date"], "__rn")
+    return S.moving_mean(idx, "__rn", ["cm", "layertop", "layerbase"], SMOOTH_ROWS).drop("__rn")
+
+
+def daily_summary(kept: DataFrame) -> DataFrame:
+    """Q1: per-day count, backscatter sum, mean and max depth on a calendar spine; dB."""
+    s = kept.filter(F.col("bottom") < SUMMARY_MAX_BOTTOM)
+    per_day = s.groupBy("date").agg(
+        F.count(F.lit(1)).alias("nschools"), F.sum("total").alias("sa"),
+        A.mean_strict("middle").alias("mean_depth"), F.max("bottom").alias("max_depth"))
+    spine = L.date_spine(s, "date")
+    out = spine.join(per_day, "date", "left").withColumns({
+        "nschools": F.coalesce("nschools", F.lit(0)).cast("long"),
+        "sa": F.coalesce("sa", F.lit(0.0))})
+    return out.withColumn("sa_db", M.to_db("sa")).orderBy("date")
+
+
+def migration(smoothed: DataFrame, summary: DataFrame) -> DataFrame:
+    """Q2: noon vs midnight medians of the smoothed layer metrics per day, their
+    differences, and the day's segment summary."""
+    lab = smoothed.withColumn("hourlabel", M.hour_label("hour")).filter(F.col("hourlabel") != "other")
+    med_cm = A.exact_quantiles(lab, "cm_smooth", {"cm": 0.5}, ["date", "hourlabel"])
+    med_top = A.exact_quantiles(lab, "layertop_smooth", {"layertop": 0.5}, ["date", "hourlabel"])
+    keys = lab.select("date", "hourlabel").distinct()
+    long = keys.join(med_cm, ["date", "hourlabel"], "left").join(med_top, ["date", "hourlabel"], "left")
+    wide = A.pivot_wide(long, ["date"], "hourlabel", "cm", ["noon", "midnight"], "cm_").join(
+        A.pivot_wide(long, ["date"], "hourlabel", "layertop", ["noon", "midnight"], "layertop_"), "date")
+    wide = wide.withColumns({"delta_cm": F.col("cm_noon") - F.col("cm_midnight"),
+                             "delta_layertop": F.col("layertop_noon") - F.col("layertop_midnight")})
+    out = wide.join(summary, "date", "left")
+    return out.withColumns({"nschools": F.coalesce("nschools", F.lit(0)).cast("long"),
+                            "sa": F.coalesce("sa", F.lit(0.0)),
+                            "sa_db": M.neg_inf_to_null("sa_db")})
+
+
+def ocean_daily(spark, sf) -> DataFrame:
+    """Q3 (first half): skip-null daily means of the ocean records; NaN upwelling -> NULL."""
+    env = v_env(spark, sf).filter(F.col("date").isNotNull())
+    return env.groupBy("date").agg(A.mean_skip("temperature").alias("temperature"),
+                                   A.mean_skip("upwelling").alias("upwelling"),
+                                   A.mean_skip("sealevel_lowpass").alias("sealevel")) \
+        .withColumn("upwelling", M.nan_to_null("upwelling"))
+
+
+def mask_chain(spark, sf):
+    lab = labelled_grid(spark, sf, use_watershed=False)
+    kept = segments(lab, use_watershed=False)
+    return lab, kept
+
+
+def migration_table(spark, sf) -> DataFrame:
+    lab, kept = mask_chain(spark, sf)
+    return migration(smooth_layers(layers(lab, kept)), daily_summary(kept))
+
+
+# ------------------------------------------------------------------ oracle SQL
+
+_DENSE = """
+  xs AS (SELECT date, datetime, CAST(dense_rank() OVER (PARTITION BY date ORDER BY datetime) AS INTEGER) AS xi
+         FROM (SELECT DISTINCT date, datetime FROM v_grid)),
+  nxs AS (SELECT date, max(xi) AS nx FROM xs GROUP BY date),
+  ys AS (SELECT date, depth, CAST(dense_rank() OVER (PARTITION BY date ORDER BY depth) AS INTEGER) AS yi
+         FROM (SELECT DISTINCT date, depth FROM v_grid)),
+  dense AS (SELECT xs.date, xs.datetime, ys.depth, xs.xi, ys.yi, nxs.nx,
+                   CASE WHEN g.Sv_mean IS NULL OR g.Sv_mean < -90 THEN -90.0 ELSE g.Sv_mean END AS Sv_mean
+            FROM xs JOIN nxs ON xs.date = nxs.date JOIN ys ON xs.date = ys.date
+            LEFT JOIN v_grid g ON g.date = xs.date AND g.datetime = xs.datetime AND g.depth = ys.depth)"""
+
+_COMPS = _DENSE + """,
+  mcell AS (SELECT date, xi, yi, (yi - 1) * nx + xi AS lin FROM dense WHERE Sv_mean > -60),
+  nb(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
+  cc(date, xi, yi, lab) USING KEY (date, xi, yi) AS (
+    SELECT date, xi, yi, lin FROM mcell
+    UNION
+    SELECT n.date, n.xi, n.yi, min(c.lab)
+    FROM cc c CROSS JOIN nb JOIN mcell n ON n.date = c.date AND n.xi = c.xi + nb.dx AND n.yi = c.yi + nb.dy
+    JOIN recurring.cc cur ON cur.date = n.date AND cur.xi = n.xi AND cur.yi = n.yi
+    GROUP BY n.date, n.xi, n.yi HAVING min(c.lab) < min(cur.lab)),
+  comps AS (SELECT date, xi, yi, CAST(dense_rank() OVER (PARTITION BY date ORDER BY lab) AS BIGINT) AS comp FROM cc),
+  labelled AS (SELECT d.*, coalesce(c.comp, 0) AS label FROM dense d
+               LEFT JOIN comps c ON d.date = c.date AND d.xi = c.xi AND d.yi = c.yi),
+  segs AS (SELECT date, label, max(depth) AS bottom, min(depth) AS top, min(xi) AS "left", max(xi) AS "right",
+                  max(yi) - min(yi) + 1 AS height, max(xi) - min(xi) + 1 AS width, count(*) AS npixels,
+                  avg(pow(10.0, Sv_mean / 10)) AS mean, stddev_samp(pow(10.0, Sv_mean / 10)) AS std,
+                  avg(pow(10.0, Sv_mean / 10)) * count(*) AS total, min(datetime) AS start_time,
+                  (max(depth) + min(depth)) / 2 AS middle
+           FROM labelled WHERE label > 0 GROUP BY date, label),
+  kept AS (SELECT * FROM segs WHERE npixels > 2 AND npixels < 1000 AND width <= 12)"""
+
+_LAYERS = _COMPS + """,
+  blank AS (SELECT l.*, CASE WHEN k.label IS NOT NULL THEN 0.0 ELSE pow(10.0, l.Sv_mean / 10) END AS sv
+            FROM labelled l LEFT JOIN kept k ON l.date = k.date AND l.label = k.label),
+  cum AS (SELECT *, sum(sv) OVER (PARTITION BY date, xi ORDER BY yi ROWS UNBOUNDED PRECEDING) AS cd,
+                 sum(sv) OVER (PARTITION BY date, xi ORDER BY yi DESC ROWS UNBOUNDED PRECEDING) AS cu FROM blank),
+  layers AS (SELECT date, min(datetime) AS datetime,
+                    CASE WHEN sum(sv) <> 0 THEN sum(sv * depth) / sum(sv) ELSE 'NaN'::DOUBLE END AS cm,
+                    min(CASE WHEN cd > 1e-6 THEN depth END) AS layertop,
+                    max(CASE WHEN cu > 1e-6 THEN depth END) AS layerbase,
+                    CAST(hour(min(datetime)) AS INTEGER) AS hour
+             FROM cum GROUP BY date, xi)"""
+
+
+def _smooth_sql(c: str) -> str:
+    full = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+    return (f"CASE WHEN count({c}) OVER w = count(*) OVER w THEN (sum({c}) OVER w"
+            f" + greatest(0, 10 - rn) * first_value({c}) OVER (ORDER BY rn {full})"
+            f" + greatest(0, rn + 9 - N) * last_value({c}) OVER (ORDER BY rn {full})) / 19 END AS {c}_smooth")
+
+
+_SUMMARY = _LAYERS + f""",
+  sk AS (SELECT * FROM kept WHERE bottom < {SUMMARY_MAX_BOTTOM}),
+  days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM sk),
+  per_day AS (SELECT date, count(*) AS nschools, sum(total) AS sa,
+                     CASE WHEN count(middle) = count(*) THEN avg(middle) END AS mean_depth,
+                     max(bottom) AS max_depth FROM sk GROUP BY date),
+  summary AS (SELECT days.date, coalesce(p.nschools, 0) AS nschools, coalesce(p.sa, 0.0) AS sa,
+                     p.mean_depth, p.max_depth,
+                     CASE WHEN coalesce(p.sa, 0.0) = 0 THEN '-Infinity'::DOUBLE ELSE 10 * log10(coalesce(p.sa, 0.0)) END AS sa_db
+              FROM days LEFT JOIN per_day p ON days.date = p.date),
+  lr AS (SELECT *, row_number() OVER (ORDER BY datetime, date) AS rn, count(*) OVER () AS N FROM layers),
+  smoothed AS (SELECT date, datetime, cm, layertop, layerbase, hour, {_smooth_sql("cm")}, {_smooth_sql("layertop")},
+                      {_smooth_sql("layerbase")}
+               FROM lr WINDOW w AS (ORDER BY rn ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING)),
+  hl AS (SELECT *, CASE WHEN hour IN (12, 13, 14) THEN 'noon' WHEN hour IN (0, 1, 2) THEN 'midnight'
+                        ELSE 'other' END AS hourlabel FROM smoothed),
+  mig0 AS (SELECT date, hourlabel, quantile_cont(cm_smooth, 0.5) AS cm, quantile_cont(layertop_smooth, 0.5) AS layertop
+           FROM hl WHERE hourlabel <> 'other' GROUP BY date, hourlabel),
+  mig1 AS (SELECT date, max(CASE WHEN hourlabel = 'noon' THEN cm END) AS cm_noon,
+                  max(CASE WHEN hourlabel = 'midnight' THEN cm END) AS cm_midnight,
+                  max(CASE WHEN hourlabel = 'noon' THEN layertop END) AS layertop_noon,
+                  max(CASE WHEN hourlabel = 'midnight' THEN layertop END) AS layertop_midnight
+           FROM mig0 GROUP BY date),
+  migration AS (SELECT m.*, m.cm_noon - m.cm_midnight AS delta_cm, m.layertop_noon - m.layertop_midnight AS delta_layertop,
+                       coalesce(s.nschools, 0) AS nschools, coalesce(s.sa, 0.0) AS sa, s.mean_depth, s.max_depth,
+                       CASE WHEN s.sa_db = '-Infinity'::DOUBLE THEN NULL ELSE s.sa_db END AS sa_db
+                FROM mig1 m LEFT JOIN summary s ON m.date = s.date)"""
+
+_OCEAN = _SUMMARY + """,
+  oc AS (SELECT date, avg(temperature) AS temperature,
+                CASE WHEN isnan(avg(upwelling)) THEN NULL ELSE avg(upwelling) END AS upwelling,
+                avg(sealevel_lowpass) AS sealevel
+         FROM v_env WHERE date IS NOT NULL GROUP BY date),
+  ocean AS (SELECT oc.temperature, oc.upwelling, oc.sealevel, m.* FROM oc RIGHT JOIN migration m ON oc.date = m.date)"""
+
+
+def grid_sql(body: str, cte: str = _COMPS, views=("v_grid",)) -> str:
+    return with_views(f"WITH RECURSIVE {cte}\n{body}", *views)
+
+
+# ------------------------------------------------------------------ queries
+
+
+@query("densify", ops="G1 W11 P12", sql=grid_sql(
+    "SELECT date, datetime, depth, xi, yi, nx, Sv_mean FROM dense", _DENSE))
+def q_densify(spark, sf):
+    return dense_grid(spark, sf).select("date", "datetime", "depth", "xi", "yi", "nx", "Sv_mean")
+
+
+@query("grid_mask", ops="G2 M1", sql=grid_sql("""
+    SELECT date, xi, yi, Sv_mean > -60 AS mask, pow(10.0, Sv_mean / 10) AS sv FROM dense""", _DENSE))
+def q_grid_mask(spark, sf):
+    return G.with_mask(dense_grid(spark, sf), V).select("date", "xi", "yi", "mask",
+                                                       M.from_db(V).alias("sv"))
+
+
+@query("components", ops="G3", sql=grid_sql("SELECT date, xi, yi, comp FROM comps"))
+def q_components(spark, sf):
+    return G.components(G.with_mask(dense_grid(spark, sf), V), GROUP)
+
+
+@query("watershed", ops="G4")
+def q_watershed(spark, sf):
+    return labelled_grid(spark, sf, use_watershed=True).select("date", "xi", "yi", "label")
+
+
+@query("segment_stats", ops="A11 G5 J9 J10 A8", sql=grid_sql("SELECT * FROM segs"))
+def q_segment_stats(spark, sf):
+    lab = labelled_grid(spark, sf, use_watershed=False)
+    return G.segment_stats(lab, GROUP, X, Y, V, include_background=False)
+
+
+@query("segment_filter", ops="G6 M8", sql=grid_sql(
+    "SELECT *, CAST(date AS VARCHAR) || '-S' || CAST(label AS VARCHAR) AS school_id FROM kept"))
+def q_segment_filter(spark, sf):
+    _, kept = mask_chain(spark, sf)
+    return with_school_id(kept)
+
+
+@query("center_of_mass", ops="G7 A12 P9", sql=grid_sql(
+    "SELECT date, datetime, cm FROM layers", _LAYERS))
+def q_center_of_mass(spark, sf):
+    lab, kept = mask_chain(spark, sf)
+    return layers(lab, kept).select("date", "datetime", "cm")
+
+
+@query("layer_edges", ops="W7 O2", sql=grid_sql(
+    "SELECT date, datetime, layertop, layerbase FROM layers", _LAYERS))
+def q_layer_edges(spark, sf):
+    lab, kept = mask_chain(spark, sf)
+    return layers(lab, kept).select("date", "datetime", "layertop", "layerbase")
+
+
+@query("layer_metrics", ops="G8 D8", sql=grid_sql("SELECT * FROM layers", _LAYERS))
+def q_layer_metrics(spark, sf):
+    lab, kept = mask_chain(spark, sf)
+    return layers(lab, kept)
+
+
+@query("daily_summary", ops="Q1 P6 A1 A2 A3 A5 S9 J1 P14 M2 O1", sql=grid_sql(
+    "SELECT * FROM summary ORDER BY date", _SUMMARY))
+def q_daily_summary(spark, sf):
+    _, kept = mask_chain(spark, sf)
+    return daily_summary(kept)
+
+
+@query("smoothed_layers", ops="Q14 W1 W10", sql=grid_sql(
+    "SELECT date, datetime, cm, layertop, layerbase, hour, cm_smooth, layertop_smooth, layerbase_smooth FROM smoothed",
+    _SUMMARY))
+def q_smoothed_layers(spark, sf):
+    lab, kept = mask_chain(spark, sf)
+    return smooth_layers(layers(lab, kept))
+
+
+@query("migration", ops="Q2 P15 A6 A20 J2 J3 P14 M6", sql=grid_sql("SELECT * FROM migration", _SUMMARY))
+def q_migration(spark, sf):
+    return migration_table(spark, sf)
+
+
+@query("environment_join", ops="Q3 P10 A4 P14 J4", sql=grid_sql(
+    "SELECT * FROM ocean", _OCEAN, views=("v_grid", "v_env")))
+def q_environment_join(spark, sf):
+    return ocean_daily(spark, sf).join(migration_table(spark, sf), "date", "right")
+
+
+# -- the reference's own chain: watershed segments (rows-only: no SQL form for the flood)
+
+
+@query("detect_segments", ops="Q13 G9 G4 M8")
+def q_detect_segments(spark, sf):
+    lab = labelled_grid(spark, sf, use_watershed=True)
+    return with_school_id(segments(lab, use_watershed=True))
+
+
+@query("detect_layers", ops="Q13 G9 Q14")
+def q_detect_layers(spark, sf):
+    lab = labelled_grid(spark, sf, use_watershed=True)
+    return smooth_layers(layers(lab, segments(lab, use_watershed=True)))
+
+
+@query("watershed_summary", ops="Q1 G9")
+def q_watershed_summary(spark, sf):
+    lab = labelled_grid(spark, sf, use_watershed=True)
+    return daily_summary(segments(lab, use_watershed=True))
+
+
+@query("detect_demo", ops="Q15 P4")
+def q_detect_demo(spark, sf):
+    """The demo crop as ONE image (no per-day grouping): a time window and depth < 300,
+    width < 12; ``date`` is the crop's first date."""
+    g = v_grid(spark, sf)
+    lo, hi = "1996-01-01 00:00:00", "1996-04-01 00:00:00"
+    crop = g.filter(R.between_open("datetime", F.lit(lo).cast("timestamp_ntz"),
+                                   F.lit(hi).cast("timestamp_ntz")) & (F.col("depth") < 300))
+    one = crop.withColumn("__img", F.lit(0))
+    lab = labelled_grid(spark, sf, use_watershed=True, group=["__img"], grid=one.drop("date"))
+    segs = segments(lab, use_watershed=True, group=["__img"], width_inclusive=False)
+    first = crop.agg(F.min(F.to_date("datetime")).alias("date"))
+    return R.with_scalar(segs, first).drop("__img").withColumn("school_id", M.segment_id("date", "label"))
+
+
+_ = T  # time helpers are used through the views

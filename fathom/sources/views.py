@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def v_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Echogram cells: (date, datetime, depth, Sv_mean) from lineitem."""
+    """Echogram cells: (date, datetime, depth, Sv_mean) from lineitem: one image per ship
+    month, pings at ship date + 2 h x line number, depth = 10 x quantity."""
     li = table(spark, sf_dir, "lineitem")
+    ping = F.timestamp_add("HOUR", F.col("l_linenumber") * 2, F.col("l_shipdate"))
     return (li.groupBy(month_start("l_shipdate").alias("date"),
-                       F.col("l_shipdate").alias("datetime"),
+                       ping.alias("datetime"),
                        (F.col("l_quantity") * 10).alias("depth"))
             .agg((F.avg("l_extendedprice") / F.lit(7e10)).alias("__sv"))
             .select("date", "datetime", "depth",
@@ -74,7 +76,8 @@ def v_env(spark: SparkSession, sf_dir: str) -> DataFrame:
 # DuckDB twins of the views, inlined as CTEs by the oracle SQL.
 SQL = {
     "v_grid": """
-        SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date, l_shipdate AS datetime,
+        SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
+               l_shipdate + to_hours(l_linenumber * 2) AS datetime,
                l_quantity * 10 AS depth, 10 * log10(avg(l_extendedprice) / 7e10) AS Sv_mean
         FROM lineitem GROUP BY 1, 2, 3""",
     "v_count": """
@@ -104,6 +107,8 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with ``WITH`` clauses defining the named views."""
     ctes = ",\n".join(f"{n} AS ({SQL[n]})" for n in names)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
