@@ -35,16 +35,17 @@ def _moment_aggs(tag: str, y: str, xs: Sequence[str]) -> list[Column]:
 
 def _solve(tag: str, y: str, xs: Sequence[str]) -> Column:
     c = lambda s: F.col(f"{tag}__{s}")
+    div = F.try_divide   # a constant predictor or response gives NULL, not an error
     if len(xs) == 1:
-        b1 = c("c0y") / c("v0")
+        b1 = div(c("c0y"), c("v0"))
         b2 = F.lit(None).cast("double")
-        r2 = c("c0y") * c("c0y") / (c("v0") * c("vy"))
+        r2 = div(c("c0y") * c("c0y"), c("v0") * c("vy"))
         b0 = c("my") - b1 * c("m0")
     elif len(xs) == 2:
         det = c("v0") * c("v1") - c("c01") * c("c01")
-        b1 = (c("c0y") * c("v1") - c("c1y") * c("c01")) / det
-        b2 = (c("c1y") * c("v0") - c("c0y") * c("c01")) / det
-        r2 = (b1 * c("c0y") + b2 * c("c1y")) / c("vy")
+        b1 = div(c("c0y") * c("v1") - c("c1y") * c("c01"), det)
+        b2 = div(c("c1y") * c("v0") - c("c0y") * c("c01"), det)
+        r2 = div(b1 * c("c0y") + b2 * c("c1y"), c("vy"))
         b0 = c("my") - b1 * c("m0") - b2 * c("m1")
     else:
         raise ValueError("closed form covers one or two predictors; use fit_normal_equations")

@@ -23,21 +23,21 @@ def _fit_sql(y: str, xs: list[str]) -> str:
     f = f"FILTER (WHERE {ok})"
     if len(xs) == 1:
         x = xs[0]
-        b1 = f"covar_pop({x}, {y}) {f} / var_pop({x}) {f}"
+        b1 = f"covar_pop({x}, {y}) {f} / NULLIF(var_pop({x}) {f}, 0)"
         return (f"SELECT '{y}' AS response, '{x}' AS predictors, "
                 f"avg({y}) {f} - ({b1}) * avg({x}) {f} AS intercept, {b1} AS coef1, "
                 f"CAST(NULL AS DOUBLE) AS coef2, "
-                f"covar_pop({x}, {y}) {f} * covar_pop({x}, {y}) {f} / (var_pop({x}) {f} * var_pop({y}) {f}) AS r2, "
+                f"covar_pop({x}, {y}) {f} * covar_pop({x}, {y}) {f} / NULLIF(var_pop({x}) {f} * var_pop({y}) {f}, 0) AS r2, "
                 f"count(*) {f} AS n FROM migration")
     a, b = xs
     v0, v1 = f"var_pop({a}) {f}", f"var_pop({b}) {f}"
     c01, c0y, c1y = f"covar_pop({a}, {b}) {f}", f"covar_pop({a}, {y}) {f}", f"covar_pop({b}, {y}) {f}"
-    det = f"({v0} * {v1} - {c01} * {c01})"
+    det = f"NULLIF({v0} * {v1} - {c01} * {c01}, 0)"
     b1 = f"(({c0y} * {v1} - {c1y} * {c01}) / {det})"
     b2 = f"(({c1y} * {v0} - {c0y} * {c01}) / {det})"
     return (f"SELECT '{y}' AS response, '{a}+{b}' AS predictors, "
             f"avg({y}) {f} - {b1} * avg({a}) {f} - {b2} * avg({b}) {f} AS intercept, {b1} AS coef1, {b2} AS coef2, "
-            f"({b1} * {c0y} + {b2} * {c1y}) / var_pop({y}) {f} AS r2, count(*) {f} AS n FROM migration")
+            f"({b1} * {c0y} + {b2} * {c1y}) / NULLIF(var_pop({y}) {f}, 0) AS r2, count(*) {f} AS n FROM migration")
 
 
 def _models(single=True, pair=True):
