@@ -51,7 +51,10 @@ def _signature(e: DataFrame, g: list[str]) -> tuple:
 
 
 def star_components(nodes: DataFrame, edges: DataFrame, g: Sequence[str]) -> DataFrame:
-    """Component minimum of every node. ``nodes``: (*g, u); ``edges``: (*g, u, v)."""
+    """Component minimum of every node. ``nodes``: (*g, u); ``edges``: (*g, u, v).
+
+    Every round is written to the shared checkpoint folder: the plan of a round refers
+    to the previous edge set several times, so an uncut lineage would grow geometrically."""
     g = list(g)
     e = cut_lineage(_sym(edges.select(*g, "u", "v"), g))
     sig = _signature(e, g)

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -44,8 +45,13 @@ def with_row_index(df: DataFrame, order: Sequence, index_col: str = "rn",
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = _order_cols(order)
-    ranged = df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
-    fixed = cut_lineage(ranged)
+    # the range partitioner samples its input before shuffling it: keep the input for
+    # both passes instead of computing it twice
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        fixed = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
+    finally:
+        df.unpersist()
     tagged = (fixed.withColumn(_PID, F.spark_partition_id())
               .withColumn(_LOCAL, F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))

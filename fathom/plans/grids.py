@@ -31,7 +31,10 @@ SUMMARY_MAX_BOTTOM = 200
 
 
 def dense_grid(spark, sf, group=GROUP, grid: DataFrame | None = None) -> DataFrame:
-    return G.densify(grid if grid is not None else v_grid(spark, sf), group, X, Y, V)
+    # the analogue grid is an aggregation of lineitem; densify reads it three times
+    # (two axes and the cells), so it is written once, like a real gridded source table
+    src = cut_lineage(grid if grid is not None else v_grid(spark, sf))
+    return G.densify(src, group, X, Y, V)
 
 
 def labelled_grid(spark, sf, use_watershed: bool, group=GROUP, grid=None) -> DataFrame:
@@ -75,10 +78,15 @@ def migration(smoothed: DataFrame, summary: DataFrame) -> DataFrame:
     """Q2: noon vs midnight medians of the smoothed layer metrics per day, their
     differences, and the day's segment summary."""
     lab = smoothed.withColumn("hourlabel", M.hour_label("hour")).filter(F.col("hourlabel") != "other")
-    med_cm = A.exact_quantiles(lab, "cm_smooth", {"cm": 0.5}, ["date", "hourlabel"])
-    med_top = A.exact_quantiles(lab, "layertop_smooth", {"layertop": 0.5}, ["date", "hourlabel"])
+    # both medians in one distributed quantile pass over the stacked columns
+    stacked = lab.select("date", "hourlabel", F.explode(F.array(
+        F.struct(F.lit("cm").alias("m"), F.col("cm_smooth").alias("v")),
+        F.struct(F.lit("layertop").alias("m"), F.col("layertop_smooth").alias("v")))).alias("__s")) \
+        .select("date", "hourlabel", "__s.m", "__s.v")
+    med = A.exact_quantiles(stacked, "v", {"med": 0.5}, ["date", "hourlabel", "m"])
     keys = lab.select("date", "hourlabel").distinct()
-    long = keys.join(med_cm, ["date", "hourlabel"], "left").join(med_top, ["date", "hourlabel"], "left")
+    long = keys.join(A.pivot_wide(med, ["date", "hourlabel"], "m", "med", ["cm", "layertop"]),
+                     ["date", "hourlabel"], "left")
     wide = A.pivot_wide(long, ["date"], "hourlabel", "cm", ["noon", "midnight"], "cm_").join(
         A.pivot_wide(long, ["date"], "hourlabel", "layertop", ["noon", "midnight"], "layertop_"), "date")
     wide = wide.withColumns({"delta_cm": F.col("cm_noon") - F.col("cm_midnight"),
