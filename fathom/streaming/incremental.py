@@ -1,0 +1,33 @@
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from fathom.functions.time import parse_step
+from fathom.operators.aggregates import mean_strict
+
+
+def regrid_stream(stream: DataFrame, ts: str, step: str, cols: Mapping[str, str],
+                  watermark: str = "1 hour", out_ts: str = "datetime_round") -> DataFrame:
+    """A22 on a stream: round ``ts`` to the nearest ``step`` (halves up) and average each
+    bucket, null-propagating. Buckets are tumbling windows over ``ts + step/2``; with the
+    watermark a bucket is final (append mode) once the stream passes it by ``watermark``."""
+    half = parse_step(step) // 2
+    # watermarks need an instant type: the zone-less clock is read in the session zone
+    # and turned back into the same wall clock on the way out
+    shifted = stream.withColumn(
+        "__t", F.timestamp_add("MICROSECOND", F.lit(half), F.col(ts)).cast("timestamp"))
+    agg = (shifted.withWatermark("__t", watermark)
+           .groupBy(F.window("__t", step).alias("__w"))
+           .agg(*[mean_strict(src).alias(dst) for dst, src in cols.items()]))
+    return agg.select(F.col("__w.start").cast("timestamp_ntz").alias(out_ts), *cols.keys())
+
+
+def binned_counts_stream(stream: DataFrame, keys: Sequence[Column | str], digits: int,
+                         value: str) -> DataFrame:
+    """A19 on a stream: running counts by keys and the half-even rounded value
+    (complete or update output mode)."""
+    return stream.groupBy(*keys, F.bround(F.col(value), digits).alias(value)).agg(
+        F.count(F.lit(1)).alias("n"))
