@@ -40,7 +40,9 @@ def with_row_index(df: DataFrame, order: Sequence, index_col: str = "rn",
     """Add a 1-based global row number in the total order given by ``order``.
 
     ``order`` must be a total order (add a tiebreak column) for the result to be
-    deterministic. The result is checkpointed and range-partitioned on ``order``.
+    deterministic. The result is checkpointed and range-partitioned on ``order``. As in
+    ``RDD.zipWithIndex``, the per-partition counts (one number per partition) come back to
+    the driver to become offsets, which are broadcast as a partition-count-sized table.
     """
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -55,10 +57,12 @@ def with_row_index(df: DataFrame, order: Sequence, index_col: str = "rn",
     tagged = (fixed.withColumn(_PID, F.spark_partition_id())
               .withColumn(_LOCAL, F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
-    counts = tagged.groupBy(_PID).agg(F.count(F.lit(1)).alias("__n"))
-    # one row per partition: a global window over it is bounded by the partition count
-    offsets = counts.select(
-        _PID, (F.sum("__n").over(Window.orderBy(_PID)) - F.col("__n")).alias("__off"))
+    counts = sorted((r[0], r[1]) for r in tagged.groupBy(_PID).count().collect())
+    rows, off = [], 0
+    for pid, cnt in counts:
+        rows.append((pid, off))
+        off += cnt
+    offsets = spark.createDataFrame(rows or [(0, 0)], f"{_PID} int, __off long")
     return (tagged.join(F.broadcast(offsets), _PID)
             .withColumn(index_col, F.col("__off") + F.col(_LOCAL) + F.lit(1))
             .drop(_PID, _LOCAL, "__off"))
@@ -90,16 +94,30 @@ def block_window(df: DataFrame, rn: str, before: int, after: int,
     return out.filter(F.col(_BLK) == F.col(_HOME)).drop(_BLK, _HOME)
 
 
+MAX_BLOCKS = 10_000
+
+
 def prefix_sum(df: DataFrame, rn: str, value, out_col: str,
                block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Running sum of ``value`` over the global order ``rn`` (inclusive)."""
+    """Running sum of ``value`` over the global order ``rn`` (inclusive).
+
+    Block totals (at most ``MAX_BLOCKS`` numbers: the block size grows with the series)
+    become block offsets on the driver and are broadcast back."""
+    spark = df.sparkSession
+    total = df.agg(F.max(rn)).first()[0] or 0
+    block_rows = max(int(block_rows), -(-int(total) // MAX_BLOCKS))
     v = value if isinstance(value, Column) else F.col(value)
     blk = F.floor((F.col(rn) - 1) / F.lit(block_rows)).cast("long")
     staged = df.withColumn(_BLK, blk).withColumn("__v", v)
-    totals = staged.groupBy(_BLK).agg(F.sum("__v").alias("__t"))
-    # one row per block (rows / block_rows): small, ordered window is safe here
-    boff = totals.select(_BLK, (F.coalesce(F.sum("__t").over(
-        Window.orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__boff"))
+    vtype = staged.schema["__v"].dataType.simpleString()
+    zero = 0.0 if vtype in ("double", "float") else 0
+    totals = sorted((r[0], r[1] or zero) for r in staged.groupBy(_BLK).agg(F.sum("__v")).collect())
+    rows, acc = [], zero
+    for b, t in totals:
+        rows.append((b, acc))
+        acc += t
+    sum_type = "double" if vtype in ("double", "float") else "long"
+    boff = spark.createDataFrame(rows or [(0, zero)], f"{_BLK} long, __boff {sum_type}")
     w = Window.partitionBy(_BLK).orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
     return (staged.join(F.broadcast(boff), _BLK)
             .withColumn(out_col, F.col("__boff") + F.coalesce(F.sum("__v").over(w), F.lit(0)))
