@@ -16,6 +16,9 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fathom.session import cut_lineage
 
 
 def flood(values: np.ndarray, markers: np.ndarray) -> np.ndarray:
@@ -48,10 +51,92 @@ def flood(values: np.ndarray, markers: np.ndarray) -> np.ndarray:
     return seg
 
 
+MAX_IMAGE_CELLS = 20_000_000   # ~0.5 GB of working arrays in one Python worker
+_NB8 = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
+
+
+def oversized_groups(grid: DataFrame, group: Sequence[str], max_cells: int) -> DataFrame:
+    """Keys of images with more than ``max_cells`` cells (at most cells / max_cells rows)."""
+    return grid.groupBy(*group).count().filter(F.col("count") > max_cells).select(*group)
+
+
+def watershed_relational(grid: DataFrame, group: Sequence[str], xi: str = "xi", yi: str = "yi",
+                         value: str = "Sv_mean", marker: str = "comp", out_col: str = "label",
+                         max_rounds: int = 100_000) -> DataFrame:
+    """The same flood as a fixpoint of neighbour joins, for images too big for one task.
+
+    A cell is reached from the 8-neighbour with the lowest flood level, where a marker
+    cell's level is -inf and any other cell's level is max(own value, its parent's level);
+    among marker neighbours the first in scan order wins, among others the lowest position.
+    Cells whose parent or label changed send messages in the next round (Bellman-Ford on
+    the minimax path level); every round is checkpointed. Equal to :func:`flood` when no
+    cell sees two different labels at the same lowest level (the flood breaks such ties
+    first-in-first-out)."""
+    g = list(group)
+    ncols = grid.groupBy(*g).agg(F.max(xi).alias("__nx"))
+    base = grid.join(ncols, g).select(
+        *g, F.col(xi).cast("int").alias(xi), F.col(yi).cast("int").alias(yi),
+        F.col(value).cast("double").alias("__v"),
+        F.coalesce(F.col(marker), F.lit(0)).cast("long").alias("__m"),
+        ((F.col(yi) - 1) * F.col("__nx") + F.col(xi)).cast("long").alias("__lin"))
+    is_m = F.col("__m") > 0
+    inf = F.lit(float("inf"))
+    state = cut_lineage(base.select(
+        "*", F.when(is_m, F.lit(float("-inf"))).otherwise(inf).alias("__P"),
+        F.when(is_m, F.lit(0)).otherwise(F.lit(2)).alias("__kind"),
+        F.lit(0).cast("long").alias("__k2"), F.col("__m").alias("__lab")))
+    frontier = state.filter(is_m)
+    offs = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _NB8]))
+    for _ in range(max_rounds):
+        lvl = F.when(F.col("__m") > 0, F.lit(float("-inf"))).otherwise(F.greatest("__v", "__P"))
+        msgs = frontier.select(*g, xi, yi, "__lin", "__m", "__lab", lvl.alias("__lvl"), offs.alias("__o")).select(
+            *g, (F.col(xi) + F.col("__o.dx")).alias(xi), (F.col(yi) + F.col("__o.dy")).alias(yi),
+            F.struct(F.col("__lvl").alias("P"),
+                     F.when(F.col("__m") > 0, F.lit(0)).otherwise(F.lit(1)).alias("kind"),
+                     F.col("__lin").alias("k2"), F.col("__lab").alias("lab")).alias("__msg"))
+        best = msgs.groupBy(*g, xi, yi).agg(F.min("__msg").alias("__b"))
+        cand = state.filter(~is_m).join(best, [*g, xi, yi])
+        new_key = F.struct(F.col("__b.P"), F.col("__b.kind"), F.col("__b.k2"))
+        old_key = F.struct(F.col("__P"), F.col("__kind"), F.col("__k2"))
+        changed = (new_key < old_key) | ((new_key == old_key) & (F.col("__b.lab") != F.col("__lab")))
+        better = cut_lineage(cand.filter(changed).select(
+            *g, xi, yi, "__v", "__m", "__lin", F.col("__b.P").alias("__P"), F.col("__b.kind").alias("__kind"),
+            F.col("__b.k2").alias("__k2"), F.col("__b.lab").alias("__lab")))
+        if better.isEmpty():
+            break
+        upd = state.join(better.select(*g, xi, yi, *[F.col(c).alias(c + "_n") for c in
+                                                      ("__P", "__kind", "__k2", "__lab")]),
+                         [*g, xi, yi], "left")
+        state = cut_lineage(upd.select(
+            *g, xi, yi, "__v", "__m", "__lin",
+            *[F.coalesce(F.col(c + "_n"), F.col(c)).alias(c) for c in ("__P", "__kind", "__k2", "__lab")]))
+        frontier = better
+    else:
+        raise RuntimeError("relational watershed did not converge")
+    return state.select(*g, xi, yi, F.col("__lab").alias(out_col))
+
+
 def watershed(grid: DataFrame, group: Sequence[str], xi: str = "xi", yi: str = "yi",
-              value: str = "Sv_mean", marker: str = "comp", out_col: str = "label") -> DataFrame:
-    """Per group: flood ``value`` from ``marker`` labels (0 = unlabelled) on the dense grid."""
+              value: str = "Sv_mean", marker: str = "comp", out_col: str = "label",
+              max_cells: int = MAX_IMAGE_CELLS) -> DataFrame:
+    """Per group: flood ``value`` from ``marker`` labels (0 = unlabelled) on the dense grid.
+
+    Images up to ``max_cells`` cells are flooded inside one Python worker each; larger
+    ones (found by one aggregate) go to :func:`watershed_relational`."""
     g = list(group)
+    big = oversized_groups(grid, g, max_cells)
+    big_keys = big.collect()
+    if big_keys:
+        big_df = grid.sparkSession.createDataFrame(big_keys, big.schema)
+        small = grid.join(F.broadcast(big_df), g, "left_anti")
+        large = grid.join(F.broadcast(big_df), g, "left_semi")
+        return _flood_groups(small, g, xi, yi, value, marker, out_col).unionByName(
+            watershed_relational(large, g, xi, yi, value, marker, out_col))
+    return _flood_groups(grid, g, xi, yi, value, marker, out_col)
+
+
+def _flood_groups(grid: DataFrame, g: list[str], xi: str, yi: str, value: str, marker: str,
+                  out_col: str) -> DataFrame:
     cols = [*g, xi, yi, value, marker]
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in grid.select(*g).schema.fields]

@@ -77,3 +77,34 @@ def test_components_invariant_to_partitions(spark, parts):
                     lab[nx_, ny_] = nxt
                     stack.append((nx_, ny_))
     assert got == {(x, y): lab[x, y] for _, x, y, _ in cells}
+
+
+
+
+def test_relational_watershed_matches_flood(spark):
+    from fathom.operators.watershed import flood, watershed_relational
+    rng = np.random.default_rng(21)
+    nx, ny = 14, 10
+    vals = rng.normal(-70, 10, size=(nx, ny))
+    marks = np.zeros((nx, ny), dtype=np.int64)
+    marks[2, 2], marks[2, 3] = 1, 1
+    marks[10, 7] = 2
+    marks[6, 9] = 3
+    want = flood(vals, marks)
+    rows = [("a", i + 1, j + 1, float(vals[i, j]), int(marks[i, j])) for i in range(nx) for j in range(ny)]
+    df = spark.createDataFrame(rows, "g string, xi int, yi int, Sv_mean double, comp long")
+    got = {(r["xi"], r["yi"]): r["label"] for r in watershed_relational(df, ["g"]).collect()}
+    assert got == {(i + 1, j + 1): int(want[i, j]) for i in range(nx) for j in range(ny)}
+
+
+def test_watershed_routes_oversized_images(spark):
+    from fathom.operators.watershed import watershed
+    rng = np.random.default_rng(2)
+    rows = []
+    for g, n in (("small", 4), ("big", 6)):
+        for x in range(1, n + 1):
+            for y in range(1, n + 1):
+                rows.append((g, x, y, float(rng.normal(-70, 5)), 1 if (x, y) == (2, 2) else 0))
+    df = spark.createDataFrame(rows, "g string, xi int, yi int, Sv_mean double, comp long")
+    out = watershed(df, ["g"], max_cells=20)
+    assert out.count() == 16 + 36 and out.filter("label = 1").count() == 52
