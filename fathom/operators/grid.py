@@ -24,15 +24,29 @@ THRESHOLD_DB = -60.0
 LAYER_EPS = 1e-6
 
 
+CELLS_PER_TASK = 1 << 21
+
+
 def densify(df: DataFrame, group: Sequence[str], x: str, y: str, v: str,
-            floor: float = FLOOR_DB) -> DataFrame:
+            floor: float = FLOOR_DB, cells_per_task: int = CELLS_PER_TASK) -> DataFrame:
     """G1: every (x, y) of a group's axes; missing cells and values below ``floor`` become
-    ``floor``. Adds ranks ``xi``, ``yi`` (1-based) and the group's ping count ``nx``."""
+    ``floor``. Adds ranks ``xi``, ``yi`` (1-based) and the group's ping count ``nx``.
+
+    The image of a group is the product of its two axes. A plain join on the group key
+    would build a big image in one task, so each group's pings are split into
+    ``ceil(nx * ny / cells_per_task)`` salt buckets and its depth axis is copied once per
+    bucket: every task builds at most about ``cells_per_task`` cells."""
     g = list(group)
     xs = rank_within(df.select(*g, x).distinct(), g, [x], "xi").withColumn("xi", F.col("xi").cast("int"))
     ys = rank_within(df.select(*g, y).distinct(), g, [y], "yi").withColumn("yi", F.col("yi").cast("int"))
-    nx = xs.groupBy(*g).agg(F.max("xi").alias("nx"))
-    cells = xs.join(nx, g).join(ys, g)   # the dense image of each group
+    size = xs.groupBy(*g).agg(F.max("xi").alias("nx")).join(
+        ys.groupBy(*g).agg(F.max("yi").alias("__ny")), g)
+    size = size.withColumn("__s", F.greatest(F.lit(1), F.ceil(
+        F.col("nx") * F.col("__ny") / F.lit(float(cells_per_task)))).cast("int")).drop("__ny")
+    xs = xs.join(size, g).withColumn("__salt", F.pmod(F.col("xi"), F.col("__s")))
+    ys = ys.join(size.select(*g, "__s"), g).select(
+        *g, y, "yi", F.explode(F.sequence(F.lit(0), F.col("__s") - 1)).alias("__salt"))
+    cells = xs.join(ys, [*g, "__salt"]).drop("__salt", "__s")
     obs = df.select(*g, x, y, v)
     return cells.join(obs, [*g, x, y], "left").withColumn(v, floor_clamp(v, floor, fill_null=True))
 

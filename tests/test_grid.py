@@ -108,3 +108,15 @@ def test_watershed_routes_oversized_images(spark):
     df = spark.createDataFrame(rows, "g string, xi int, yi int, Sv_mean double, comp long")
     out = watershed(df, ["g"], max_cells=20)
     assert out.count() == 16 + 36 and out.filter("label = 1").count() == 52
+
+
+def test_densify_salted_equals_plain(spark):
+    from fathom.operators.grid import densify
+    rng = np.random.default_rng(8)
+    rows = [(g, int(x), float(y), float(rng.normal(-70, 9))) for g in ("a", "b") for x in range(30)
+            for y in range(0, 200, 10) if rng.random() < 0.7]
+    df = spark.createDataFrame(rows, "g string, x int, y double, v double")
+    one = densify(df, ["g"], "x", "y", "v")
+    many = densify(df, ["g"], "x", "y", "v", cells_per_task=37)
+    assert one.count() == many.count() == 2 * 30 * 20
+    assert one.exceptAll(many).count() == 0
