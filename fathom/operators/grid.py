@@ -16,7 +16,7 @@ from fathom.functions.math import floor_clamp, from_db
 from fathom.operators.aggregates import weighted_mean
 from fathom.operators.components import connected_components
 from fathom.operators.relational import flag_in
-from fathom.operators.sequence import rank_within
+from fathom.operators.sequence import rank_axes
 from fathom.operators.watershed import watershed
 
 FLOOR_DB = -90.0
@@ -37,8 +37,9 @@ def densify(df: DataFrame, group: Sequence[str], x: str, y: str, v: str,
     ``ceil(nx * ny / cells_per_task)`` salt buckets and its depth axis is copied once per
     bucket: every task builds at most about ``cells_per_task`` cells."""
     g = list(group)
-    xs = rank_within(df.select(*g, x).distinct(), g, [x], "xi").withColumn("xi", F.col("xi").cast("int"))
-    ys = rank_within(df.select(*g, y).distinct(), g, [y], "yi").withColumn("yi", F.col("yi").cast("int"))
+    ranks = rank_axes(df, g, [x, y])
+    xs = ranks[x].withColumnRenamed("__rank", "xi")
+    ys = ranks[y].withColumnRenamed("__rank", "yi")
     size = xs.groupBy(*g).agg(F.max("xi").alias("nx")).join(
         ys.groupBy(*g).agg(F.max("yi").alias("__ny")), g)
     size = size.withColumn("__s", F.greatest(F.lit(1), F.ceil(
@@ -75,8 +76,7 @@ def label_grid(grid: DataFrame, group: Sequence[str], v: str, use_watershed: boo
     marked = masked.join(comps, [*g, "xi", "yi"], "left").withColumn(
         "comp", F.coalesce(F.col("comp"), F.lit(0)).cast("long"))
     if use_watershed:
-        ws = watershed(marked, g, value=v, marker="comp")
-        return marked.join(ws, [*g, "xi", "yi"]).drop("comp")
+        return watershed(marked, g, value=v, marker="comp")
     return marked.withColumnRenamed("comp", "label")
 
 

@@ -245,3 +245,23 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out_col:
     first = idx.groupBy(*by).agg(F.min("__gr").alias("__g0"))
     return (idx.join(first, by) if by else idx.crossJoin(F.broadcast(first))) \
         .withColumn(out_col, F.col("__gr") - F.col("__g0") + 1).drop("__gr", "__g0")
+
+
+def rank_axes(df: DataFrame, by: Sequence[str], axes: Sequence[str]) -> dict[str, DataFrame]:
+    """W11 for several axes at once: for each column in ``axes``, its distinct values per
+    ``by`` group with their 1-based rank. One global index serves all axes (rows are
+    tagged with their axis; the other axes' columns are NULL and sort first)."""
+    by = list(by)
+    parts = []
+    for k, a in enumerate(axes):
+        part = df.select(*by, a).distinct().withColumn("__axis", F.lit(k))
+        for b in axes:
+            if b != a:
+                part = part.withColumn(b, F.lit(None).cast(df.schema[b].dataType))
+        parts.append(part.select(*by, "__axis", *axes))
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p)
+    ranked = rank_within(stacked, [*by, "__axis"], list(axes), "__rank")
+    return {a: ranked.filter(F.col("__axis") == k).select(*by, a, F.col("__rank").cast("int").alias("__rank"))
+            for k, a in enumerate(axes)}

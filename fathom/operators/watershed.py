@@ -121,26 +121,28 @@ def watershed(grid: DataFrame, group: Sequence[str], xi: str = "xi", yi: str = "
               max_cells: int = MAX_IMAGE_CELLS) -> DataFrame:
     """Per group: flood ``value`` from ``marker`` labels (0 = unlabelled) on the dense grid.
 
-    Images up to ``max_cells`` cells are flooded inside one Python worker each; larger
-    ones (found by one aggregate) go to :func:`watershed_relational`."""
+    Returns every input column except ``marker``, plus ``out_col``. Images up to
+    ``max_cells`` cells are flooded inside one Python worker each (the other columns ride
+    along, so no join back is needed); larger ones (found by one aggregate) go to
+    :func:`watershed_relational`."""
     g = list(group)
     big = oversized_groups(grid, g, max_cells)
     big_keys = big.collect()
-    if big_keys:
-        big_df = grid.sparkSession.createDataFrame(big_keys, big.schema)
-        small = grid.join(F.broadcast(big_df), g, "left_anti")
-        large = grid.join(F.broadcast(big_df), g, "left_semi")
-        return _flood_groups(small, g, xi, yi, value, marker, out_col).unionByName(
-            watershed_relational(large, g, xi, yi, value, marker, out_col))
-    return _flood_groups(grid, g, xi, yi, value, marker, out_col)
+    if not big_keys:
+        return _flood_groups(grid, g, xi, yi, value, marker, out_col)
+    big_df = grid.sparkSession.createDataFrame(big_keys, big.schema)
+    small = grid.join(F.broadcast(big_df), g, "left_anti")
+    large = grid.join(F.broadcast(big_df), g, "left_semi")
+    flooded = watershed_relational(large, g, xi, yi, value, marker, out_col)
+    large_out = large.drop(marker).join(flooded, [*g, xi, yi])
+    return _flood_groups(small, g, xi, yi, value, marker, out_col).unionByName(large_out)
 
 
 def _flood_groups(grid: DataFrame, g: list[str], xi: str, yi: str, value: str, marker: str,
                   out_col: str) -> DataFrame:
-    cols = [*g, xi, yi, value, marker]
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in grid.select(*g).schema.fields]
-        + [f"`{xi}` int", f"`{yi}` int", f"`{out_col}` long"])
+    keep = [f for f in grid.schema.fields if f.name != marker]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out_col}` long"])
+    names = [f.name for f in keep]
 
     def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf[xi].to_numpy(dtype=np.int64) - 1
@@ -151,10 +153,8 @@ def _flood_groups(grid: DataFrame, g: list[str], xi: str, yi: str, value: str, m
         vals[x, y] = pdf[value].to_numpy(dtype=np.float64)
         marks[x, y] = pdf[marker].fillna(0).to_numpy(dtype=np.int64)
         seg = flood(vals, marks)
-        out = pdf[g].copy()
-        out[xi] = (x + 1).astype(np.int32)
-        out[yi] = (y + 1).astype(np.int32)
+        out = pdf[names].copy()
         out[out_col] = seg[x, y]
         return out
 
-    return grid.select(*cols).groupBy(*g).applyInPandas(per_group, schema)
+    return grid.groupBy(*g).applyInPandas(per_group, schema)

@@ -37,9 +37,12 @@ def dense_grid(spark, sf, group=GROUP, grid: DataFrame | None = None) -> DataFra
     return G.densify(src, group, X, Y, V)
 
 
-def labelled_grid(spark, sf, use_watershed: bool, group=GROUP, grid=None) -> DataFrame:
-    """Dense grid with segment labels, materialised once: segments and layers share it."""
-    return cut_lineage(G.label_grid(dense_grid(spark, sf, group, grid), group, V, use_watershed))
+def labelled_grid(spark, sf, use_watershed: bool, group=GROUP, grid=None,
+                  shared: bool = True) -> DataFrame:
+    """Dense grid with segment labels; when ``shared`` (segments AND layers read it) it is
+    materialised once instead of being recomputed for each output."""
+    lab = G.label_grid(dense_grid(spark, sf, group, grid), group, V, use_watershed)
+    return cut_lineage(lab) if shared else lab
 
 
 def segments(lab: DataFrame, use_watershed: bool, group=GROUP, width_inclusive=True) -> DataFrame:
@@ -106,8 +109,8 @@ def ocean_daily(spark, sf) -> DataFrame:
         .withColumn("upwelling", M.nan_to_null("upwelling"))
 
 
-def mask_chain(spark, sf):
-    lab = labelled_grid(spark, sf, use_watershed=False)
+def mask_chain(spark, sf, shared: bool = True):
+    lab = labelled_grid(spark, sf, use_watershed=False, shared=shared)
     kept = segments(lab, use_watershed=False)
     return lab, kept
 
@@ -234,19 +237,19 @@ def q_components(spark, sf):
 
 @query("watershed", ops="G4")
 def q_watershed(spark, sf):
-    return labelled_grid(spark, sf, use_watershed=True).select("date", "xi", "yi", "label")
+    return labelled_grid(spark, sf, use_watershed=True, shared=False).select("date", "xi", "yi", "label")
 
 
 @query("segment_stats", ops="A11 G5 J9 J10 A8", sql=grid_sql("SELECT * FROM segs"))
 def q_segment_stats(spark, sf):
-    lab = labelled_grid(spark, sf, use_watershed=False)
+    lab = labelled_grid(spark, sf, use_watershed=False, shared=False)
     return G.segment_stats(lab, GROUP, X, Y, V, include_background=False)
 
 
 @query("segment_filter", ops="G6 M8", sql=grid_sql(
     "SELECT *, CAST(date AS VARCHAR) || '-S' || CAST(label AS VARCHAR) AS school_id FROM kept"))
 def q_segment_filter(spark, sf):
-    _, kept = mask_chain(spark, sf)
+    _, kept = mask_chain(spark, sf, shared=False)
     return with_school_id(kept)
 
 
@@ -273,7 +276,7 @@ def q_layer_metrics(spark, sf):
 @query("daily_summary", ops="Q1 P6 A1 A2 A3 A5 S9 J1 P14 M2 O1", sql=grid_sql(
     "SELECT * FROM summary ORDER BY date", _SUMMARY))
 def q_daily_summary(spark, sf):
-    _, kept = mask_chain(spark, sf)
+    _, kept = mask_chain(spark, sf, shared=False)
     return daily_summary(kept)
 
 
@@ -301,7 +304,7 @@ def q_environment_join(spark, sf):
 
 @query("detect_segments", ops="Q13 G9 G4 M8")
 def q_detect_segments(spark, sf):
-    lab = labelled_grid(spark, sf, use_watershed=True)
+    lab = labelled_grid(spark, sf, use_watershed=True, shared=False)
     return with_school_id(segments(lab, use_watershed=True))
 
 
@@ -313,7 +316,7 @@ def q_detect_layers(spark, sf):
 
 @query("watershed_summary", ops="Q1 G9")
 def q_watershed_summary(spark, sf):
-    lab = labelled_grid(spark, sf, use_watershed=True)
+    lab = labelled_grid(spark, sf, use_watershed=True, shared=False)
     return daily_summary(segments(lab, use_watershed=True))
 
 

@@ -44,4 +44,6 @@ def test_watershed_is_the_grouped_map(spark):
     from fathom.operators.watershed import _flood_groups
     df = spark.createDataFrame([("a", 1, 1, -50.0, 1), ("a", 2, 1, -70.0, 0)],
                                "g string, xi int, yi int, Sv_mean double, comp long")
-    assert "FlatMapGroupsInPandas" in plan_of(_flood_groups(df, ["g"], "xi", "yi", "Sv_mean", "comp", "label"))
+    out = _flood_groups(df, ["g"], "xi", "yi", "Sv_mean", "comp", "label")
+    assert "FlatMapGroupsInPandas" in plan_of(out)
+    assert out.columns == ["g", "xi", "yi", "Sv_mean", "label"]
