@@ -48,12 +48,15 @@ def with_row_index(df: DataFrame, order: Sequence, index_col: str = "rn",
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = _order_cols(order)
     # the range partitioner samples its input before shuffling it: keep the input for
-    # both passes instead of computing it twice
-    df.persist(StorageLevel.MEMORY_AND_DISK)
+    # both passes instead of computing it twice (unless the caller already cached it)
+    own_cache = not df.is_cached
+    if own_cache:
+        df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         fixed = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
     finally:
-        df.unpersist()
+        if own_cache:
+            df.unpersist()
     tagged = (fixed.withColumn(_PID, F.spark_partition_id())
               .withColumn(_LOCAL, F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
@@ -243,8 +246,17 @@ def rank_within(df: DataFrame, by: Sequence[str], order: Sequence[str], out_col:
     by = list(by)
     idx = with_row_index(df, [*by, *order], "__gr")
     first = idx.groupBy(*by).agg(F.min("__gr").alias("__g0"))
-    return (idx.join(first, by) if by else idx.crossJoin(F.broadcast(first))) \
-        .withColumn(out_col, F.col("__gr") - F.col("__g0") + 1).drop("__gr", "__g0")
+    if not by:
+        joined = idx.crossJoin(F.broadcast(first))
+    else:
+        # NULL is a group of its own, as in groupBy
+        first = first.select(*[F.col(c).alias(f"__k_{c}") for c in by], "__g0")
+        cond = None
+        for c in by:
+            e = idx[c].eqNullSafe(first[f"__k_{c}"])
+            cond = e if cond is None else cond & e
+        joined = idx.join(first, cond).drop(*[f"__k_{c}" for c in by])
+    return joined.withColumn(out_col, F.col("__gr") - F.col("__g0") + 1).drop("__gr", "__g0")
 
 
 def rank_axes(df: DataFrame, by: Sequence[str], axes: Sequence[str]) -> dict[str, DataFrame]:

@@ -62,3 +62,10 @@ def test_exact_quantiles_match_percentile(data):
     j = naive.join(got, "k", "left")
     for a, b in [("q1", "p1"), ("q5", "p5"), ("q9", "p9")]:
         assert j.filter(~F.col(a).eqNullSafe(F.col(b)) & (F.abs(F.col(a) - F.col(b)) > 1e-9)).count() == 0
+
+
+def test_rank_within_keeps_null_groups(spark):
+    df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "k string, v long")
+    got = sorted((r["k"], r["v"], r["r"]) for r in S.rank_within(df, ["k"], ["v"], "r").collect()
+                 if r["k"] is None)
+    assert got == [(None, 1, 1), (None, 3, 2)]
