@@ -450,7 +450,7 @@ def pivot_wide(spark, sf):
 @query("unpivot_long", ops="A21", sql=with_views("""
     SELECT date, name, value FROM (
       SELECT date, avg(temperature) AS temperature, avg(sealevel_lowpass) AS sealevel FROM v_env GROUP BY date)
-    UNPIVOT (value FOR name IN (temperature, sealevel))""", "v_env"))
+    UNPIVOT INCLUDE NULLS (value FOR name IN (temperature, sealevel))""", "v_env"))
 def unpivot_long(spark, sf):
     wide = v_env(spark, sf).groupBy("date").agg(F.avg("temperature").alias("temperature"),
                                                 F.avg("sealevel_lowpass").alias("sealevel"))

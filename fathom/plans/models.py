@@ -51,8 +51,12 @@ def _models(single=True, pair=True):
 
 
 @query("ols_simple", ops="R1 R3", sql=grid_sql(" UNION ALL ".join(
-    f"SELECT '{y}' AS response, '{x}' AS predictor, regr_intercept({y}, {x}) AS intercept, "
-    f"regr_slope({y}, {x}) AS slope, regr_r2({y}, {x}) AS r2, CAST(regr_count({y}, {x}) AS BIGINT) AS n "
+    f"SELECT '{y}' AS response, '{x}' AS predictor, "
+    f"CASE WHEN regr_sxx({y}, {x}) = 0 THEN NULL ELSE regr_intercept({y}, {x}) END AS intercept, "
+    f"CASE WHEN regr_sxx({y}, {x}) = 0 THEN NULL ELSE regr_slope({y}, {x}) END AS slope, "
+    f"CASE WHEN regr_sxx({y}, {x}) = 0 THEN NULL "
+    f"WHEN regr_syy({y}, {x}) = 0 THEN 1.0 ELSE regr_r2({y}, {x}) END AS r2, "
+    f"CAST(regr_count({y}, {x}) AS BIGINT) AS n "
     f"FROM migration" for y in RESPONSES for x in SINGLE), _SUMMARY))
 def q_ols_simple(spark, sf):
     return MO.ols_builtin(migration_table(spark, sf), [(y, x) for y in RESPONSES for x in SINGLE])
