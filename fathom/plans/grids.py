@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import math as M
-from fathom.functions import time as T
 from fathom.operators import aggregates as A
 from fathom.operators import grid as G
 from fathom.operators import relational as R
@@ -333,6 +332,3 @@ def q_detect_demo(spark, sf):
     segs = segments(lab, use_watershed=True, group=["__img"], width_inclusive=False)
     first = crop.agg(F.min(F.to_date("datetime")).alias("date"))
     return R.with_scalar(segs, first).drop("__img").withColumn("school_id", M.segment_id("date", "label"))
-
-
-_ = T  # time helpers are used through the views

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from fathom.operators import models as MO
 from fathom.plans.catalog import query
 from fathom.plans.grids import _OCEAN, _SUMMARY, grid_sql, migration_table, ocean_daily
-from fathom.sources import literals as L
 
 RESPONSES = ["delta_cm", "delta_layertop", "cm_noon", "layertop_noon"]
 SINGLE = ["nschools", "sa_db"]
@@ -110,6 +109,3 @@ def q_ocean_models(spark, sf):
     complete = ocean.filter(F.greatest(*[F.col(c).isNull().cast("int") for c in ocean.columns]) == 0)
     b = MO.fit_many(complete, [("layertop_noon", ["upwelling"])])
     return a.unionByName(b)
-
-
-_ = L
