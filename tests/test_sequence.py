@@ -69,3 +69,21 @@ def test_rank_within_keeps_null_groups(spark):
     got = sorted((r["k"], r["v"], r["r"]) for r in S.rank_within(df, ["k"], ["v"], "r").collect()
                  if r["k"] is None)
     assert got == [(None, 1, 1), (None, 3, 2)]
+
+
+def test_exact_quantiles_hot_group_spreads_over_partitions(spark):
+    """A third of the rows share one group and one value: the index still splits them
+    across partitions (the tiebreak orders them) and the quantiles stay exact."""
+    from fathom.operators.aggregates import exact_quantiles
+    rows = [("hot", 5.0)] * 300 + [("hot", float(i)) for i in range(300)] + \
+        [(f"g{i % 7}", float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    idx = S.with_row_index(df.filter("k = 'hot' AND x = 5.0").withColumn("tb", F.monotonically_increasing_id()),
+                           ["k", "x", "tb"], "rn", num_partitions=4)
+    sizes = [r["count"] for r in idx.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 1 and max(sizes) < 301
+    got = exact_quantiles(df, "x", {"q": 0.3, "m": 0.5}, ["k"])
+    naive = df.groupBy("k").agg(F.percentile("x", 0.3).alias("q0"), F.percentile("x", 0.5).alias("m0"))
+    j = got.join(naive, "k")
+    assert j.count() == 8
+    assert j.filter((F.abs(F.col("q") - F.col("q0")) > 1e-9) | (F.abs(F.col("m") - F.col("m0")) > 1e-9)).count() == 0
