@@ -16,6 +16,9 @@ _LOCAL_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # delete checkpoint files once their DataFrames are garbage collected (the shared
+    # folder would otherwise grow with every index and component round)
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
