@@ -19,15 +19,15 @@ def test_normalise_name():
 def test_grid_csv_dir_with_provenance(spark, tmp_path):
     d = tmp_path / "monthly"
     d.mkdir()
-    (d / "deimos-2019-11.csv").write_text(
+    (d / "grid-2019-11.csv").write_text(
         "Interval,Layer depth min,Sv mean,Date_M,Time_M\n1,15.0,-70.5,20191105, 12:00:05.0000\n"
         "2,20.0,,20191105, 12:10:05.0000\n")
-    (d / "deimos-2019-12.csv").write_text(
+    (d / "grid-2019-12.csv").write_text(
         "Interval,Layer depth min,Sv mean,Date_M,Time_M\n1,15.0,-65.0,20191201, 00:00:00.0000\n")
     df = FS.read_dir(spark, str(d), FS.GRID_CSV, glob="*.csv")
     df = df.withColumn("datetime", T.shift_hours(T.parse_datetime("Date_M", "Time_M"), -8))
     rows = sorted(df.collect(), key=lambda r: (r["source_file"], r["Interval"]))
-    assert [r["source_file"] for r in rows] == ["deimos-2019-11.csv"] * 2 + ["deimos-2019-12.csv"]
+    assert [r["source_file"] for r in rows] == ["grid-2019-11.csv"] * 2 + ["grid-2019-12.csv"]
     assert rows[1]["Sv_mean"] is None
     assert str(rows[0]["datetime"]) == "2019-11-05 04:00:05"
     assert str(rows[2]["datetime"]) == "2019-11-30 16:00:00"
