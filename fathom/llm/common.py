@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +23,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the copy."""
-    return cut_lineage(df)
+    """Write ``df`` to the shared checkpoint folder and go on from the copy. The shuffle files
+    behind it are let go: the driver's garbage is collected, which is what frees them."""
+    out = cut_lineage(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]):
@@ -66,12 +70,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: pa.Array) -> np.ndarray:
-    """uint64 hash of every word; each distinct word of the batch is hashed once."""
-    if not len(words):
+    """uint64 hash of every word: its bytes are mixed in eight at a time."""
+    n = len(words)
+    if not n:
         return np.empty(0, dtype=np.uint64)
-    d = words.dictionary_encode()
-    h = pd.util.hash_array(np.asarray(d.dictionary.to_pylist(), dtype=object), categorize=False)
-    return h[d.indices.to_numpy(zero_copy_only=False)]
+    off = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset:words.offset + n + 1]
+    raw = np.frombuffer(words.buffers()[2], dtype=np.uint8)[off[0]:off[-1]]
+    data = np.r_[raw, np.zeros(8, dtype=np.uint8)]
+    eight = np.ndarray(len(raw) + 1, dtype="<u8", buffer=data, strides=(1,))
+    at, left = off[:-1] - off[0], np.diff(off)
+    out = mix64(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    todo = np.arange(n)
+    while len(todo):
+        chunk = eight[at]
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (8 * left[short]).astype(np.uint64)) - np.uint64(1)
+        out[todo] = mix64(out[todo] ^ (chunk * np.uint64(0xD6E8FEB86659FD93)))
+        on = left > 8
+        todo, at, left = todo[on], at[on] + 8, left[on] - 8
+    return out
 
 
 def odd_powers(n: int, seed: int) -> np.ndarray:
