@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from fathom.llm.common import read_table, stage
 
 SEGMENT = 16
-CODE_BLOCK, QUERY_BLOCK = 1 << 16, 1 << 12
+CODE_BLOCK, QUERY_BLOCK = 1 << 13, 1 << 12
 
 
 def sign_codes(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
