@@ -203,7 +203,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+'), []) AS w FROM documents),
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
 g AS (SELECT rid, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
 h AS (SELECT g.rid, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS k FROM g JOIN d USING (rid)),
 r AS (SELECT rid, i FROM h WHERE k IN (SELECT k FROM h GROUP BY k HAVING count(*) > 1)),
