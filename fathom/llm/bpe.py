@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -31,7 +30,6 @@ from fathom.llm.common import read_table, slices
 LEAF = 8192
 
 
-@lru_cache(maxsize=4)
 def tokenizer(ranks: bytes, pattern: str) -> tiktoken.Encoding:
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})

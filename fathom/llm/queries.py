@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fathom.llm import bpe, chat_format, lang_id, line_dedup, mixing, token_counts, topk
+from fathom.llm import (
+    bpe, chat_format, jaccard_join, lang_id, line_dedup, mixing, near_vectors, substring_dedup, token_counts, topk)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.query,
@@ -15,6 +16,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": bpe.query,
     "op5_exact_topk": topk.query,
     "op6_source_mix": mixing.query,
+    "op7_jaccard_join": jaccard_join.query,
+    "op8_near_vectors": near_vectors.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_language_id": lang_id.query,
 }
 
@@ -23,4 +27,7 @@ SQL: dict[str, str] = {
     "op3_line_dedup": line_dedup.SQL,
     "op5_exact_topk": topk.SQL,
     "op6_source_mix": mixing.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
+    "op8_near_vectors": near_vectors.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
 }
