@@ -65,13 +65,8 @@ def stretches(words: pa.Array, off: np.ndarray, window: int, anchor: int) -> dic
     return {"row": row[i], "start": i - off[row[i]], "n": n, "m": g[place[i]].view(np.int64), "sk": sk.view(np.int64), "at": i, "e": e}
 
 
-def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Documents under the key (kid, th) of id and text: rows alike in both get alike results."""
-    return docs.withColumns({"__kid": F.xxhash64(F.col(doc_id)), "__th": F.hash(F.col(text))})
-
-
-def find_stretches(keyed: DataFrame, text: str, window: int, anchor: int) -> DataFrame:
-    """(m, sk, kid, th, start, n) of all stretches of all texts."""
+def find_stretches(texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(m, sk, kid, th, start, n) of all stretches of all ``texts``, rows (kid, th, t)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             off, words = split_words(b.column(2))
@@ -81,11 +76,11 @@ def find_stretches(keyed: DataFrame, text: str, window: int, anchor: int) -> Dat
                 [pa.array(s["m"]), pa.array(s["sk"]), b.column(0).take(row), b.column(1).take(row),
                  pa.array(s["start"].astype(np.int32)), pa.array(s["n"].astype(np.int32))], ["m", "sk", "kid", "th", "start", "n"])
 
-    return keyed.select(F.col("__kid").alias("kid"), F.col("__th").alias("th"), F.col(text).alias("t")).mapInArrow(
+    return texts.mapInArrow(
         run, "m long, sk long, kid long, th int, start int, n int")
 
 
-def repeated_windows(keyed: DataFrame, text: str, seen: DataFrame, window: int, anchor: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, seen: DataFrame, window: int, anchor: int) -> DataFrame:
     """(m, sk, mask): for stretches whose minimizer has several, bit i of ``mask`` tells that
     window i occurs twice or more. One copy of each distinct stretch is looked up and counts
     as often as the stretch occurs."""
@@ -93,8 +88,7 @@ def repeated_windows(keyed: DataFrame, text: str, seen: DataFrame, window: int,
         F.count(F.lit(1)).alias("c"), F.min(F.struct("kid", "th", "start")).alias("r"))
     wanted = rep.groupBy(F.col("r.kid").alias("kid"), F.col("r.th").alias("th")).agg(
         F.collect_list(F.struct("m", "sk", "r.start", "n", "c")).alias("want"))
-    texts = keyed.join(wanted, (keyed["__kid"] == wanted["kid"]) & (keyed["__th"] == wanted["th"])).select(
-        F.col(text).alias("t"), "want", "kid", "th")
+    looked_up = texts.join(wanted, ["kid", "th"]).select("t", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
@@ -109,7 +103,7 @@ def repeated_windows(keyed: DataFrame, text: str, seen: DataFrame, window: int,
                  pa.array(e[off[row[k]] + start[k] + bit].view(np.int64))], ["m", "sk", "bit", "c", "e"])
 
     # rows alike in id and text share a key and give the same rows
-    w = stage(texts.mapInArrow(run, "m long, sk long, bit int, c long, e long").distinct())
+    w = stage(looked_up.mapInArrow(run, "m long, sk long, bit int, c long, e long").distinct())
     twice = w.groupBy("m", "e").agg(F.sum("c").alias("c")).filter("c > 1").select("m", "e")
     return w.join(twice, ["m", "e"]).groupBy("m", "sk").agg(
         F.sum(F.expr("shiftleft(1L, bit)")).alias("mask"))
@@ -135,12 +129,12 @@ def compact(found: DataFrame, window: int) -> DataFrame:
         F.min("start").alias("start"), F.max(F.col("start") + F.col("n") - 1 + window).alias("stop")).drop("run")
 
 
-def repeated_spans(keyed: DataFrame, text: str, window: int, anchor: int) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """(kid, th, start, stop): word spans all of whose windows occur elsewhere as well."""
-    every = find_stretches(keyed, text, window, anchor)
+    every = find_stretches(texts, window, anchor)
     twice = every.groupBy("m").agg(F.count(F.lit(1)).alias("c"), (F.min("sk") == F.max("sk")).alias("alone")).filter("c > 1")
     seen = stage(every.join(twice.select("m", "alone"), "m"))
-    masks = stage(repeated_windows(keyed, text, seen.filter("not alone"), window, anchor))
+    masks = stage(repeated_windows(texts, seen.filter("not alone"), window, anchor))
     some = seen.filter("not alone").join(masks, ["m", "sk"])
     full = F.expr("mask = shiftleft(1L, n) - 1")
     whole = seen.filter("alone").select("kid", "th", "start", "n", "sk").unionByName(
@@ -160,11 +154,14 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows that repeat a text repeat its windows, whatever their ids; null ids are ids."""
     if not 0 < window - anchor < 62:
         raise ValueError("a stretch must have fewer than 63 windows")
-    keyed = _keyed(docs, doc_id, text)
-    spans = stage(repeated_spans(keyed, text, window, anchor))
-    lists = spans.groupBy("kid", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__spans"))
+    # rows alike in the key, which is that of id and text, get alike results
+    key = {"__kid": F.xxhash64(F.col(doc_id)), "__th": F.hash(F.col(text))}
+    texts = docs.select(key["__kid"].alias("kid"), key["__th"].alias("th"), F.col(text).alias("t"))
+    spans = stage(repeated_spans(texts, window, anchor))
+    lists = spans.groupBy(F.col("kid").alias("__kid"), F.col("th").alias("__th")).agg(
+        F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__spans"))
     own = [f for f in docs.schema if f.name not in ("n_words", "n_removed", "kept", "removed")]
-    rows = keyed.join(lists, (keyed["__kid"] == lists["kid"]) & (keyed["__th"] == lists["th"]), "left").select(
+    rows = docs.withColumns(key).join(lists, ["__kid", "__th"], "left").select(
         *[f.name for f in own], F.col(text).alias("__t"), "__spans")
     names = [f.name for f in own]
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
