@@ -97,9 +97,9 @@ def odd_powers(n: int, seed: int) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
-    """Hash of every k consecutive elements of ``h`` (len(h) - k + 1 values)."""
+    """Hash of every k consecutive elements of ``h`` (len(h) - k + 1 values; none for k = 0)."""
     n = len(h) - k + 1
-    if n <= 0:
+    if n <= 0 or k <= 0:
         return np.empty(0, dtype=np.uint64)
     out = np.zeros(n, dtype=np.uint64)
     for i, c in enumerate(odd_powers(k, seed)):
