@@ -50,7 +50,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 <<
 
 def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Row offsets (n + 1) and the flat words of all rows; null and empty texts have none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # copied to a buffer of its own: ascii_lower goes wrong on a slice whose offsets don't start at 0
+    texts = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.ascii_split_whitespace(texts)
