@@ -30,9 +30,8 @@ from fathom.llm.common import (
     components, mix64, null_safe, read_table, slices, split_words, stage, window_hashes, word_hashes)
 
 SHINGLE, PERCENT = 5, 80
-#: N-grams are counted for the order if their hash is in this part of the hash range; of the
-#: counted ones, up to MAX_FREQUENT with FREQUENT documents or more are known to all tasks.
-COUNTED, FREQUENT, MAX_FREQUENT = 0.35, 32, 1 << 18
+#: The order puts last the MAX_FREQUENT most frequent n-grams that are in FREQUENT documents or more.
+FREQUENT, MAX_FREQUENT = 32, 1 << 18
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -62,14 +61,11 @@ def _sets(df: DataFrame, text: str, k: int, row, schema: str, kinds: list[tuple[
     return df.mapInArrow(run, schema)
 
 
-def frequent_shingles(docs: DataFrame, text: str, k: int, counted: float, frequent: int, most: int) -> np.ndarray:
-    """Sorted hashes of the most frequent counted n-grams, over all documents."""
-    top = np.uint64(counted * 2.0 ** 64)
-
+def frequent_shingles(docs: DataFrame, text: str, k: int, frequent: int, most: int) -> np.ndarray:
+    """Sorted hashes of the most frequent n-grams of all documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text, 16 << 20):
-            s = [x[:np.searchsorted(x, top)] for x in shingle_sets(b.column(0), k)]
-            t, c = np.unique(np.concatenate(s), return_counts=True)
+            t, c = np.unique(np.concatenate(shingle_sets(b.column(0), k)), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], ["token", "c"])
 
     counts = docs.select(text).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
@@ -77,25 +73,22 @@ def frequent_shingles(docs: DataFrame, text: str, k: int, counted: float, freque
     return np.sort(np.asarray(got["token"]).view(np.uint64))
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, top: np.uint64, percent: int) -> np.ndarray:
-    """The first n - ceil(percent * n / 100) + 1 of ``s`` in the order: counted and rare, not
-    counted, frequent; by hash within each."""
+def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
+    """The first n - ceil(percent * n / 100) + 1 of ``s`` in the order: others, then frequent
+    ones, by hash within each."""
     need = len(s) + (-percent * len(s) // 100) + 1
-    cut = np.searchsorted(s, top)
-    low, high = s[:cut], s[cut:]
     if len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)] == low
-        return np.concatenate([low[~often], high, low[often]])[:need]
+        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
+        s = np.concatenate([s[~often], s[often]])
     return s[:need]
 
 
-def prefixes(keyed: DataFrame, text: str, k: int, percent: int, counted: float, frequent: np.ndarray) -> DataFrame:
+def prefixes(keyed: DataFrame, text: str, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(doc_id, th, n, node, gid, prefix): ``node`` names the set, ``gid`` its size and prefix."""
     shared = keyed.sparkSession.sparkContext.broadcast(frequent)  # MAX_FREQUENT longs at most
-    top = np.uint64(counted * 2.0 ** 64)
 
     def row(s: np.ndarray) -> tuple:
-        p = prefix(s, shared.value, top, percent) if len(s) else s
+        p = prefix(s, shared.value, percent) if len(s) else s
         n = np.uint64(len(s))
         place = np.arange(1, len(p) + 1, dtype=np.uint64)
         node = mix64(np.sum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True, dtype=np.uint64) + n)
@@ -128,14 +121,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def pivot_pairs(lists: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Node pairs of every group with the pivot of each list and size class it is in, and of
     every member with its group's. Classes span a size ratio of 100 / percent, and there are two
-    sets of them, half a class apart, so that sizes that can link share one."""
+    sets of them, half a class apart, so that sizes that can link share one. The pivot is where the
+    n-gram stands first: of edited copies the least edited, as what is rare comes first."""
     step = F.floor(F.log("n") * (2 / np.log(100 / percent)))
     sized = lists.select("*", F.explode(F.array(
         F.struct(F.lit(0).alias("k"), F.floor(step / 2).alias("c")), F.struct(F.lit(1).alias("k"), F.floor((step + 1) / 2).alias("c")))).alias("x"))
     sized = sized.select("token", "gid", "n", "pos", "x.k", "x.c")
     pivot = sized.groupBy("token", "k", "c").agg(
-        F.min(F.struct("gid", "n", "pos")).alias("p"), F.max("gid").alias("other")).filter("p.gid <> other").select(
-        "token", "k", "c", "p.*").alias("p")
+        F.min(F.struct("pos", "gid", "n")).alias("p"), F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter(
+        "lo <> hi").select("token", "k", "c", "p.*").alias("p")
     near = sized.alias("a").join(pivot, ["token", "k", "c"]).filter(_may_link("a", "p", percent)).select(
         F.col("a.gid").alias("g"), F.col("p.gid").alias("pg")).filter("g <> pg").distinct()
     first = members.groupBy("gid").agg(F.min("node").alias("node"))
@@ -166,7 +160,7 @@ def open_pairs(lists: DataFrame, members: DataFrame, comp: DataFrame, percent: i
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                          percent: int = PERCENT, counted: float = COUNTED, frequent: int = FREQUENT,
+                          percent: int = PERCENT, frequent: int = FREQUENT,
                           max_frequent: int = MAX_FREQUENT) -> DataFrame:
     """(doc_id, th, n_shingles, node, component, component_id), one row per row of ``docs``.
 
@@ -176,8 +170,8 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     null or empty text has no n-grams, no links and null ``component``. Equal sets are one
     node. Null ids are kept; a component of null ids alone has a null ``component_id``."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("th"), F.col(text).alias("t"))
-    often = frequent_shingles(keyed, "t", shingle, counted, frequent, max_frequent)
-    p = stage(prefixes(keyed, "t", shingle, percent, counted, often))
+    often = frequent_shingles(keyed, "t", shingle, frequent, max_frequent)
+    p = stage(prefixes(keyed, "t", shingle, percent, often))
     # lists: prefix n-grams that two groups or more share
     shared = p.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(
         F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo <> hi").select("token")
