@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.session import cut_lineage
+from fathom.session import cut_lineage, ensure_checkpoint_dir
 
 #: A word of the text contracts: a run without ASCII white space.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -31,6 +32,27 @@ def stage(df: DataFrame) -> DataFrame:
     return out
 
 
+def stage_table(df: DataFrame) -> DataFrame:
+    """Like :func:`stage`, as a Parquet table in the shared checkpoint folder: smaller for many
+    narrow rows. For results that are used up within an operator, which then drops it."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete what :func:`stage_table` wrote."""
+    for t in tables:
+        jvm, sc = t.sparkSession.sparkContext._jvm, t.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(t._stage_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]):
     """Join condition left.k <=> right.v for every pair of ``keys``."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[v]) for k, v in keys.items()])

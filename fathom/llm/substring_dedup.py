@@ -27,7 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import mix64, read_table, slices, split_words, stage, window_hashes, word_hashes
+from fathom.llm.common import (
+    drop_table, mix64, read_table, slices, split_words, stage, stage_table, window_hashes, word_hashes)
 
 WINDOW, ANCHOR = 35, 8
 LOW32 = np.uint64(0xFFFFFFFF)
@@ -81,7 +82,7 @@ def find_stretches(texts: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame, seen: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(m, sk, mask): for stretches whose minimizer has several, bit i of ``mask`` tells that
+    """(m, sk, mask), staged: for stretches whose minimizer has several, bit i of ``mask`` tells that
     window i occurs twice or more. One copy of each distinct stretch is looked up and counts
     as often as the stretch occurs."""
     rep = seen.groupBy("m", "sk", "n").agg(
@@ -102,11 +103,12 @@ def repeated_windows(texts: DataFrame, seen: DataFrame, window: int, anchor: int
                 [pa.array(m[k]), pa.array(sk[k]), pa.array(bit.astype(np.int32)), pa.array(c[k]),
                  pa.array(e[off[row[k]] + start[k] + bit].view(np.int64))], ["m", "sk", "bit", "c", "e"])
 
-    # rows alike in id and text share a key and give the same rows
-    w = stage(looked_up.mapInArrow(run, "m long, sk long, bit int, c long, e long").distinct())
+    # rows alike in id and text share a key and are all looked up; their windows do occur twice
+    w = stage_table(looked_up.mapInArrow(run, "m long, sk long, bit int, c long, e long"))
     twice = w.groupBy("m", "e").agg(F.sum("c").alias("c")).filter("c > 1").select("m", "e")
-    return w.join(twice, ["m", "e"]).groupBy("m", "sk").agg(
-        F.sum(F.expr("shiftleft(1L, bit)")).alias("mask"))
+    masks = stage_table(w.join(twice, ["m", "e"]).groupBy("m", "sk").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
+    drop_table(w)
+    return masks
 
 
 def compact(found: DataFrame, window: int) -> DataFrame:
@@ -130,11 +132,11 @@ def compact(found: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(kid, th, start, stop): word spans all of whose windows occur elsewhere as well."""
+    """(kid, th, start, stop), staged: word spans all of whose windows occur elsewhere as well."""
     every = find_stretches(texts, window, anchor)
     twice = every.groupBy("m").agg(F.count(F.lit(1)).alias("c"), (F.min("sk") == F.max("sk")).alias("alone")).filter("c > 1")
-    seen = stage(every.join(twice.select("m", "alone"), "m"))
-    masks = stage(repeated_windows(texts, seen.filter("not alone"), window, anchor))
+    seen = stage_table(every.join(twice.select("m", "alone"), "m"))
+    masks = repeated_windows(texts, seen.filter("not alone"), window, anchor)
     some = seen.filter("not alone").join(masks, ["m", "sk"])
     full = F.expr("mask = shiftleft(1L, n) - 1")
     whole = seen.filter("alone").select("kid", "th", "start", "n", "sk").unionByName(
@@ -142,7 +144,9 @@ def repeated_spans(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     bits = F.expr("filter(sequence(0, n - 1), i -> (mask & shiftleft(1L, i)) <> 0)")
     parts = some.filter(~full).select("kid", "th", "start", F.explode(bits).alias("i")).select(
         "kid", "th", (F.col("start") + F.col("i")).alias("start"), (F.col("start") + F.col("i") + window).alias("stop"))
-    return compact(whole, window).unionByName(parts)
+    spans = stage(compact(whole, window).unionByName(parts))
+    drop_table(seen, masks)
+    return spans
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -157,7 +161,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # rows alike in the key, which is that of id and text, get alike results
     key = {"__kid": F.xxhash64(F.col(doc_id)), "__th": F.hash(F.col(text))}
     texts = docs.select(key["__kid"].alias("kid"), key["__th"].alias("th"), F.col(text).alias("t"))
-    spans = stage(repeated_spans(texts, window, anchor))
+    spans = repeated_spans(texts, window, anchor)
     lists = spans.groupBy(F.col("kid").alias("__kid"), F.col("th").alias("__th")).agg(
         F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("__spans"))
     own = [f for f in docs.schema if f.name not in ("n_words", "n_removed", "kept", "removed")]
