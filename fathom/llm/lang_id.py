@@ -27,7 +27,7 @@ from fathom.llm.common import read_table, slices
 
 #: Bounds of the training sample and the model: documents per language, bytes of a document
 #: that may be in it, tree nodes. Model size is nodes * bytes seen * (4 + 4 * languages).
-DOCS_PER_LANG, DOC_BYTES, MAX_NODES = 400, 1 << 16, 12_000
+DOCS_PER_LANG, DOC_BYTES, MAX_NODES = 400, 1 << 16, 4_000
 DEPTH, MIN_COUNT = 4, 6
 UND = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -126,10 +126,15 @@ def held_out(doc_id: str) -> Column:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG,
           doc_bytes: int = DOC_BYTES, **tree) -> ContextTrees:
     """Trees from a sample of ``docs``: per language the ``docs_per_lang`` rows of least hash that
-    are not longer than ``doc_bytes``, so the driver sees at most their product a language."""
+    are not longer than ``doc_bytes``, so the driver sees at most their product a language.
+
+    A language's count of rows sets the part of the hash range that is looked at: four times
+    what is wanted is expected there, whatever the size of the input."""
     size = F.octet_length(text)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & size.between(1, doc_bytes)).select(
-        F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit(10), F.col(order)).alias("h"), F.col(order).alias("o"))
+        F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit(10), F.col(order)), F.lit(1 << 32)).alias("h"), F.col(order).alias("o"))
+    counts = rows.groupBy("lang").agg((F.lit(4.0 * docs_per_lang * 2 ** 32) / F.count(F.lit(1))).alias("reach"))
+    rows = rows.join(counts, "lang").filter(F.col("h") < F.col("reach")).drop("reach")
     first = Window.partitionBy("lang").orderBy("h", "o", "text")
     got = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs_per_lang).select("lang", "text").collect()
     samples: dict[str, list[bytes]] = {}
