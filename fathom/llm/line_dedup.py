@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import read_table
+from fathom.llm.common import read_table, stage
 
 RATIO, MIN_PAGES = 0.05, 3
+#: Line hashes of all hosts that may be sent to every task (8 bytes each).
+BROADCAST_LINES = 1 << 20
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, ratio: float, min_pages: int) -> DataFrame:
@@ -37,7 +39,10 @@ def drop_site_lines(pages: DataFrame, host: str = "source", text: str = "text",
     hold it. A null host is a host of its own; a null text stays null and has no lines; a
     text of boilerplate alone becomes empty, its row stays. Repeated rows count as pages.
     """
-    drop = boilerplate(pages, host, text, ratio, min_pages)
+    drop = stage(boilerplate(pages, host, text, ratio, min_pages))
+    lines = drop.agg(F.sum(F.size("__drop") + 8)).first()[0] or 0
+    if lines <= BROADCAST_LINES:  # else the pages are shuffled to the lists, and a hot host's pages are split
+        drop = F.broadcast(drop)
     joined = pages.join(drop, pages[host].eqNullSafe(drop["__host"]), "left")
     lines = F.split(F.col(text), "\n")
     kept = F.when(F.col("__drop").isNull(), lines).otherwise(F.filter(
