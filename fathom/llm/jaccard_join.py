@@ -5,8 +5,9 @@ n-grams, two sets with a Jaccard similarity of ``threshold`` share an n-gram amo
 n - ceil(threshold * n) + 1 of each: its prefix. Documents with equal prefix and size are
 one group, and groups are matched, not documents:
 
-1. order: frequent n-grams come last, so that passages that many documents share seldom are
-   in a prefix. Any order gives the same links; this one keeps the lists of a prefix n-gram short;
+1. order: n-grams of hash cells that hold frequent ones come last, so that passages that many
+   documents share seldom are in a prefix. Any order gives the same links; this one keeps the
+   lists of a prefix n-gram short;
 2. group pairs that share a prefix n-gram are filtered by size and by place in the prefix;
 3. they are expanded to their members' sets, and every pair is verified on whole sets.
 
@@ -30,8 +31,11 @@ from fathom.llm.common import (
     components, mix64, null_safe, read_table, slices, split_words, stage, window_hashes, word_hashes)
 
 SHINGLE, PERCENT = 5, 80
-#: The order puts last the MAX_FREQUENT most frequent n-grams that are in FREQUENT documents or more.
-FREQUENT, MAX_FREQUENT = 32, 1 << 18
+#: N-grams are counted in CELLS hash cells; a cell over its fair share by FREQUENT documents (and six
+#: deviations of chance) holds a frequent n-gram.
+CELLS, FREQUENT = 1 << 20, 32
+#: Up to so many documents to look up are sent to all tasks (16 bytes each).
+BROADCAST_ROWS = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -61,39 +65,50 @@ def _sets(df: DataFrame, text: str, k: int, row, schema: str, kinds: list[tuple[
     return df.mapInArrow(run, schema)
 
 
-def frequent_shingles(docs: DataFrame, text: str, k: int, frequent: int, most: int) -> np.ndarray:
-    """Sorted hashes of the most frequent n-grams of all documents."""
+def frequent_cells(docs: DataFrame, text: str, k: int, frequent: int, cells: int) -> np.ndarray:
+    """Which hash cells hold frequent n-grams (one flag a cell), counted over all documents. A
+    task adds up its n-grams in one array, so what is shuffled doesn't depend on their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 16 << 20):
-            t, c = np.unique(np.concatenate(shingle_sets(b.column(0), k)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(c)], ["token", "c"])
+        sums = np.zeros(cells, dtype=np.int64)
+        for b in slices(batches, text):
+            for s in shingle_sets(b.column(0), k):
+                np.add.at(sums, (s % np.uint64(cells)).astype(np.int64), 1)
+        used = np.flatnonzero(sums)
+        for i in range(0, len(used), 1 << 16):
+            part = used[i:i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], ["cell", "c"])
 
-    counts = docs.select(text).mapInArrow(run, "token long, c long").groupBy("token").agg(F.sum("c").alias("c"))
-    got = counts.filter(F.col("c") >= frequent).orderBy(F.desc("c"), "token").limit(most).select("token").toArrow()
-    return np.sort(np.asarray(got["token"]).view(np.uint64))
+    counts = stage(docs.select(text).mapInArrow(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")))
+    mean = (counts.agg(F.sum("c")).first()[0] or 0) / cells
+    over = counts.filter(F.col("c") >= mean + max(frequent, 6 * mean ** 0.5)).select("cell").toArrow()
+    flags = np.zeros(cells, dtype=bool)
+    flags[np.asarray(over["cell"])] = True
+    return flags
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(percent * n / 100) + 1 of ``s`` in the order: others, then frequent
-    ones, by hash within each."""
+    """The first n - ceil(percent * n / 100) + 1 of ``s`` in the order: others, then those of
+    frequent cells, by hash within each."""
     need = len(s) + (-percent * len(s) // 100) + 1
-    if len(frequent):
-        often = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s
-        s = np.concatenate([s[~often], s[often]])
-    return s[:need]
+    often = frequent[(s % np.uint64(len(frequent))).astype(np.int64)]
+    return np.concatenate([s[~often], s[often]])[:need]
+
+
+def _node(s: np.ndarray) -> int:
+    """A number for the set: order plays no part."""
+    both = np.sum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True, dtype=np.uint64) + np.uint64(len(s))
+    return int(mix64(both).view(np.int64)[0])
 
 
 def prefixes(keyed: DataFrame, text: str, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(doc_id, th, n, node, gid, prefix): ``node`` names the set, ``gid`` its size and prefix."""
-    shared = keyed.sparkSession.sparkContext.broadcast(frequent)  # MAX_FREQUENT longs at most
+    shared = keyed.sparkSession.sparkContext.broadcast(frequent)  # one byte a cell
 
     def row(s: np.ndarray) -> tuple:
         p = prefix(s, shared.value, percent) if len(s) else s
-        n = np.uint64(len(s))
         place = np.arange(1, len(p) + 1, dtype=np.uint64)
-        node = mix64(np.sum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True, dtype=np.uint64) + n)
-        gid = mix64(np.sum(mix64(p + place), keepdims=True, dtype=np.uint64) + n)
-        return len(s), int(node.view(np.int64)[0]), int(gid.view(np.int64)[0]), p.view(np.int64)
+        gid = mix64(np.sum(mix64(p + place), keepdims=True, dtype=np.uint64) + np.uint64(len(s)))
+        return len(s), _node(s), int(gid.view(np.int64)[0]), p.view(np.int64)
 
     return _sets(keyed, text, k, row, "doc_id long, th int, n int, node long, gid long, prefix array<long>",
                  [("n", pa.int32()), ("node", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64()))], ["doc_id", "th"])
@@ -114,6 +129,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         (100 + percent) * both >= percent * (F.size("su") + F.size("sv"))).select("u", "v"))
 
 
+def _looked_up(keyed: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(node, s): whole sets of the nodes in ``pairs``, each from one of its documents. (Rows alike in
+    id and text give a set twice; a link that is found twice is one link.)"""
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(members, "node").select(
+        F.col("r.doc_id").alias("rid"), F.col("r.th").alias("rth")).distinct()
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:  # else the texts are shuffled to them
+        wanted = F.broadcast(wanted)
+    texts = keyed.join(wanted, null_safe(keyed, wanted, {"doc_id": "rid", "th": "rth"})).select("t")
+    return stage(_sets(texts, "t", k, lambda s: (_node(s), s.view(np.int64)), "node long, s array<long>",
+                       [("node", pa.int64()), ("s", pa.list_(pa.int64()))], []))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -161,7 +188,7 @@ def open_pairs(lists: DataFrame, members: DataFrame, comp: DataFrame, percent: i
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                           percent: int = PERCENT, frequent: int = FREQUENT,
-                          max_frequent: int = MAX_FREQUENT) -> DataFrame:
+                          cells: int = CELLS) -> DataFrame:
     """(doc_id, th, n_shingles, node, component, component_id), one row per row of ``docs``.
 
     Two documents link if 100 * shared >= ``percent`` * united distinct n-grams of their words,
@@ -170,7 +197,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     null or empty text has no n-grams, no links and null ``component``. Equal sets are one
     node. Null ids are kept; a component of null ids alone has a null ``component_id``."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("th"), F.col(text).alias("t"))
-    often = frequent_shingles(keyed, "t", shingle, frequent, max_frequent)
+    often = frequent_cells(keyed, "t", shingle, frequent, cells)
     p = stage(prefixes(keyed, "t", shingle, percent, often))
     # lists: prefix n-grams that two groups or more share
     shared = p.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(
@@ -179,13 +206,10 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     nodes = p.filter("n > 0").groupBy("gid", "node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
     several = nodes.groupBy("gid").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("gid")
     members = stage(nodes.join(lists.select("gid").unionByName(several).distinct(), "gid"))
-    copies = members.select(F.col("r.doc_id").alias("rid"), F.col("r.th").alias("rth"))
-    sets = stage(_sets(keyed.join(copies, null_safe(keyed, copies, {"doc_id": "rid", "th": "rth"})).select("t"), "t", shingle, lambda s: (
-        int(mix64(np.sum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)), keepdims=True, dtype=np.uint64) + np.uint64(len(s))).view(np.int64)[0]),
-        s.view(np.int64)), "node long, s array<long>", [("node", pa.int64()), ("s", pa.list_(pa.int64()))], []).dropDuplicates(["node"]))
-    members = members.select("gid", "node")
-    links = _verified(pivot_pairs(lists, members, percent), sets, percent)
-    more = _verified(open_pairs(lists, members, components(links), percent), sets, percent)
+    pairs = stage(pivot_pairs(lists, members.select("gid", "node"), percent))
+    links = _verified(pairs, _looked_up(keyed, members, pairs, shingle), percent)
+    pairs = stage(open_pairs(lists, members.select("gid", "node"), components(links), percent))
+    more = _verified(pairs, _looked_up(keyed, members, pairs, shingle), percent)
     comp = components(links.unionByName(more))
     named = p.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"), "least")
