@@ -59,11 +59,14 @@ def null_safe(left: DataFrame, right: DataFrame, keys: dict[str, str]):
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that ``column`` holds about ``max_bytes`` each (one row at least)."""
+    """Cut record batches so that ``column`` holds about ``max_bytes`` (of a list: elements) each, one
+    row at least."""
     for b in batches:
         if not b.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        v = b.column(column)
+        size = pc.list_value_length(v) if pa.types.is_list(v.type) else pc.binary_length(v)
+        size = pc.fill_null(size, 0).to_numpy(zero_copy_only=False).astype(np.int64)
         block = (np.cumsum(size) - size) // max_bytes
         starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
         for s, e in zip(starts, np.r_[starts[1:], b.num_rows]):

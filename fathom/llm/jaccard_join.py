@@ -9,7 +9,8 @@ one group, and groups are matched, not documents:
    documents share seldom are in a prefix. Any order gives the same links; this one keeps the
    lists of a prefix n-gram short;
 2. group pairs that share a prefix n-gram are filtered by size and by place in the prefix;
-3. they are expanded to their members' sets, and every pair is verified on whole sets.
+3. they are expanded to their members. Pairs whose outlines (how many n-grams a set has in each
+   of 128 hash parts) leave no room for enough shared ones go; the others are verified on whole sets.
 
 Links are wanted for their components, so a list is first matched against one group of it
 only (its pivot). What those links join need not be matched again; after that every pair of
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import (
-    components, mix64, null_safe, read_table, slices, split_words, stage, window_hashes, word_hashes)
+    components, drop_table, mix64, null_safe, read_table, slices, split_words, stage, stage_table, window_hashes, word_hashes)
 
 SHINGLE, PERCENT = 5, 80
 #: N-grams are counted in CELLS hash cells; a cell over its fair share by FREQUENT documents (and six
@@ -100,18 +101,26 @@ def _node(s: np.ndarray) -> int:
     return int(mix64(both).view(np.int64)[0])
 
 
+PARTS = 128
+
+
+def _outline(s: np.ndarray) -> np.ndarray:
+    return np.bincount((s >> np.uint64(20) & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+
+
 def prefixes(keyed: DataFrame, text: str, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, th, n, node, gid, prefix): ``node`` names the set, ``gid`` its size and prefix."""
+    """(doc_id, th, n, node, gid, prefix, outline): ``node`` names the set, ``gid`` its size and prefix."""
     shared = keyed.sparkSession.sparkContext.broadcast(frequent)  # one byte a cell
 
     def row(s: np.ndarray) -> tuple:
         p = prefix(s, shared.value, percent) if len(s) else s
         place = np.arange(1, len(p) + 1, dtype=np.uint64)
         gid = mix64(np.sum(mix64(p + place), keepdims=True, dtype=np.uint64) + np.uint64(len(s)))
-        return len(s), _node(s), int(gid.view(np.int64)[0]), p.view(np.int64)
+        return len(s), _node(s), int(gid.view(np.int64)[0]), p.view(np.int64), _outline(s)
 
-    return _sets(keyed, text, k, row, "doc_id long, th int, n int, node long, gid long, prefix array<long>",
-                 [("n", pa.int32()), ("node", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64()))], ["doc_id", "th"])
+    return _sets(keyed, text, k, row, "doc_id long, th int, n int, node long, gid long, prefix array<long>, outline array<int>",
+                 [("n", pa.int32()), ("node", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())),
+                  ("outline", pa.list_(pa.int32()))], ["doc_id", "th"])
 
 
 def _may_link(a: str, b: str, percent: int) -> str:
@@ -141,6 +150,15 @@ def _looked_up(keyed: DataFrame, members: DataFrame, pairs: DataFrame, k: int) -
                        [("node", pa.int64()), ("s", pa.list_(pa.int64()))], []))
 
 
+def _with_room(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose outlines allow a link: sets share at most the lesser count of each part."""
+    m = members.select("node", "n", "outline").dropDuplicates(["node"])
+    a = m.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("outline").alias("ou"))
+    b = m.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("outline").alias("ov"))
+    shared = F.aggregate(F.zip_with("ou", "ov", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return pairs.join(a, "u").join(b, "v").filter((100 + percent) * shared >= percent * (F.col("nu") + F.col("nv"))).select("u", "v")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -198,18 +216,26 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     node. Null ids are kept; a component of null ids alone has a null ``component_id``."""
     keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("th"), F.col(text).alias("t"))
     often = frequent_cells(keyed, "t", shingle, frequent, cells)
-    p = stage(prefixes(keyed, "t", shingle, percent, often))
+    p = stage_table(prefixes(keyed, "t", shingle, percent, often))
     # lists: prefix n-grams that two groups or more share
-    shared = p.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(
-        F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo <> hi").select("token")
+    shared = stage(p.select("gid", F.explode("prefix").alias("token")).groupBy("token").agg(
+        F.min("gid").alias("lo"), F.max("gid").alias("hi")).filter("lo <> hi").select("token"))
     lists = stage(p.select("gid", "n", F.posexplode("prefix").alias("pos", "token")).join(shared, "token").distinct())
     nodes = p.filter("n > 0").groupBy("gid", "node").agg(F.min(F.struct("doc_id", "th")).alias("r"))
     several = nodes.groupBy("gid").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("gid")
     members = stage(nodes.join(lists.select("gid").unionByName(several).distinct(), "gid"))
-    pairs = stage(pivot_pairs(lists, members.select("gid", "node"), percent))
+    drawn = p.select(F.col("node"), F.col("doc_id").alias("rid"), F.col("th").alias("rth"), "n", "outline")
+    one = members.select(F.col("node").alias("node1"), "r", "gid")
+    members = stage_table(drawn.join(one, (drawn["node"] == one["node1"]) & drawn["rid"].eqNullSafe(one["r.doc_id"]) & (
+        drawn["rth"] == one["r.th"])).select("gid", "node", "r", "n", "outline").dropDuplicates(["node"]))
+    rows = stage(p.select("doc_id", "th", "n", "node"))
+    drop_table(p)
+    p = rows
+    pairs = stage(_with_room(pivot_pairs(lists, members.select("gid", "node"), percent), members, percent))
     links = _verified(pairs, _looked_up(keyed, members, pairs, shingle), percent)
-    pairs = stage(open_pairs(lists, members.select("gid", "node"), components(links), percent))
+    pairs = stage(_with_room(open_pairs(lists, members.select("gid", "node"), components(links), percent), members, percent))
     more = _verified(pairs, _looked_up(keyed, members, pairs, shingle), percent)
+    drop_table(members)
     comp = components(links.unionByName(more))
     named = p.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(comp, "node", "left").select(
         "node", F.coalesce("component", "node").alias("component"), "least")
