@@ -114,38 +114,48 @@ class Codec:
         return self.decode(ids[:mid]) + self.decode(ids[mid:])
 
 
-def rows(batches: Iterator[pa.RecordBatch], n: int = 500) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, n):
-            yield b.slice(i, n)
+IDS = ("array<int>", pa.list_(pa.int32()))
+BYTES = ("binary", pa.binary())
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: pa.DataType, sql_type: str, ranks: bytes, pattern: str,
-            leaf: int, work: Callable) -> DataFrame:
+def _mapped(df: DataFrame, column: str, new: dict[str, tuple[str, pa.DataType]], ranks: bytes, pattern: str, leaf: int,
+            work: Callable) -> DataFrame:
+    """``df`` with the columns ``new``, the values that ``work`` makes of each value of ``column``."""
     shared = df.sparkSession.sparkContext.broadcast(ranks)  # the rank file: about 1 MB
-    names = [c for c in df.columns if c != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out)
+    names = [c for c in df.columns if c not in new]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name not in new]
+                       + [f"`{c}` {t}" for c, (t, _) in new.items()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern, leaf)
-        for b in slices(batches, column) if sql_type != "binary" else rows(batches):
-            values = [work(codec, v) for v in b.column(b.schema.get_field_index(column)).to_pylist()]
+        for b in slices(batches, column):
+            got = list(zip(*[work(codec, v.as_py()) for v in b.column(b.schema.get_field_index(column))]))
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(values, kind)], [*names, out])
+                [b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(v, t) for v, (_, t) in zip(got, new.values())],
+                [*names, *new])
 
-    return df.mapInArrow(run, f"{schema}, `{out}` {sql_type}")
+    return df.mapInArrow(run, schema)
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", leaf: int = LEAF) -> DataFrame:
     """``df`` plus ``out``: the token ids of ``text`` (null text: none). A column named
     ``out`` that was there is replaced; all rows and other columns stay as they are."""
-    return _mapped(df, text, out, pa.list_(pa.int32()), "array<int>", ranks, pattern, leaf,
-                   lambda codec, v: codec.encode(v or ""))
+    return _mapped(df, text, {out: IDS}, ranks, pattern, leaf, lambda codec, v: (codec.encode(v or ""),))
 
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out: str = "decoded", leaf: int = LEAF) -> DataFrame:
     """``df`` plus ``out``: the bytes of the token ids (null ids: none)."""
-    return _mapped(df, ids, out, pa.binary(), "binary", ranks, pattern, leaf, lambda codec, v: codec.decode(v or []))
+    return _mapped(df, ids, {out: BYTES}, ranks, pattern, leaf, lambda codec, v: (codec.decode(v or []),))
+
+
+def round_trip(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded",
+               leaf: int = LEAF) -> DataFrame:
+    """:func:`encode` and then :func:`decode` in one pass: ids are decoded where they were made."""
+    def work(codec: Codec, v: str | None) -> tuple:
+        tokens = codec.encode(v or "")
+        return tokens, codec.decode(tokens)
+
+    return _mapped(df, text, {ids: IDS, out: BYTES}, ranks, pattern, leaf, work)
 
 
 def read_ranks(path: str) -> bytes:
@@ -155,7 +165,7 @@ def read_ranks(path: str) -> bytes:
 
 def digests(df: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encode, decode, and digest both."""
-    both = decode(encode(df, ranks, pattern), ranks, pattern)
+    both = round_trip(df, ranks, pattern)
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -4,7 +4,7 @@ import random
 import public_tokenizers as P
 import pytest
 
-from fathom.llm.bpe import Codec, decode, digests, encode, read_ranks
+from fathom.llm.bpe import Codec, decode, digests, encode, read_ranks, round_trip
 from fathom.llm.token_counts import CountedText, apply_edits, build_trees, sample_edits, with_edits
 from tests.llm.helpers import DOCS, SF, edge_docs
 
@@ -45,6 +45,8 @@ def test_columns_stay_and_empty_table(spark):
     docs = edge_docs(spark).selectExpr("*", "'old' as ids", "'old' as decoded")
     out = decode(encode(docs, RANKS, P.PATTERN), RANKS, P.PATTERN)
     assert sorted(out.columns) == sorted(docs.columns) and out.filter("decoded is null").count() == 0
+    both = round_trip(docs, RANKS, P.PATTERN)
+    assert sorted(map(str, both.select("doc_id", "ids", "decoded").collect())) == sorted(map(str, out.select("doc_id", "ids", "decoded").collect()))
     assert digests(spark.createDataFrame([], DOCS), RANKS, P.PATTERN).count() == 0
 
 
