@@ -95,10 +95,3 @@ def basename(path) -> Column:
 def swap_suffix(path, pattern: str, repl: str) -> Column:
     """M9: regex replace, like R ``gsub`` (the pattern is a regex: '.' matches any char)."""
     return F.regexp_replace(as_col(path), pattern, repl)
-
-
-def safe_div(num, den) -> Column:
-    """Division that yields NaN for 0/0 and +-Inf for x/0 (Julia float semantics) without ANSI errors."""
-    num, den = as_col(num), as_col(den)
-    return F.when(den != 0, num / den).when(num == 0, F.lit(float("nan"))) \
-        .when(num > 0, F.lit(float("inf"))).when(num < 0, F.lit(NEG_INF))

@@ -57,13 +57,21 @@ def shift_minutes(ts, minutes: float) -> Column:
 
 
 def parse_ts(s, pattern: str) -> Column:
-    """Parse a string with an explicit pattern; unparseable -> NULL (never raises)."""
-    return F.try_to_timestamp(as_col(s), F.lit(pattern)).cast("timestamp_ntz")
+    """Parse a string with an explicit pattern; unparseable -> NULL (never raises).
+
+    Year-first patterns also take ``T`` between date and time and ``/`` in the date. The clock
+    reading is kept as written whatever the session's zone: it is parsed as UTC and counted
+    from the epoch."""
+    s = as_col(s)
+    if pattern.startswith("yyyy-"):
+        s = F.translate(s, "T/", " -")
+    instant = F.try_to_timestamp(F.concat(s, F.lit(" Z")), F.lit(f"{pattern} X"))
+    return F.timestamp_add("MICROSECOND", F.unix_micros(instant), F.expr(_EPOCH))
 
 
 # Pattern names used by the reference's parsers (lubridate ymd_hms / ymd_hm / mdy_hm).
 PATTERNS = {
-    "ymd_hms": "yyyy-MM-dd HH:mm:ss",
+    "ymd_hms": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     "ymd_hm": "yyyyMMdd HHmm",
     "ymd_hm_dash": "yyyy-MM-dd HH:mm",
     "mdy_hm": "M/d/yyyy H:mm",
@@ -76,14 +84,10 @@ def parse_datetime(date_int, time_str, pattern: str = "yyyyMMdd HH:mm:ss[.SSSSSS
     return parse_ts(s, pattern)
 
 
-def to_local(ts, offset_hours: float = -8.0) -> Column:
-    """D5 (fixed form): relabel UTC clock to local standard time."""
-    return shift_hours(ts, offset_hours)
-
-
-def relabel_zone(ts, from_tz: str, to_tz: str) -> Column:
-    """D5 (named zones): move a zone-less clock reading between named zones."""
-    return F.convert_timezone(F.lit(from_tz), F.lit(to_tz), as_col(ts))
+def zone_instant(ts, zone: str) -> Column:
+    """The UTC instant (zone-less) of a clock reading that is declared to be local time of
+    ``zone``. Declaring a zone leaves the reading itself as it is."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), as_col(ts))
 
 
 def frac_hour(ts) -> Column:

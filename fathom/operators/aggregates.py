@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions._util import as_col
 from fathom.functions.time import round_time
-from fathom.operators.sequence import with_row_index
+from fathom.operators.sequence import prefix_sum, with_row_index
 
 
 def mean_strict(c) -> Column:
@@ -29,12 +29,6 @@ def mean_skip(c) -> Column:
     return F.avg(as_col(c))
 
 
-def sum_strict(c) -> Column:
-    """Sum that propagates NULL (R ``sum`` without na.rm)."""
-    c = as_col(c)
-    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
-
-
 def sd_over_n(c) -> Column:
     """The reference's 'se' = sd(x, na.rm=TRUE) / n() (n counts every row)."""
     return F.stddev_samp(as_col(c)) / F.count(F.lit(1))
@@ -48,48 +42,63 @@ def weighted_mean(x, w) -> Column:
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
-                    by: Sequence[str] = ()) -> DataFrame:
-    """Exact R type-7 quantiles (linear interpolation), null-skipping.
-
-    Distributed: rows are globally ranked in (by, value) order with a unique tiebreak
-    (range partitioning splits even a group that holds a third of all rows), each group's
-    rank window comes from a plain aggregate, and the two order statistics each quantile
-    needs are fetched by an equi-join on the global rank.
-    """
+                    by: Sequence[str] = (), nulls: str = "skip") -> DataFrame:
+    """Exact R type-7 quantiles (linear interpolation), one row per group.
+
+    ``nulls``: null and NaN values are skipped, or with ``"propagate"`` make their group's
+    quantiles NULL; a group without values has NULLs. Rows are counted per (group, value)
+    first; the distinct values get running counts in global order (a group that holds a third
+    of all rows is spread out), and each order statistic is the value whose span of ranks it
+    falls into, picked by one more aggregate."""
     by = list(by)
-    base = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value))).select(
-        *by, F.col(value).cast("double").alias("__v"))
-    base = base.withColumn("__tb", F.monotonically_increasing_id())
-    idx = with_row_index(base, [*by, "__v", "__tb"], "__r")
-    groups = idx.groupBy(*by).agg((F.min("__r") - 1).alias("__base"), F.count(F.lit(1)).alias("__n"))
-    targets = groups.select(*by, "__base", "__n", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p")) for name, p in probs.items()
-    ])).alias("__t"))
-    h = (F.col("__n") - 1) * F.col("__t.p")
-    j = F.floor(h).cast("long")
-    targets = targets.select(*by, F.col("__t.q").alias("__q"), (h - j).alias("__frac"),
-                             (F.col("__base") + j + 1).alias("__lo"),
-                             (F.col("__base") + F.least(j + 1, F.col("__n") - 1) + 1).alias("__hi"))
-    vals = idx.select("__r", "__v")
-    lo = vals.select(F.col("__r").alias("__lo"), F.col("__v").alias("__vlo"))
-    hi = vals.select(F.col("__r").alias("__hi"), F.col("__v").alias("__vhi"))
-    picked = targets.join(lo, "__lo").join(hi, "__hi").withColumn(
-        "__qv", F.col("__vlo") + F.col("__frac") * (F.col("__vhi") - F.col("__vlo")))
-    return picked.groupBy(*by).agg(*[
-        F.max(F.when(F.col("__q") == name, F.col("__qv"))).alias(name) for name in probs])
+    keys = [f"__k{i}" for i in range(len(by))]
+    v = F.col(value).cast("double")
+    held = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], F.when(~F.isnan(v), v).alias("__val"))
+    groups = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"), F.count("__val").alias("__n"))
+    counts = held.filter(F.col("__val").isNotNull()).groupBy(*keys, "__val").agg(F.count(F.lit(1)).alias("__c"))
+    idx = with_row_index(counts, [*keys, "__val"], "__r")
+    cum = prefix_sum(idx, "__r", "__c", "__upto").drop("__r")
+    own = groups.select(*[F.col(k).alias(f"{k}g") for k in keys], "__rows", "__n")
+    base = cum.groupBy(*keys).agg(F.min(F.col("__upto") - F.col("__c")).alias("__base"))
+    base = base.select(*[F.col(k).alias(f"{k}b") for k in keys], "__base")
+
+    def same(a: DataFrame, b: DataFrame, suffix: str) -> Column:
+        cond = F.lit(True)
+        for k in keys:
+            cond = cond & a[k].eqNullSafe(b[f"{k}{suffix}"])
+        return cond
+
+    spans = cum.join(base, same(cum, base, "b")).drop(*[f"{k}b" for k in keys])
+    spans = spans.join(own, same(spans, own, "g")).drop(*[f"{k}g" for k in keys])
+    first = F.col("__upto") - F.col("__c") - F.col("__base")      # 0-based rank of the value's first row
+    last = F.col("__upto") - F.col("__base") - 1
+    picks = []
+    for i, p in enumerate(probs.values()):
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        for side, at in (("l", F.floor(h)), ("h", F.least(F.floor(h) + 1, F.col("__n") - 1))):
+            picks.append(F.max(F.when(at.between(first, last), F.col("__val"))).alias(f"__{side}{i}"))
+    got = spans.groupBy(*keys).agg(*picks)
+    got = got.select(*[F.col(k).alias(f"{k}q") for k in keys], *[c for c in got.columns if c not in keys])
+    out = groups.join(got, same(groups, got, "q"), "left")
+    cols = []
+    for i, (name, p) in enumerate(probs.items()):
+        h = (F.col("__n") - 1) * F.lit(float(p))
+        q = F.col(f"__l{i}") + (h - F.floor(h)) * (F.col(f"__h{i}") - F.col(f"__l{i}"))
+        cols.append((F.when(F.col("__n") == F.col("__rows"), q) if nulls == "propagate" else q).alias(name))
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], *cols)
 
 
 def histogram(df: DataFrame, c: str, bins: int = 30, log10: bool = False,
               density: bool = False) -> DataFrame:
     """Equal-width histogram over [min, max] with ``bins`` bins (the maximum
-    falls in the last bin); empty bins are emitted with 0. Density = n / (N * width)."""
+    falls in the last bin; if all values are equal they fall in the first); empty bins are emitted with 0. Density = n / (N * width)."""
     x = F.log10(F.col(c)) if log10 else F.col(c)
     vals = df.select(x.alias("__x")).filter(F.col("__x").isNotNull() & ~F.isnan("__x"))
     rng = vals.agg(F.min("__x").alias("__mn"), F.max("__x").alias("__mx"),
                    F.count(F.lit(1)).alias("__N"))
     width = (F.col("__mx") - F.col("__mn")) / F.lit(float(bins))
     binned = vals.crossJoin(F.broadcast(rng)).withColumn(
-        "bin", F.least(F.floor((F.col("__x") - F.col("__mn")) / width).cast("int") + 1, F.lit(bins))
+        "bin", F.least(F.coalesce(F.floor(F.try_divide(F.col("__x") - F.col("__mn"), width)), F.lit(0)).cast("int") + 1, F.lit(bins))
         .cast("int"))
     counts = binned.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
     # bin ids 1..bins from the one-row range table

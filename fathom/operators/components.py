@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 from fathom.operators.sequence import rank_within
 from fathom.session import cut_lineage
 
-MAX_ROUNDS = 200
-
-
 def _sym(e: DataFrame, g: list[str]) -> DataFrame:
     both = e.unionByName(e.select(*g, F.col("v").alias("u"), F.col("u").alias("v")))
     return both.filter(F.col("u") != F.col("v")).distinct()
@@ -44,10 +41,11 @@ def _small_star(e: DataFrame, g: list[str]) -> DataFrame:
     return _sym(spokes.unionByName(centre), g)
 
 
-def _signature(e: DataFrame, g: list[str]) -> tuple:
-    h = F.xxhash64(*[F.col(c) for c in g], "u", "v")
-    r = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.pmod(h, F.lit(2147483647))).alias("s")).first()
-    return (r["n"], r["s"])
+def _all_stars(e: DataFrame, g: list[str]) -> bool:
+    """Is every node a centre, with larger neighbours only, or a tip with one smaller neighbour?"""
+    n = e.groupBy(*g, "u").agg(F.count(F.when(F.col("v") < F.col("u"), 1)).alias("down"),
+                               F.count(F.when(F.col("v") > F.col("u"), 1)).alias("up"))
+    return n.filter("down > 1 or (down > 0 and up > 0)").isEmpty()
 
 
 def star_components(nodes: DataFrame, edges: DataFrame, g: Sequence[str]) -> DataFrame:
@@ -57,15 +55,8 @@ def star_components(nodes: DataFrame, edges: DataFrame, g: Sequence[str]) -> Dat
     to the previous edge set several times, so an uncut lineage would grow geometrically."""
     g = list(g)
     e = cut_lineage(_sym(edges.select(*g, "u", "v"), g))
-    sig = _signature(e, g)
-    for _ in range(MAX_ROUNDS):
+    while not _all_stars(e, g):
         e = cut_lineage(_small_star(_large_star(e, g), g))
-        new = _signature(e, g)
-        if new == sig:
-            break
-        sig = new
-    else:
-        raise RuntimeError("connected components did not converge")
     best = e.groupBy(*g, "u").agg(F.min("v").alias("__m"))
     return nodes.join(best, [*g, "u"], "left").select(
         *g, "u", F.least(F.col("u"), F.coalesce(F.col("__m"), F.col("u"))).alias("root"))

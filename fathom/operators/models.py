@@ -83,8 +83,8 @@ def ols_builtin(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 
 
 def predict_line(fit: DataFrame, xs: DataFrame, x: str) -> DataFrame:
-    """Intercept + coef1 * x over a range of x (``fit`` is one row)."""
-    return xs.crossJoin(F.broadcast(fit.select("response", "intercept", "coef1"))).select(
+    """Intercept + coef1 * x over a range of x, for every row of ``fit``."""
+    return xs.crossJoin(fit.select("response", "intercept", "coef1")).select(
         "response", x, (F.col("intercept") + F.col("coef1") * F.col(x)).alias("fitted"))
 
 

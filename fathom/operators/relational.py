@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions._util import as_col
@@ -44,11 +44,21 @@ def flag_in(df: DataFrame, keys: DataFrame, on: Sequence[str], flag: str) -> Dat
         flag, F.coalesce(F.col("__hit"), F.lit(False))).drop("__hit")
 
 
+SLICE_ROWS = 100_000
+
+
 def row_slice(df: DataFrame, order: Sequence, first: int, last: int,
               rn: str = "row_nr") -> DataFrame:
-    """1-based inclusive positional slice in ``order`` (global row index, no single task)."""
-    idx = with_row_index(df, order, rn)
-    return idx.filter(F.col(rn).between(first, last))
+    """1-based inclusive positional slice in ``order``.
+
+    A slice near the start is a top-n (every task passes on its ``last`` first rows at most);
+    one further down goes through the global row index."""
+    if last > SLICE_ROWS:
+        return with_row_index(df, order, rn).filter(F.col(rn).between(first, last))
+    cols = [o if isinstance(o, Column) else F.col(o).asc_nulls_first() for o in order]
+    top = df.orderBy(*cols).limit(last)
+    place = F.row_number().over(Window.orderBy(*cols)).cast("long")
+    return top.withColumn(rn, place).filter(F.col(rn) >= first)
 
 
 def head(df: DataFrame, order: Sequence, n: int = 6) -> DataFrame:
@@ -62,22 +72,19 @@ def distinct_sorted(df: DataFrame, c: str) -> DataFrame:
 
 
 def crop(df: DataFrame, x: str, y: str, x_limits=None, y_limits=None) -> DataFrame:
-    """Inclusive crop; a missing limit defaults to the column's own min/max."""
-    lim = df.agg(F.min(x).alias("__x0"), F.max(x).alias("__x1"),
-                 F.min(y).alias("__y0"), F.max(y).alias("__y1"))
-    if x_limits is not None:
-        lim = lim.withColumns({"__x0": F.lit(min(x_limits)), "__x1": F.lit(max(x_limits))})
-    if y_limits is not None:
-        lim = lim.withColumns({"__y0": F.lit(min(y_limits)), "__y1": F.lit(max(y_limits))})
-    # the limits are one row
-    out = df.crossJoin(F.broadcast(lim)).filter(
-        F.col(x).between(F.col("__x0"), F.col("__x1")) & F.col(y).between(F.col("__y0"), F.col("__y1")))
-    return out.drop("__x0", "__x1", "__y0", "__y1")
+    """Inclusive crop. Given limits are literals, so they reach the scan; a missing limit is
+    the column's own minimum and maximum, which only nulls are outside of."""
+    for c, lim in ((x, x_limits), (y, y_limits)):
+        df = df.filter(F.col(c).isNotNull() if lim is None else F.col(c).between(min(lim), max(lim)))
+    return df
 
 
 def with_scalar(df: DataFrame, scalar: DataFrame) -> DataFrame:
-    """Attach a one-row aggregate to every row (broadcast of a single row)."""
-    return df.crossJoin(F.broadcast(scalar))
+    """Attach a one-row aggregate to every row. A second row raises; no row, no result."""
+    n = F.count(F.lit(1))
+    one = scalar.agg(*[F.first(c).alias(c) for c in scalar.columns], F.when(
+        n > 1, F.raise_error(F.lit("with_scalar: more than one row")).cast("long")).otherwise(n).alias("__rows"))
+    return df.crossJoin(F.broadcast(one.filter("__rows = 1").drop("__rows")))
 
 
 def natural_left_join(a: DataFrame, b: DataFrame, null_matches: bool = True) -> DataFrame:
@@ -100,10 +107,9 @@ def interval_join(df: DataFrame, bounds: DataFrame, lo_col: str, hi_col: str,
                   start: str, end: str) -> DataFrame:
     """Rows strictly inside each interval: lo_col > start AND hi_col < end.
 
-    ``bounds`` is a literal table of a handful of intervals (broadcast; its size is the
-    number of intervals the caller lists)."""
+    ``bounds`` is a table of a few intervals; Spark broadcasts it if its size allows."""
     cond = (F.col(lo_col) > F.col(start)) & (F.col(hi_col) < F.col(end))
-    return df.join(F.broadcast(bounds), cond, "inner")
+    return df.join(bounds, cond, "inner")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

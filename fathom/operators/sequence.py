@@ -9,19 +9,18 @@ series into one task. Instead every global-order operation here goes through
 2. sort inside partitions and cut lineage with a reliable ``checkpoint()`` so the
    partition contents are fixed,
 3. per-partition row counts (one row per partition) -> offsets (broadcast, size
-   bounded by the partition count),
+   bounded by the partition count, which follows the data),
 4. ``row = offset + position inside the partition``.
 
 Bounded windows (lag, moving mean, dilation) are then evaluated per fixed-size block of
 rows, each block carrying a halo of the neighbouring rows it needs (:func:`block_window`).
-Running sums use per-block totals and block offsets (:func:`prefix_sum`).
+Running sums use per-block totals, summed level by level (:func:`prefix_sum`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -35,28 +34,17 @@ def _order_cols(order: Sequence) -> list[Column]:
     return [o if isinstance(o, Column) else F.col(o).asc_nulls_first() for o in order]
 
 
-def with_row_index(df: DataFrame, order: Sequence, index_col: str = "rn",
-                   num_partitions: int | None = None) -> DataFrame:
+def with_row_index(df: DataFrame, order: Sequence, index_col: str = "rn") -> DataFrame:
     """Add a 1-based global row number in the total order given by ``order``.
 
     ``order`` must be a total order (add a tiebreak column) for the result to be
-    deterministic. The result is checkpointed and range-partitioned on ``order``. As in
-    ``RDD.zipWithIndex``, the per-partition counts (one number per partition) come back to
+    deterministic. The result is checkpointed and range-partitioned on ``order``, in as many
+    partitions as its size asks for (AQE joins small ranges). As in ``RDD.zipWithIndex``, the per-partition counts (one number per partition) come back to
     the driver to become offsets, which are broadcast as a partition-count-sized table.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = _order_cols(order)
-    # the range partitioner samples its input before shuffling it: keep the input for
-    # both passes instead of computing it twice (unless the caller already cached it)
-    own_cache = not df.is_cached
-    if own_cache:
-        df.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        fixed = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
-    finally:
-        if own_cache:
-            df.unpersist()
+    fixed = cut_lineage(df.repartitionByRange(*cols).sortWithinPartitions(*cols))
     tagged = (fixed.withColumn(_PID, F.spark_partition_id())
               .withColumn(_LOCAL, F.monotonically_increasing_id()
                           - F.shiftleft(F.spark_partition_id().cast("long"), 33)))
@@ -97,32 +85,32 @@ def block_window(df: DataFrame, rn: str, before: int, after: int,
     return out.filter(F.col(_BLK) == F.col(_HOME)).drop(_BLK, _HOME)
 
 
-MAX_BLOCKS = 10_000
+def _before(totals: DataFrame, last: int, fan: int) -> DataFrame:
+    """(block, __boff): sum of ``t`` over all earlier blocks, ``fan`` blocks a window; the totals
+    of those windows are summed the same way, level by level."""
+    inner = Window.partitionBy("__up").orderBy(_BLK).rowsBetween(Window.unboundedPreceding, -1)
+    up = totals.withColumn("__up", F.floor(F.col(_BLK) / F.lit(fan)).cast("long"))
+    within = up.withColumn("__boff", F.coalesce(F.sum("t").over(inner), F.lit(0)))
+    if last < fan:
+        return within.select(_BLK, "__boff")
+    above = up.groupBy(F.col("__up").alias(_BLK)).agg(F.sum("t").alias("t"))
+    above = _before(above, last // fan, fan).select(F.col(_BLK).alias("__up"), F.col("__boff").alias("__uoff"))
+    return within.join(above, "__up").select(_BLK, (F.col("__boff") + F.col("__uoff")).alias("__boff"))
 
 
 def prefix_sum(df: DataFrame, rn: str, value, out_col: str,
-               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               block_rows: int = DEFAULT_BLOCK_ROWS, fan: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Running sum of ``value`` over the global order ``rn`` (inclusive).
 
-    Block totals (at most ``MAX_BLOCKS`` numbers: the block size grows with the series)
-    become block offsets on the driver and are broadcast back."""
-    spark = df.sparkSession
-    total = df.agg(F.max(rn)).first()[0] or 0
-    block_rows = max(int(block_rows), -(-int(total) // MAX_BLOCKS))
+    Blocks have a fixed size whatever the length of the series; their totals are summed by
+    Spark in as many levels as it takes."""
+    last = ((df.agg(F.max(rn)).first()[0] or 1) - 1) // block_rows
     v = value if isinstance(value, Column) else F.col(value)
     blk = F.floor((F.col(rn) - 1) / F.lit(block_rows)).cast("long")
     staged = df.withColumn(_BLK, blk).withColumn("__v", v)
-    vtype = staged.schema["__v"].dataType.simpleString()
-    zero = 0.0 if vtype in ("double", "float") else 0
-    totals = sorted((r[0], r[1] or zero) for r in staged.groupBy(_BLK).agg(F.sum("__v")).collect())
-    rows, acc = [], zero
-    for b, t in totals:
-        rows.append((b, acc))
-        acc += t
-    sum_type = "double" if vtype in ("double", "float") else "long"
-    boff = spark.createDataFrame(rows or [(0, zero)], f"{_BLK} long, __boff {sum_type}")
+    totals = staged.groupBy(_BLK).agg(F.coalesce(F.sum("__v"), F.lit(0)).alias("t"))
     w = Window.partitionBy(_BLK).orderBy(rn).rowsBetween(Window.unboundedPreceding, 0)
-    return (staged.join(F.broadcast(boff), _BLK)
+    return (staged.join(_before(totals, last, fan), _BLK)
             .withColumn(out_col, F.col("__boff") + F.coalesce(F.sum("__v").over(w), F.lit(0)))
             .drop(_BLK, "__v", "__boff"))
 

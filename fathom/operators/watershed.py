@@ -1,11 +1,16 @@
-"""Marker-controlled watershed of one image per group (grouped Pandas map).
-
-The flood is inherently sequential per image (a priority queue ordered by cell value,
-first-in-first-out among ties), so each group's image is flooded inside one Python
-worker with numpy + heapq, while Spark runs the groups in parallel and ships them over
-Arrow. Semantics: marker cells keep their label; every unlabelled 8-neighbour of a
-marker cell is labelled at discovery (column-major scan order) and queued with its own
-value; cells are popped lowest value first and label their unlabelled 8-neighbours.
+"""Marker-controlled watershed of one image per group, by one rule for every size.
+
+A path from a marker cell has the key (level, generation, steps): the highest value on it,
+how many further cells of just that value it has since reaching it, and how many lower cells
+since the last of those. Every step makes the key larger. A cell's key is the least over all
+paths to it, and its label is that of the 8-neighbour of least key (the first in column-major
+scan order if several have it); marker cells have the least key and keep their label. Equal
+values are so flooded outwards from where they are entered, like a first-in-first-out queue.
+
+Images are cut into tiles of bounded size. A tile is flooded in one task (lowest key first,
+so each cell is settled once); what its edge cells end with goes to the tiles beside it,
+which are flooded again with that. Keys only fall, and when no edge cell changes any more
+every cell obeys the rule. An image of one tile needs no exchange.
 """
 
 from __future__ import annotations
@@ -20,141 +25,112 @@ from pyspark.sql import functions as F
 
 from fathom.session import cut_lineage
 
+TILE = 512
 
-def flood(values: np.ndarray, markers: np.ndarray) -> np.ndarray:
-    """Watershed of a dense 2-D ``values`` array [ping, depth] from integer ``markers``."""
-    nx, ny = values.shape
-    seg = markers.astype(np.int64).copy()
-    heap: list[tuple[float, int, int, int]] = []
-    age = 0
-    # column-major scan: ping index (axis 0) fastest
-    for j in range(ny):
-        for i in range(nx):
-            lab = markers[i, j]
-            if lab <= 0:
-                continue
-            for nj in range(max(j - 1, 0), min(j + 2, ny)):
-                for ni in range(max(i - 1, 0), min(i + 2, nx)):
-                    if seg[ni, nj] == 0:
-                        seg[ni, nj] = lab
-                        heapq.heappush(heap, (float(values[ni, nj]), age, ni, nj))
-                        age += 1
-    while heap:
-        _, _, i, j = heapq.heappop(heap)
-        lab = seg[i, j]
-        for nj in range(max(j - 1, 0), min(j + 2, ny)):
-            for ni in range(max(i - 1, 0), min(i + 2, nx)):
-                if seg[ni, nj] == 0:
-                    seg[ni, nj] = lab
-                    heapq.heappush(heap, (float(values[ni, nj]), age, ni, nj))
-                    age += 1
-    return seg
-
+Key = tuple[float, int, int]
+Halo = list[tuple[int, int, Key, int]]
 
-MAX_IMAGE_CELLS = 20_000_000   # ~0.5 GB of working arrays in one Python worker
-_NB8 = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dx, dy) != (0, 0)]
 
-
-def oversized_groups(grid: DataFrame, group: Sequence[str], max_cells: int) -> DataFrame:
-    """Keys of images with more than ``max_cells`` cells (at most cells / max_cells rows)."""
-    return grid.groupBy(*group).count().filter(F.col("count") > max_cells).select(*group)
+def flood(values: np.ndarray, markers: np.ndarray) -> np.ndarray:
+    """Labels of one whole image."""
+    return settle(values, markers)[0]
 
 
-def watershed_relational(grid: DataFrame, group: Sequence[str], xi: str = "xi", yi: str = "yi",
-                         value: str = "Sv_mean", marker: str = "comp", out_col: str = "label",
-                         max_rounds: int = 100_000) -> DataFrame:
-    """The same flood as a fixpoint of neighbour joins, for images too big for one task.
+def settle(values: np.ndarray, markers: np.ndarray, halo: Halo = (), origin: tuple[int, int] = (0, 0)):
+    """Labels and keys of a dense 2-D ``values`` array [ping, depth] from integer ``markers``.
 
-    A cell is reached from the 8-neighbour with the lowest flood level, where a marker
-    cell's level is -inf and any other cell's level is max(own value, its parent's level);
-    among marker neighbours the first in scan order wins, among others the lowest position.
-    Cells whose parent or label changed send messages in the next round (Bellman-Ford on
-    the minimax path level); every round is checkpointed. Equal to :func:`flood` when no
-    cell sees two different labels at the same lowest level (the flood breaks such ties
-    first-in-first-out)."""
-    g = list(group)
-    ncols = grid.groupBy(*g).agg(F.max(xi).alias("__nx"))
-    base = grid.join(ncols, g).select(
-        *g, F.col(xi).cast("int").alias(xi), F.col(yi).cast("int").alias(yi),
-        F.col(value).cast("double").alias("__v"),
-        F.coalesce(F.col(marker), F.lit(0)).cast("long").alias("__m"),
-        ((F.col(yi) - 1) * F.col("__nx") + F.col(xi)).cast("long").alias("__lin"))
-    is_m = F.col("__m") > 0
-    inf = F.lit(float("inf"))
-    state = cut_lineage(base.select(
-        "*", F.when(is_m, F.lit(float("-inf"))).otherwise(inf).alias("__P"),
-        F.when(is_m, F.lit(0)).otherwise(F.lit(2)).alias("__kind"),
-        F.lit(0).cast("long").alias("__k2"), F.col("__m").alias("__lab")))
-    frontier = state.filter(is_m)
-    offs = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _NB8]))
-    for _ in range(max_rounds):
-        lvl = F.when(F.col("__m") > 0, F.lit(float("-inf"))).otherwise(F.greatest("__v", "__P"))
-        msgs = frontier.select(*g, xi, yi, "__lin", "__m", "__lab", lvl.alias("__lvl"), offs.alias("__o")).select(
-            *g, (F.col(xi) + F.col("__o.dx")).alias(xi), (F.col(yi) + F.col("__o.dy")).alias(yi),
-            F.struct(F.col("__lvl").alias("P"),
-                     F.when(F.col("__m") > 0, F.lit(0)).otherwise(F.lit(1)).alias("kind"),
-                     F.col("__lin").alias("k2"), F.col("__lab").alias("lab")).alias("__msg"))
-        best = msgs.groupBy(*g, xi, yi).agg(F.min("__msg").alias("__b"))
-        cand = state.filter(~is_m).join(best, [*g, xi, yi])
-        new_key = F.struct(F.col("__b.P"), F.col("__b.kind"), F.col("__b.k2"))
-        old_key = F.struct(F.col("__P"), F.col("__kind"), F.col("__k2"))
-        changed = (new_key < old_key) | ((new_key == old_key) & (F.col("__b.lab") != F.col("__lab")))
-        better = cut_lineage(cand.filter(changed).select(
-            *g, xi, yi, "__v", "__m", "__lin", F.col("__b.P").alias("__P"), F.col("__b.kind").alias("__kind"),
-            F.col("__b.k2").alias("__k2"), F.col("__b.lab").alias("__lab")))
-        if better.isEmpty():
-            break
-        upd = state.join(better.select(*g, xi, yi, *[F.col(c).alias(c + "_n") for c in
-                                                      ("__P", "__kind", "__k2", "__lab")]),
-                         [*g, xi, yi], "left")
-        state = cut_lineage(upd.select(
-            *g, xi, yi, "__v", "__m", "__lin",
-            *[F.coalesce(F.col(c + "_n"), F.col(c)).alias(c) for c in ("__P", "__kind", "__k2", "__lab")]))
-        frontier = better
-    else:
-        raise RuntimeError("relational watershed did not converge")
-    return state.select(*g, xi, yi, F.col("__lab").alias(out_col))
+    ``halo``: settled cells just outside, as (i, j, key, label). ``origin``: where the array
+    starts in its image, so that the scan order is the image's. Cells that nothing reaches
+    have label 0 and key None."""
+    nx, ny = values.shape
+    v, seg = values.tolist(), markers.astype(np.int64).tolist()
+    keys: list[list[Key | None]] = [[None] * ny for _ in range(nx)]
+    ox, oy = origin
+    heap = [(k, j + oy, i + ox, lab) for i, j, k, lab in halo]
+    for i, j in zip(*(a.tolist() for a in np.nonzero(markers > 0))):
+        keys[i][j] = (float("-inf"), 0, 0)
+        heap.append((keys[i][j], j + oy, i + ox, seg[i][j]))
+    heapq.heapify(heap)
+    while heap:
+        k, gj, gi, lab = heapq.heappop(heap)
+        level, gen, steps = k
+        i, j = gi - ox, gj - oy
+        for nj in range(max(j - 1, 0), min(j + 2, ny)):
+            for ni in range(max(i - 1, 0), min(i + 2, nx)):
+                if keys[ni][nj] is None:
+                    x = v[ni][nj]
+                    new = (x, 0, 0) if x > level else (level, gen + 1, 0) if x == level else (level, gen, steps + 1)
+                    keys[ni][nj], seg[ni][nj] = new, lab
+                    heapq.heappush(heap, (new, nj + oy, ni + ox, lab))
+    return np.array(seg, dtype=np.int64).reshape(nx, ny), keys
+
+
+def _flood_tile(pdf: pd.DataFrame, halo: pd.DataFrame | None, xi: str, yi: str, value: str, marker: str):
+    """(row places, labels, keys) of one tile's cells."""
+    x, y = pdf[xi].to_numpy(np.int64), pdf[yi].to_numpy(np.int64)
+    ox, oy = int(x.min()), int(y.min())
+    shape = int(x.max()) - ox + 1, int(y.max()) - oy + 1
+    vals, marks = np.full(shape, np.inf), np.zeros(shape, dtype=np.int64)
+    vals[x - ox, y - oy] = pdf[value].to_numpy(np.float64)
+    marks[x - ox, y - oy] = pdf[marker].fillna(0).to_numpy(np.int64)
+    around = [] if halo is None else [(int(i) - ox, int(j) - oy, (float(a), int(b), int(c)), int(lab)) for i, j, a, b, c, lab in
+                                      zip(halo["hx"], halo["hy"], halo["level"], halo["gen"], halo["steps"], halo["lab"])]
+    seg, keys = settle(vals, marks, around, (ox, oy))
+    return seg[x - ox, y - oy], [keys[i][j] for i, j in zip((x - ox).tolist(), (y - oy).tolist())]
 
 
 def watershed(grid: DataFrame, group: Sequence[str], xi: str = "xi", yi: str = "yi",
-              value: str = "Sv_mean", marker: str = "comp", out_col: str = "label",
-              max_cells: int = MAX_IMAGE_CELLS) -> DataFrame:
+              value: str = "Sv_mean", marker: str = "comp", out_col: str = "label", tile: int = TILE) -> DataFrame:
     """Per group: flood ``value`` from ``marker`` labels (0 = unlabelled) on the dense grid.
 
-    Returns every input column except ``marker``, plus ``out_col``. Images up to
-    ``max_cells`` cells are flooded inside one Python worker each (the other columns ride
-    along, so no join back is needed); larger ones (found by one aggregate) go to
-    :func:`watershed_relational`."""
+    Returns every input column except ``marker``, plus ``out_col``. ``tile`` changes how much a
+    task holds, not the result."""
     g = list(group)
-    big = oversized_groups(grid, g, max_cells)
-    big_keys = big.collect()
-    if not big_keys:
-        return _flood_groups(grid, g, xi, yi, value, marker, out_col)
-    big_df = grid.sparkSession.createDataFrame(big_keys, big.schema)
-    small = grid.join(F.broadcast(big_df), g, "left_anti")
-    large = grid.join(F.broadcast(big_df), g, "left_semi")
-    flooded = watershed_relational(large, g, xi, yi, value, marker, out_col)
-    large_out = large.drop(marker).join(flooded, [*g, xi, yi])
-    return _flood_groups(small, g, xi, yi, value, marker, out_col).unionByName(large_out)
-
-
-def _flood_groups(grid: DataFrame, g: list[str], xi: str, yi: str, value: str, marker: str,
-                  out_col: str) -> DataFrame:
-    keep = [f for f in grid.schema.fields if f.name != marker]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out_col}` long"])
-    names = [f.name for f in keep]
-
-    def per_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[xi].to_numpy(dtype=np.int64) - 1
-        y = pdf[yi].to_numpy(dtype=np.int64) - 1
-        nx, ny = int(x.max()) + 1, int(y.max()) + 1
-        vals = np.full((nx, ny), np.inf)
-        marks = np.zeros((nx, ny), dtype=np.int64)
-        vals[x, y] = pdf[value].to_numpy(dtype=np.float64)
-        marks[x, y] = pdf[marker].fillna(0).to_numpy(dtype=np.int64)
-        seg = flood(vals, marks)
-        out = pdf[names].copy()
-        out[out_col] = seg[x, y]
-        return out
-
-    return grid.groupBy(*g).applyInPandas(per_group, schema)
+    at = {"__tx": F.floor((F.col(xi) - 1) / tile), "__ty": F.floor((F.col(yi) - 1) / tile)}
+    cells = grid.withColumns(at)
+    tiles = [*g, "__tx", "__ty"]
+    kept = [f for f in grid.schema.fields if f.name != marker]
+    kinds = {f.name: f.dataType.simpleString() for f in grid.schema.fields}
+    names = [f.name for f in kept]
+    out_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{out_col}` long"])
+
+    def label(pdf: pd.DataFrame, halo: pd.DataFrame | None = None) -> pd.DataFrame:
+        return pdf[names].assign(**{out_col: _flood_tile(pdf, halo, xi, yi, value, marker)[0]})
+
+    size = grid.agg(F.max(xi), F.max(yi)).first()
+    if max(size[0] or 0, size[1] or 0) <= tile:
+        return cells.groupBy(*tiles).applyInPandas(lambda pdf: label(pdf), out_schema)
+
+    cells = cut_lineage(cells)
+    edge_schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in g], "hx long", "hy long", "level double", "gen long", "steps long", "lab long"])
+
+    def edges(pdf: pd.DataFrame, halo: pd.DataFrame) -> pd.DataFrame:
+        cols = [*g, "hx", "hy", "level", "gen", "steps", "lab"]
+        if not len(pdf):
+            return pd.DataFrame(columns=cols)
+        seg, keys = _flood_tile(pdf, halo, xi, yi, value, marker)
+        x, y = pdf[xi].to_numpy(np.int64), pdf[yi].to_numpy(np.int64)
+        rim = np.flatnonzero((x % tile <= 1) | (y % tile <= 1))
+        rim = [r for r in rim.tolist() if keys[r] is not None]
+        return pd.DataFrame({**{c: pdf[c].iloc[rim] for c in g}, "hx": x[rim], "hy": y[rim], "level": [keys[r][0] for r in rim],
+                             "gen": [keys[r][1] for r in rim], "steps": [keys[r][2] for r in rim], "lab": seg[rim]})
+
+    def beside(rim: DataFrame) -> DataFrame:
+        """Edge cells under every other tile that one of their neighbours is in."""
+        near = F.array_distinct(F.flatten(F.array(*[F.array(F.struct(
+            F.floor((F.col("hx") - 1 + dx) / tile).alias("tx"), F.floor((F.col("hy") - 1 + dy) / tile).alias("ty")))
+            for dx in (-1, 0, 1) for dy in (-1, 0, 1)])))
+        own = (F.col("t.tx") == F.floor((F.col("hx") - 1) / tile)) & (F.col("t.ty") == F.floor((F.col("hy") - 1) / tile))
+        return rim.withColumn("t", F.explode(near)).filter(~own).select(
+            *rim.columns, F.col("t.tx").alias("__tx"), F.col("t.ty").alias("__ty"))
+
+    spark = grid.sparkSession
+    rim = spark.createDataFrame([], edge_schema)
+    while True:
+        halo = beside(rim)
+        new = cut_lineage(cells.groupBy(*tiles).cogroup(halo.groupBy(*tiles)).applyInPandas(edges, edge_schema))
+        if new.exceptAll(rim).isEmpty():
+            break
+        rim = new
+    return cells.groupBy(*tiles).cogroup(beside(rim).groupBy(*tiles)).applyInPandas(
+        lambda pdf, halo: label(pdf, halo) if len(pdf) else pd.DataFrame(columns=[*names, out_col]), out_schema)

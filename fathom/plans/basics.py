@@ -236,7 +236,8 @@ def date_spine(spark, sf):
 @query("parse_datetime", ops="D1 D4", sql="""
     SELECT l_orderkey, l_linenumber,
            strptime(strftime(l_shipdate, '%Y%m%d') || ' ' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ':07:30', '%Y%m%d %H:%M:%S') AS parsed,
-           strptime(strftime(l_shipdate, '%m/%d/%Y') || ' 3:05', '%m/%d/%Y %H:%M') AS parsed_mdy
+           strptime(strftime(l_shipdate, '%m/%d/%Y') || ' 3:05', '%m/%d/%Y %H:%M') AS parsed_mdy,
+           date_trunc('day', l_shipdate) + INTERVAL '2 hours 30 minutes 5 seconds' AS parsed_ymd
     FROM lineitem""")
 def parse_datetime(spark, sf):
     li = table(spark, sf, "lineitem")
@@ -245,7 +246,9 @@ def parse_datetime(spark, sf):
     mdy = F.concat(F.date_format("l_shipdate", "MM/dd/yyyy"), F.lit(" 3:05"))
     return li.select("l_orderkey", "l_linenumber",
                      T.parse_datetime(date_int, time_s).alias("parsed"),
-                     T.parse_ts(mdy, T.PATTERNS["mdy_hm"]).alias("parsed_mdy"))
+                     T.parse_ts(mdy, T.PATTERNS["mdy_hm"]).alias("parsed_mdy"),
+                     T.parse_ts(F.concat(F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit("T02:30:05")),
+                                T.PATTERNS["ymd_hms"]).alias("parsed_ymd"))
 
 
 @query("shift_hours", ops="D2 D3", sql="""
@@ -258,10 +261,12 @@ def shift_hours(spark, sf):
 
 
 @query("relabel_zone", ops="D5", sql="""
-    SELECT event_id, timezone('America/Los_Angeles', timezone('UTC', ts)) AS local_ts FROM events""")
+    SELECT event_id, ts AS local_ts, timezone('UTC', timezone('America/Los_Angeles', ts)) AS instant_utc FROM events""")
 def relabel_zone(spark, sf):
+    """The clock stays; the instant that it names in the declared zone comes beside it."""
     ev = table(spark, sf, "events")
-    return ev.select("event_id", T.relabel_zone("ts", "UTC", "America/Los_Angeles").alias("local_ts"))
+    return ev.select("event_id", F.col("ts").alias("local_ts"),
+                     T.zone_instant("ts", "America/Los_Angeles").alias("instant_utc"))
 
 
 @query("floor_time", ops="D7 G10", sql="""
@@ -376,6 +381,20 @@ def group_median(spark, sf):
     return A.exact_quantiles(v_grid(spark, sf), "Sv_mean", {"sv_median": 0.5}, ["date", "depth"])
 
 
+@query("median_nulls", ops="A6", sql=with_views("""
+    SELECT date, quantile_cont(temperature, 0.5) AS med_skip,
+           CASE WHEN count(temperature) = count(*) THEN quantile_cont(temperature, 0.5) END AS med_strict
+    FROM (SELECT CAST(date_trunc('year', date) AS DATE) AS date, temperature FROM v_env
+          UNION ALL SELECT DATE '1900-01-01', NULL FROM v_env) GROUP BY date""", "v_env"))
+def median_nulls(spark, sf):
+    """Both treatments of nulls, with a group that has no values at all."""
+    env = v_env(spark, sf).select(F.trunc("date", "year").alias("date"), "temperature")
+    env = env.unionByName(env.select(F.lit("1900-01-01").cast("date").alias("date"), F.lit(None).cast("double").alias("temperature")))
+    skip = A.exact_quantiles(env, "temperature", {"med_skip": 0.5}, ["date"])
+    strict = A.exact_quantiles(env, "temperature", {"med_strict": 0.5}, ["date"], nulls="propagate")
+    return skip.join(strict, "date")
+
+
 @query("group_quantiles", ops="A7", sql=with_views("""
     SELECT activity, quantile_cont(depth_meters, 0.25) AS q25, quantile_cont(depth_meters, 0.40) AS q40,
            quantile_cont(depth_meters, 0.60) AS q60, quantile_cont(depth_meters, 0.75) AS q75,

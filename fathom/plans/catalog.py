@@ -33,5 +33,5 @@ def query(name: str, sql: str | None = None, ops: str = ""):
 
 def load_all() -> dict[str, Entry]:
     # importing the plan modules registers their queries
-    from fathom.plans import basics, series, grids, models, dives, echogram  # noqa: F401
+    from fathom.plans import basics, series, grids, models, dives, echogram, tables  # noqa: F401
     return REGISTRY

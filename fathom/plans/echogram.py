@@ -11,6 +11,7 @@ from fathom.functions import math as M
 from fathom.functions import time as T
 from fathom.operators import relational as R
 from fathom.plans.catalog import query
+from fathom.plans.grids import _WS_SUMMARY, flood_chain, grid_sql, layers, smooth_layers
 from fathom.sources import literals as L
 from fathom.sources.views import table, v_grid, with_views
 
@@ -125,6 +126,19 @@ def q_interval_join(spark, sf):
     return transition_windows(spark, echo_frame(spark, sf))
 
 
+@query("transition_layertop", ops="Q12 Q14 J8", sql=grid_sql(f"""
+    SELECT strftime(b.inner_start, '%Y-%m') AS window, s.datetime, s.layertop_smooth,
+           s.datetime > b.inner_start AND s.datetime < b.inner_end AS inner_window
+    FROM smoothed s JOIN b ON s.datetime > b.outer_start AND s.datetime < b.outer_end""", _WS_SUMMARY + ", " + _bounds_sql()))
+def q_transition_layertop(spark, sf):
+    """The line over the transition panels: smoothed layer top inside the nested windows."""
+    lab, kept = flood_chain(spark, sf)
+    s = smooth_layers(layers(lab, kept)).select("datetime", "layertop_smooth")
+    j = R.interval_join(s, bounds(spark), "datetime", "datetime", "outer_start", "outer_end")
+    return j.select(T.year_month("inner_start").alias("window"), "datetime", "layertop_smooth",
+                    R.between_open("datetime", F.col("inner_start"), F.col("inner_end")).alias("inner_window"))
+
+
 @query("interval_layer", ops="Q12 J8 A12", sql=with_views(f"""
     WITH {_bounds_sql()},
       cm AS (SELECT datetime, sum(pow(10.0, Sv_mean / 10) * depth) / sum(pow(10.0, Sv_mean / 10)) AS cm

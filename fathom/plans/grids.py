@@ -1,8 +1,8 @@
 """Segment detection on echogram grids and what is derived from it
 (SURVEY G1-G9, Q1, Q2, Q3, Q13-Q15).
 
-The oracle runs the mask-only chain (components as segments) because the watershed
-flood has no SQL form; the watershed chain is registered rows-only.
+Two chains: segments as the reference has them, flooded by the watershed (``watershed_*``
+and ``detect_*``), and the components of the mask alone. Both have their SQL.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from fathom.operators import sequence as S
 from fathom.plans.catalog import query
 from fathom.session import cut_lineage
 from fathom.sources import literals as L
+from fathom.sources.views import SQL as VIEW_SQL
 from fathom.sources.views import v_env, v_grid, with_views
 
 GROUP = ["date"]
@@ -85,10 +86,8 @@ def migration(smoothed: DataFrame, summary: DataFrame) -> DataFrame:
         F.struct(F.lit("cm").alias("m"), F.col("cm_smooth").alias("v")),
         F.struct(F.lit("layertop").alias("m"), F.col("layertop_smooth").alias("v")))).alias("__s")) \
         .select("date", "hourlabel", "__s.m", "__s.v")
-    med = A.exact_quantiles(stacked, "v", {"med": 0.5}, ["date", "hourlabel", "m"])
-    keys = lab.select("date", "hourlabel").distinct()
-    long = keys.join(A.pivot_wide(med, ["date", "hourlabel"], "m", "med", ["cm", "layertop"]),
-                     ["date", "hourlabel"], "left")
+    med = A.exact_quantiles(stacked, "v", {"med": 0.5}, ["date", "hourlabel", "m"], nulls="propagate")
+    long = A.pivot_wide(med, ["date", "hourlabel"], "m", "med", ["cm", "layertop"])
     wide = A.pivot_wide(long, ["date"], "hourlabel", "cm", ["noon", "midnight"], "cm_").join(
         A.pivot_wide(long, ["date"], "hourlabel", "layertop", ["noon", "midnight"], "layertop_"), "date")
     wide = wide.withColumns({"delta_cm": F.col("cm_noon") - F.col("cm_midnight"),
@@ -114,8 +113,14 @@ def mask_chain(spark, sf, shared: bool = True):
     return lab, kept
 
 
-def migration_table(spark, sf) -> DataFrame:
-    lab, kept = mask_chain(spark, sf)
+def flood_chain(spark, sf):
+    """Segments as the reference has them: every cell is flooded to a marker."""
+    lab = labelled_grid(spark, sf, use_watershed=True)
+    return lab, segments(lab, use_watershed=True)
+
+
+def migration_table(spark, sf, use_watershed: bool = False) -> DataFrame:
+    lab, kept = flood_chain(spark, sf) if use_watershed else mask_chain(spark, sf)
     return migration(smooth_layers(layers(lab, kept)), daily_summary(kept))
 
 
@@ -132,7 +137,7 @@ _DENSE = """
             FROM xs JOIN nxs ON xs.date = nxs.date JOIN ys ON xs.date = ys.date
             LEFT JOIN v_grid g ON g.date = xs.date AND g.datetime = xs.datetime AND g.depth = ys.depth)"""
 
-_COMPS = _DENSE + """,
+_CC = _DENSE + """,
   mcell AS (SELECT date, xi, yi, (yi - 1) * nx + xi AS lin FROM dense WHERE Sv_mean > -60),
   nb(dx, dy) AS (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)),
   cc(date, xi, yi, lab) USING KEY (date, xi, yi) AS (
@@ -142,18 +147,52 @@ _COMPS = _DENSE + """,
     FROM cc c CROSS JOIN nb JOIN mcell n ON n.date = c.date AND n.xi = c.xi + nb.dx AND n.yi = c.yi + nb.dy
     JOIN recurring.cc cur ON cur.date = n.date AND cur.xi = n.xi AND cur.yi = n.yi
     GROUP BY n.date, n.xi, n.yi HAVING min(c.lab) < min(cur.lab)),
-  comps AS (SELECT date, xi, yi, CAST(dense_rank() OVER (PARTITION BY date ORDER BY lab) AS BIGINT) AS comp FROM cc),
+  comps AS (SELECT date, xi, yi, CAST(dense_rank() OVER (PARTITION BY date ORDER BY lab) AS BIGINT) AS comp FROM cc)"""
+
+_MASK_LABELS = """,
   labelled AS (SELECT d.*, coalesce(c.comp, 0) AS label FROM dense d
-               LEFT JOIN comps c ON d.date = c.date AND d.xi = c.xi AND d.yi = c.yi),
+               LEFT JOIN comps c ON d.date = c.date AND d.xi = c.xi AND d.yi = c.yi)"""
+
+# The flood: keys (level, generation, steps) by relaxation, then each cell hangs on its
+# neighbour of least key and takes the label of the marker at the root. A cell is one number
+# (image, yi, xi) and so is a key (rank of the level, generation, steps), 20 bits a part.
+_FLOOD_LABELS = """,
+  nb8(d) AS (SELECT dx + dy * 1048576 FROM (VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (1, -1), (-1, 1), (-1, -1)) t(dx, dy)),
+  cellv AS MATERIALIZED (
+    SELECT (dense_rank() OVER (ORDER BY d.date) << 40) + (d.yi::BIGINT << 20) + d.xi AS id, d.date, d.xi, d.yi,
+           dense_rank() OVER (ORDER BY d.Sv_mean) AS v, c.comp
+    FROM dense d LEFT JOIN comps c ON d.date = c.date AND d.xi = c.xi AND d.yi = c.yi),
+  wk(id, k) USING KEY (id) AS (
+    SELECT id, CASE WHEN comp IS NOT NULL THEN 0 ELSE 1::BIGINT << 61 END FROM cellv
+    UNION
+    SELECT n.id, min(CASE WHEN n.v > u.k >> 40 THEN n.v << 40 WHEN n.v = u.k >> 40 THEN ((u.k >> 20) + 1) << 20 ELSE u.k + 1 END) AS k
+    FROM wk u CROSS JOIN nb8 JOIN cellv n ON n.id = u.id + nb8.d JOIN recurring.wk cur ON cur.id = n.id
+    WHERE u.k < 1::BIGINT << 61
+    GROUP BY n.id
+    HAVING min(CASE WHEN n.v > u.k >> 40 THEN n.v << 40 WHEN n.v = u.k >> 40 THEN ((u.k >> 20) + 1) << 20 ELSE u.k + 1 END) < min(cur.k)),
+  par AS MATERIALIZED (
+    SELECT c.id, min({'k': u.k, 'id': u.id}) AS p FROM wk c CROSS JOIN nb8 JOIN wk u ON u.id = c.id + nb8.d
+    WHERE c.k > 0 AND u.k < 1::BIGINT << 61 GROUP BY c.id),
+  wl(id, label) AS (
+    SELECT id, comp FROM cellv WHERE comp IS NOT NULL
+    UNION ALL
+    SELECT par.id, wl.label FROM wl JOIN par ON par.p.id = wl.id),
+  labelled AS MATERIALIZED (SELECT d.*, coalesce(wl.label, 0) AS label FROM dense d
+               JOIN cellv c ON d.date = c.date AND d.xi = c.xi AND d.yi = c.yi LEFT JOIN wl ON wl.id = c.id)"""
+
+_SEGS = """,
   segs AS (SELECT date, label, max(depth) AS bottom, min(depth) AS top, min(xi) AS "left", max(xi) AS "right",
                   max(yi) - min(yi) + 1 AS height, max(xi) - min(xi) + 1 AS width, count(*) AS npixels,
                   avg(pow(10.0, Sv_mean / 10)) AS mean, stddev_samp(pow(10.0, Sv_mean / 10)) AS std,
                   avg(pow(10.0, Sv_mean / 10)) * count(*) AS total, min(datetime) AS start_time,
                   (max(depth) + min(depth)) / 2 AS middle
-           FROM labelled WHERE label > 0 GROUP BY date, label),
+           FROM labelled WHERE label >= {least} GROUP BY date, label),
   kept AS (SELECT * FROM segs WHERE npixels > 2 AND npixels < 1000 AND width <= 12)"""
 
-_LAYERS = _COMPS + """,
+_COMPS = _CC + _MASK_LABELS + _SEGS.format(least=1)
+_FLOODED = _CC + _FLOOD_LABELS + _SEGS.format(least=0)
+
+_LAYER_CTES = """,
   blank AS (SELECT l.*, CASE WHEN k.label IS NOT NULL THEN 0.0 ELSE pow(10.0, l.Sv_mean / 10) END AS sv
             FROM labelled l LEFT JOIN kept k ON l.date = k.date AND l.label = k.label),
   cum AS (SELECT *, sum(sv) OVER (PARTITION BY date, xi ORDER BY yi ROWS UNBOUNDED PRECEDING) AS cd,
@@ -173,7 +212,9 @@ def _smooth_sql(c: str) -> str:
             f" + greatest(0, rn + 9 - N) * last_value({c}) OVER (ORDER BY rn {full})) / 19 END AS {c}_smooth")
 
 
-_SUMMARY = _LAYERS + f""",
+_LAYERS, _WS_LAYERS = _COMPS + _LAYER_CTES, _FLOODED + _LAYER_CTES
+
+_SUMMARY_CTES = f""",
   sk AS (SELECT * FROM kept WHERE bottom < {SUMMARY_MAX_BOTTOM}),
   days AS (SELECT CAST(unnest(generate_series(min(date), max(date), INTERVAL 1 DAY)) AS DATE) AS date FROM sk),
   per_day AS (SELECT date, count(*) AS nschools, sum(total) AS sa,
@@ -189,7 +230,9 @@ _SUMMARY = _LAYERS + f""",
                FROM lr WINDOW w AS (ORDER BY rn ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING)),
   hl AS (SELECT *, CASE WHEN hour IN (12, 13, 14) THEN 'noon' WHEN hour IN (0, 1, 2) THEN 'midnight'
                         ELSE 'other' END AS hourlabel FROM smoothed),
-  mig0 AS (SELECT date, hourlabel, quantile_cont(cm_smooth, 0.5) AS cm, quantile_cont(layertop_smooth, 0.5) AS layertop
+  mig0 AS (SELECT date, hourlabel,
+                  CASE WHEN count(CASE WHEN NOT isnan(cm_smooth) THEN 1 END) = count(*) THEN quantile_cont(cm_smooth, 0.5) END AS cm,
+                  CASE WHEN count(layertop_smooth) = count(*) THEN quantile_cont(layertop_smooth, 0.5) END AS layertop
            FROM hl WHERE hourlabel <> 'other' GROUP BY date, hourlabel),
   mig1 AS (SELECT date, max(CASE WHEN hourlabel = 'noon' THEN cm END) AS cm_noon,
                   max(CASE WHEN hourlabel = 'midnight' THEN cm END) AS cm_midnight,
@@ -201,7 +244,9 @@ _SUMMARY = _LAYERS + f""",
                        CASE WHEN s.sa_db = '-Infinity'::DOUBLE THEN NULL ELSE s.sa_db END AS sa_db
                 FROM mig1 m LEFT JOIN summary s ON m.date = s.date)"""
 
-_OCEAN = _SUMMARY + """,
+_SUMMARY, _WS_SUMMARY = _LAYERS + _SUMMARY_CTES, _WS_LAYERS + _SUMMARY_CTES
+
+_OCEAN_CTES = """,
   oc AS (SELECT date, avg(temperature) AS temperature,
                 CASE WHEN isnan(avg(upwelling)) THEN NULL ELSE avg(upwelling) END AS upwelling,
                 avg(sealevel_lowpass) AS sealevel
@@ -209,8 +254,12 @@ _OCEAN = _SUMMARY + """,
   ocean AS (SELECT oc.temperature, oc.upwelling, oc.sealevel, m.* FROM oc RIGHT JOIN migration m ON oc.date = m.date)"""
 
 
+_OCEAN, _WS_OCEAN = _SUMMARY + _OCEAN_CTES, _WS_SUMMARY + _OCEAN_CTES
+
+
 def grid_sql(body: str, cte: str = _COMPS, views=("v_grid",)) -> str:
-    return with_views(f"WITH RECURSIVE {cte}\n{body}", *views)
+    sql = f"WITH RECURSIVE {cte}\n{body}"
+    return with_views(sql, *views) if views else sql
 
 
 # ------------------------------------------------------------------ queries
@@ -234,7 +283,7 @@ def q_components(spark, sf):
     return G.components(G.with_mask(dense_grid(spark, sf), V), GROUP)
 
 
-@query("watershed", ops="G4")
+@query("watershed", ops="G4", sql=grid_sql("SELECT date, xi, yi, label FROM labelled", _FLOODED))
 def q_watershed(spark, sf):
     return labelled_grid(spark, sf, use_watershed=True, shared=False).select("date", "xi", "yi", "label")
 
@@ -298,37 +347,92 @@ def q_environment_join(spark, sf):
     return ocean_daily(spark, sf).join(migration_table(spark, sf), "date", "right")
 
 
-# -- the reference's own chain: watershed segments (rows-only: no SQL form for the flood)
+# -- the reference's own chain: watershed segments
 
 
-@query("detect_segments", ops="Q13 G9 G4 M8")
+@query("detect_segments", ops="G9 G4 M8", sql=grid_sql(
+    "SELECT *, CAST(date AS VARCHAR) || '-S' || CAST(label AS VARCHAR) AS school_id FROM kept", _FLOODED))
 def q_detect_segments(spark, sf):
     lab = labelled_grid(spark, sf, use_watershed=True, shared=False)
     return with_school_id(segments(lab, use_watershed=True))
 
 
-@query("detect_layers", ops="Q13 G9 Q14")
+_SMOOTH_COLS = "date, datetime, cm, layertop, layerbase, hour, cm_smooth, layertop_smooth, layerbase_smooth"
+
+
+@query("detect_layers", ops="G9 Q14", sql=grid_sql(f"SELECT {_SMOOTH_COLS} FROM smoothed", _WS_SUMMARY))
 def q_detect_layers(spark, sf):
     lab = labelled_grid(spark, sf, use_watershed=True)
     return smooth_layers(layers(lab, segments(lab, use_watershed=True)))
 
 
-@query("watershed_summary", ops="Q1 G9")
+@query("watershed_summary", ops="Q1 G9", sql=grid_sql("SELECT * FROM summary ORDER BY date", _WS_SUMMARY))
 def q_watershed_summary(spark, sf):
     lab = labelled_grid(spark, sf, use_watershed=True, shared=False)
     return daily_summary(segments(lab, use_watershed=True))
 
 
-@query("detect_demo", ops="Q15 P4")
+@query("watershed_migration", ops="Q2 Q13", sql=grid_sql("SELECT * FROM migration", _WS_SUMMARY))
+def q_watershed_migration(spark, sf):
+    return migration_table(spark, sf, use_watershed=True)
+
+
+@query("watershed_environment", ops="Q3", sql=grid_sql("SELECT * FROM ocean", _WS_OCEAN, views=("v_grid", "v_env")))
+def q_watershed_environment(spark, sf):
+    return ocean_daily(spark, sf).join(migration_table(spark, sf, use_watershed=True), "date", "right")
+
+
+# -- Q13: detection over files as written
+
+
+_FILES_GRID = """
+  SELECT CAST(datetime AS DATE) AS date, datetime, depth, Sv_mean FROM v_grid0 WHERE depth BETWEEN 15 AND 500"""
+
+
+@query("detect_files", ops="Q13 S1 G9 P4", sql=grid_sql(
+    "SELECT *, CAST(date AS VARCHAR) || '-S' || CAST(label AS VARCHAR) AS school_id FROM kept", _FLOODED,
+    views=()).replace("WITH RECURSIVE", f"WITH RECURSIVE v_grid0 AS ({VIEW_SQL['v_grid']}), v_grid AS ({_FILES_GRID}),", 1))
+def q_detect_files(spark, sf):
+    """CSV exports read by header name: depths from 15 to 500, the date of the local clock, one
+    image a local day."""
+    from fathom.plans.tables import read_grid_csv, scratch, write_grid_csv
+    path = scratch(spark)
+    write_grid_csv(spark, v_grid(spark, sf), path)
+    grid = read_grid_csv(spark, path).filter(F.col("depth").between(15, 500)).drop("hour")
+    lab = labelled_grid(spark, sf, use_watershed=True, grid=grid, shared=False)
+    return with_school_id(segments(lab, use_watershed=True))
+
+
+# -- Q15: a few days as one image
+
+DEMO = ("1996-01-01 00:00:00", "1996-04-01 00:00:00", 300)
+
+_DEMO_GRID = f"""
+  SELECT min(CAST(datetime AS DATE)) OVER () AS date, datetime, depth, Sv_mean FROM v_grid0
+  WHERE datetime > TIMESTAMP '{DEMO[0]}' AND datetime < TIMESTAMP '{DEMO[1]}' AND depth < {DEMO[2]}"""
+
+
+def _demo_sql(body: str, cte: str) -> str:
+    sql = grid_sql(body, cte.replace("width <= 12", "width < 12"), views=())
+    return sql.replace("WITH RECURSIVE", f"WITH RECURSIVE v_grid0 AS ({VIEW_SQL['v_grid']}), v_grid AS ({_DEMO_GRID}),", 1)
+
+
+def demo(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """The demo crop as ONE image (no per-day grouping): a time window, depth < 300 and
+    width < 12; ``date`` is the crop's first date. The watershed's tiles spread it over tasks."""
+    lo, hi = (F.lit(t).cast("timestamp_ntz") for t in DEMO[:2])
+    crop = v_grid(spark, sf).filter(R.between_open("datetime", lo, hi) & (F.col("depth") < DEMO[2])).drop("date")
+    one = R.with_scalar(crop, crop.agg(F.min(F.to_date("datetime")).alias("date")))
+    lab = labelled_grid(spark, sf, use_watershed=True, grid=one)
+    return lab, segments(lab, use_watershed=True, width_inclusive=False)
+
+
+@query("detect_demo", ops="Q15 P4", sql=_demo_sql(
+    "SELECT *, CAST(date AS VARCHAR) || '-S' || CAST(label AS VARCHAR) AS school_id FROM kept", _FLOODED))
 def q_detect_demo(spark, sf):
-    """The demo crop as ONE image (no per-day grouping): a time window and depth < 300,
-    width < 12; ``date`` is the crop's first date."""
-    g = v_grid(spark, sf)
-    lo, hi = "1996-01-01 00:00:00", "1996-04-01 00:00:00"
-    crop = g.filter(R.between_open("datetime", F.lit(lo).cast("timestamp_ntz"),
-                                   F.lit(hi).cast("timestamp_ntz")) & (F.col("depth") < 300))
-    one = crop.withColumn("__img", F.lit(0))
-    lab = labelled_grid(spark, sf, use_watershed=True, group=["__img"], grid=one.drop("date"))
-    segs = segments(lab, use_watershed=True, group=["__img"], width_inclusive=False)
-    first = crop.agg(F.min(F.to_date("datetime")).alias("date"))
-    return R.with_scalar(segs, first).drop("__img").withColumn("school_id", M.segment_id("date", "label"))
+    return with_school_id(demo(spark, sf)[1])
+
+
+@query("detect_demo_layers", ops="Q15 G8", sql=_demo_sql("SELECT date, datetime, cm, layertop, layerbase FROM layers", _WS_LAYERS))
+def q_detect_demo_layers(spark, sf):
+    return layers(*demo(spark, sf)).drop("hour")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import models as MO
 from fathom.plans.catalog import query
-from fathom.plans.grids import _OCEAN, _SUMMARY, grid_sql, migration_table, ocean_daily
+from fathom.plans.grids import _OCEAN, _SUMMARY, _WS_SUMMARY, grid_sql, migration_table, ocean_daily
 
 RESPONSES = ["delta_cm", "delta_layertop", "cm_noon", "layertop_noon"]
 SINGLE = ["nschools", "sa_db"]
@@ -73,6 +73,13 @@ def q_ols_many(spark, sf):
     return MO.fit_many(migration_table(spark, sf), _models())
 
 
+@query("watershed_ols", ops="R5 R1 R2 R3", sql=grid_sql(" UNION ALL ".join(
+    _fit_sql(y, xs) for y, xs in _models()), _WS_SUMMARY))
+def q_watershed_ols(spark, sf):
+    """The fits on the reference's own segments."""
+    return MO.fit_many(migration_table(spark, sf, use_watershed=True), _models())
+
+
 @query("ols_predict", ops="R4 S8", sql=grid_sql(f"""
     SELECT f.response, CAST(x AS DOUBLE) AS sa_db, f.intercept + f.coef1 * x AS fitted
     FROM ({_fit_sql('delta_layertop', ['sa_db'])} UNION ALL {_fit_sql('layertop_noon', ['sa_db'])}) f

@@ -10,6 +10,7 @@ from fathom.operators import aggregates as A
 from fathom.operators import relational as R
 from fathom.operators import sequence as S
 from fathom.plans.catalog import query
+from fathom.session import cut_lineage
 from fathom.sources.views import v_count, v_grid, v_layer, with_views
 
 LAYER_SHIFT_HOURS = -8   # the layer table is stored in UTC, the click series in local time
@@ -286,22 +287,49 @@ def q_daynight_share(spark, sf):
         "daytime", "nclicks", (F.col("nclicks") / F.col("__t")).alias("p"))
 
 
-@query("bout_stats", ops="Q8 A13", sql=_sql("""
-SELECT avg(duration) AS duration_mean, max(duration) AS duration_max,
-       avg(maxchange) AS maxchange_mean, max(maxchange) AS maxchange_max,
-       quantile_cont(maxchange, 0.60) AS maxchange_q60, quantile_cont(maxchange, 0.90) AS maxchange_q90,
-       quantile_cont(maxchange, 0.99) AS maxchange_q99,
-       median(distance) AS distance_median, avg(distance) AS distance_mean, max(distance) AS distance_max
-FROM bouts""", _BOUTS_CTE))
+MAXCHANGE_PROBS = (60, 65, 75, 80, 85, 90, 95, 99)
+HIST_BINS = {"duration": 30, "maxchange": 30, "init_dive_speed": 50, "distance": 30, "nbouts": 30}
+
+_STATS_SQL = ", ".join(
+    ["avg(duration) AS duration_mean", "max(duration) AS duration_max", "avg(maxchange) AS maxchange_mean",
+     "max(maxchange) AS maxchange_max"]
+    + [f"quantile_cont(maxchange, {p / 100}) AS maxchange_q{p}" for p in MAXCHANGE_PROBS]
+    + ["avg(init_dive_speed) AS init_dive_speed_mean", "median(init_dive_speed) AS init_dive_speed_median",
+       "max(init_dive_speed) AS init_dive_speed_max", "median(distance) AS distance_median",
+       "avg(distance) AS distance_mean", "max(distance) AS distance_max",
+       "(SELECT avg(c) FROM (SELECT count(*) AS c FROM bouts GROUP BY date)) AS nbouts_mean"])
+
+
+@query("bout_stats", ops="Q8 A13", sql=_sql(f"SELECT {_STATS_SQL} FROM bouts", _BOUTS_CTE))
 def q_bout_stats(spark, sf):
-    b = bouts(spark, sf)
-    simple = b.agg(F.avg("duration").alias("duration_mean"), F.max("duration").alias("duration_max"),
-                   F.avg("maxchange").alias("maxchange_mean"), F.max("maxchange").alias("maxchange_max"),
-                   F.avg("distance").alias("distance_mean"), F.max("distance").alias("distance_max"))
-    q1 = A.exact_quantiles(b, "maxchange", {"maxchange_q60": 0.60, "maxchange_q90": 0.90,
-                                            "maxchange_q99": 0.99})
-    q2 = A.exact_quantiles(b, "distance", {"distance_median": 0.5})
-    return simple.crossJoin(q1).crossJoin(q2)
+    b = cut_lineage(bouts(spark, sf))
+    simple = b.agg(*[f(F.col(c)).alias(f"{c}_{n}") for c in ("duration", "maxchange", "init_dive_speed", "distance")
+                     for n, f in (("mean", F.avg), ("max", F.max))])
+    q1 = A.exact_quantiles(b, "maxchange", {f"maxchange_q{p}": p / 100 for p in MAXCHANGE_PROBS})
+    q2 = A.exact_quantiles(b, "init_dive_speed", {"init_dive_speed_median": 0.5})
+    q3 = A.exact_quantiles(b, "distance", {"distance_median": 0.5})
+    daily = b.groupBy("date").agg(F.count(F.lit(1)).alias("c")).agg(F.avg("c").alias("nbouts_mean"))
+    return simple.crossJoin(q1).crossJoin(q2).crossJoin(q3).crossJoin(daily)
+
+
+def _hist_sql(name: str, source: str, bins: int) -> str:
+    x = f"(SELECT CAST({name} AS DOUBLE) AS v FROM {source} WHERE {name} IS NOT NULL)"
+    w = f"((mx - mn) / {bins})"
+    return (f"SELECT '{name}' AS variable, s.bin, mn + (s.bin - 1) * {w} AS lo, mn + s.bin * {w} AS hi, coalesce(c.n, 0) AS n "
+            f"FROM (SELECT CAST(unnest(range(1, {bins + 1})) AS INTEGER) AS bin) s CROSS JOIN (SELECT min(v) AS mn, max(v) AS mx FROM {x}) "
+            f"LEFT JOIN (SELECT least(coalesce(CAST(floor((v - r.a) / NULLIF((r.b - r.a) / {bins}, 0)) AS INTEGER), 0) + 1, {bins}) AS bin, count(*) AS n "
+            f"FROM {x}, (SELECT min(v) AS a, max(v) AS b FROM {x}) r GROUP BY 1) c ON s.bin = c.bin")
+
+
+@query("bout_histograms", ops="Q8 A17", sql=_sql(" UNION ALL ".join(
+    _hist_sql(c, "daily" if c == "nbouts" else "bouts", n) for c, n in HIST_BINS.items()),
+    _BOUTS_CTE + ", daily AS (SELECT date, count(*) AS nbouts FROM bouts GROUP BY date)"))
+def q_bout_histograms(spark, sf):
+    b = cut_lineage(bouts(spark, sf))
+    daily = b.groupBy("date").agg(F.count(F.lit(1)).cast("double").alias("nbouts"))
+    parts = [A.histogram(daily if c == "nbouts" else b, c, n).select(F.lit(c).alias("variable"), "bin", "lo", "hi", "n")
+             for c, n in HIST_BINS.items()]
+    return R.union_all(parts)
 
 
 @query("moving_mean", ops="Q14 W1 W10", sql=with_views("""

@@ -5,10 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-# Defaults for a local run. On a cluster the submitter's settings win: we only
-# fill keys that are unset.
+# Defaults for keys that the submitter has not set. A session that runs already is taken as it is.
 _LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -24,22 +24,34 @@ _LOCAL_DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "fathom") -> SparkSession:
-    builder = SparkSession.builder.appName(app_name)
-    if master:
-        builder = builder.master(master)
-    for k, v in _LOCAL_DEFAULTS.items():
-        builder = builder.config(k, v)
-    if master and master.startswith("local"):
-        # local mode: the driver JVM is the only executor
-        builder = builder.config("spark.driver.memory", "16g")
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        builder = SparkSession.builder.appName(app_name)
+        if master:
+            builder = builder.master(master)
+        wanted = dict(_LOCAL_DEFAULTS)
+        if master and master.startswith("local"):
+            # local mode: the driver JVM is the only executor
+            wanted["spark.driver.memory"] = "16g"
+        if shuffle_partitions:
+            wanted["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+        for k, v in wanted.items():
+            if not _submitted(k):
+                builder = builder.config(k, v)
+        spark = builder.getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def _submitted(key: str) -> bool:
+    """Has whoever started this program set ``key``?"""
+    if "PYSPARK_GATEWAY_PORT" in os.environ or SparkContext._jvm:  # the JVM runs: its properties tell
+        SparkContext._ensure_initialized()
+        return SparkConf().contains(key)
+    return f"{key}=" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -56,7 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="fathom-ckpt-")
+        # one machine: driver and executors are one process
+        configured = os.path.join(tempfile.gettempdir(), "checkpoints", f"fathom-{os.getpid()}")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 

@@ -25,38 +25,54 @@ def normalise_name(name: str) -> str:
     return s
 
 
-def normalise_columns(df: DataFrame) -> DataFrame:
-    return df.toDF(*[normalise_name(c) for c in df.columns])
+def _by_header(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, options: dict):
+    """A CSV reader for the columns of ``schema``, found by their normalised header names.
 
-
-def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str,
-             header: bool = True, timestamp_ntz: bool = True, **options) -> DataFrame:
-    """CSV with a declared schema (columns by position; the header row is skipped)."""
-    r = spark.read.schema(schema).option("header", str(header).lower()).option("mode", "PERMISSIVE")
-    if timestamp_ntz:
-        r = r.option("timestampNTZFormat", options.pop("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss"))
+    The first file's header gives the order of columns; every other file's header is checked
+    against it as it is read, and a file that differs fails the read."""
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = spark.read.option("header", "true")
     for k, v in options.items():
-        r = r.option(k, v)
-    return r.csv(path if isinstance(path, str) else list(path))
+        reader = reader.option(k, v)
+    header = reader.csv(paths).columns
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = [normalise_name(c) for c in header]
+    twice = sorted({n for n in names if names.count(n) > 1 and n in declared.fieldNames()})
+    missing = [f.name for f in declared if f.name not in names]
+    if missing or twice:
+        raise ValueError(f"CSV header {header}: missing columns {missing}, ambiguous columns {twice}")
+    kinds = {f.name: f.dataType for f in declared}
+    as_read = T.StructType([T.StructField(c, kinds.get(n, T.StringType())) for c, n in zip(header, names)])
+    df = reader.schema(as_read).option("enforceSchema", "false").csv(paths)
+    raw = dict(zip(names, header))
+    return df, [F.col(f"`{raw[f.name]}`").alias(f.name) for f in declared]
+
 
+CSV_OPTIONS = {"nullValue": "NA", "mode": "FAILFAST", "ignoreLeadingWhiteSpace": "true",
+               "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
 
-def with_source(df: DataFrame, name: str = "source_file") -> DataFrame:
-    """Provenance column with the file each row came from."""
-    return df.withColumn(name, F.col("_metadata.file_name"))
+
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str, **options) -> DataFrame:
+    """CSV with a declared schema, columns by normalised header name; others are not
+    parsed. ``NA`` and empty fields are null; a malformed row fails the read."""
+    df, cols = _by_header(spark, path, schema, CSV_OPTIONS | options)
+    return df.select(*cols)
 
 
 def read_dir(spark: SparkSession, directory: str, schema: T.StructType | str, fmt: str = "csv",
-             glob: str | None = None, **options) -> DataFrame:
+             glob: str | None = None, name: str = "source_file", **options) -> DataFrame:
     """Every file of a directory in one scan, tagged with its file name (the
     reference loops over files in name order; order is restored by sorting on it)."""
-    r = spark.read.schema(schema).format(fmt)
-    if fmt == "csv":
-        r = r.option("header", "true")
     if glob:
-        r = r.option("pathGlobFilter", glob)
-    for k, v in options.items():
-        r = r.option(k, v)
-    return with_source(r.load(directory))
+        options["pathGlobFilter"] = glob
+    if fmt == "csv":
+        df, cols = _by_header(spark, directory, schema, CSV_OPTIONS | options)
+    else:
+        r = spark.read.schema(schema).format(fmt)
+        for k, v in options.items():
+            r = r.option(k, v)
+        df, cols = r.load(directory), ["*"]
+    return df.select(*cols, F.col("_metadata.file_name").alias(name))
 
 
 def list_inputs(spark: SparkSession, directory: str, prefix: str = "", suffix: str = "",
@@ -75,20 +91,22 @@ def read_feather(spark: SparkSession, path: str, schema: T.StructType, glob: str
 
     Feather is not splittable, so each file is one unit of work; write the result to
     Parquet once (:func:`write_table`) and scan that afterwards."""
-    names = [f.name for f in schema.fields]
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
+    return decode_feather(raw, schema)
 
-    def decode(batches: Iterator) -> Iterator:
-        import io
 
-        import pyarrow as pa
+def decode_feather(raw: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows of the Feather files in the one binary column of ``raw``, columns by name."""
+    import pyarrow as pa
+    target = pa.schema([(f.name, _arrow_type(f.dataType)) for f in schema.fields])
+
+    def decode(batches: Iterator) -> Iterator:
         import pyarrow.feather as feather
         for b in batches:
-            for content in b.column("content").to_pylist():
-                tbl = feather.read_table(io.BytesIO(content), columns=names)
-                for rb in tbl.cast(pa.schema([(n, _arrow_type(schema[n].dataType)) for n in names])).to_batches():
-                    yield rb
+            for content in b.column(0):
+                tbl = feather.read_table(pa.BufferReader(content.as_buffer()), columns=target.names)
+                yield from tbl.cast(target).to_batches()
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
     return raw.mapInArrow(decode, schema)
 
 
@@ -132,3 +150,18 @@ DIVES_CSV = T.StructType([
     T.StructField("concept", T.StringType()), T.StructField("depth_meters", T.DoubleType()),
     T.StructField("light_transmission", T.DoubleType()), T.StructField("temperature_celsius", T.DoubleType()),
     T.StructField("salinity", T.DoubleType()), T.StructField("oxygen_ml_per_l", T.DoubleType())])
+CENTER_OF_MASS_CSV = T.StructType([
+    T.StructField("date", T.DateType()), T.StructField("datetime", T.StringType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("cm", "layertop", "layerbase")], T.StructField("hour", T.IntegerType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("cm_smooth", "layertop_smooth", "layerbase_smooth")]])
+SCHOOLS_CSV = T.StructType([
+    *[T.StructField(c, T.DoubleType()) for c in ("bottom", "top")],
+    *[T.StructField(c, T.LongType()) for c in ("left", "right", "height", "width", "npixels")],
+    *[T.StructField(c, T.DoubleType()) for c in ("mean", "std", "total")],
+    T.StructField("school_id", T.StringType()), T.StructField("start_time", T.StringType()),
+    T.StructField("middle", T.DoubleType()), T.StructField("date", T.DateType())])
+SCHOOLS_SUMMARY_CSV = T.StructType([
+    T.StructField("date", T.DateType()), T.StructField("nschools", T.LongType()),
+    *[T.StructField(c, T.DoubleType()) for c in ("sa", "mean_depth", "max_depth", "Sa")]])
+CLICKS_FEATHER = T.StructType([
+    T.StructField("time_round", T.TimestampNTZType()), T.StructField("n", T.LongType())])

@@ -145,3 +145,28 @@ def test_squish_and_clamp(spark):
     assert [r["j"] for r in out] == [-90.0, -70.0, -90.0, -90.0]
     assert [r["r"] for r in out][:3] == [-90.0, -70.0, None]
     assert math.isinf(out[3]["s"])
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_clock_readings_do_not_pass_through_the_session_zone(spark, zone):
+    from fathom.functions import time as T
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        df = spark.createDataFrame([("2019-11-05T04:00:05",), ("2019/03/10 02:30:00",), ("2019-03-10 02:30:00.5",), ("junk",), (None,)], "s string")
+        got = [r[0] for r in df.select(T.parse_ts("s", T.PATTERNS["ymd_hms"]).cast("string")).collect()]
+        assert got == ["2019-11-05 04:00:05", "2019-03-10 02:30:00", "2019-03-10 02:30:00.5", None, None]
+        one = spark.sql("SELECT TIMESTAMP_NTZ'2019-03-07 01:00:00' AS ts").select(
+            T.zone_instant("ts", "America/Los_Angeles").cast("string")).first()[0]
+        assert one == "2019-03-07 09:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_scalar_must_be_one_row(spark):
+    from fathom.operators.relational import with_scalar
+    df, two = spark.range(3), spark.createDataFrame([(1,), (2,)], "s int")
+    assert [r.s for r in with_scalar(df, two.limit(1)).collect()] == [1, 1, 1]
+    assert with_scalar(df, two.limit(0)).count() == 0
+    with pytest.raises(Exception, match="more than one row"):
+        with_scalar(df, two).collect()

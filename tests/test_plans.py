@@ -27,7 +27,7 @@ def test_filters_and_columns_reach_the_scan(spark):
            "l_extendedprice:double,l_shipdate:timestamp_ntz>" in plan
 
 
-@pytest.mark.parametrize("name", ["series_diff_join", "dilate", "bout_table", "bouts_label", "row_slice"])
+@pytest.mark.parametrize("name", ["series_diff_join", "dilate", "bout_table", "bouts_label"])
 def test_ordered_operators_have_no_single_partition_exchange(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF))
     assert "SinglePartition" not in plan
@@ -41,9 +41,29 @@ def test_no_python_outside_watershed(spark, name):
 
 
 def test_watershed_is_the_grouped_map(spark):
-    from fathom.operators.watershed import _flood_groups
+    from fathom.operators.watershed import watershed
     df = spark.createDataFrame([("a", 1, 1, -50.0, 1), ("a", 2, 1, -70.0, 0)],
                                "g string, xi int, yi int, Sv_mean double, comp long")
-    out = _flood_groups(df, ["g"], "xi", "yi", "Sv_mean", "comp", "label")
+    out = watershed(df, ["g"])
     assert "FlatMapGroupsInPandas" in plan_of(out)
     assert out.columns == ["g", "xi", "yi", "Sv_mean", "label"]
+
+
+def test_crop_limits_reach_the_scan(spark, tmp_path):
+    from fathom.operators.relational import crop
+    spark.range(100).selectExpr("id as x", "cast(id as double) as y").write.parquet(f"{tmp_path}/t")
+    plan = plan_of(crop(spark.read.parquet(f"{tmp_path}/t"), "x", "y", None, (7.0, 3.0)))
+    assert "GreaterThanOrEqual(y,3.0)" in plan and "LessThanOrEqual(y,7.0)" in plan and "Join" not in plan
+
+
+def test_slice_near_the_start_is_a_top_n(spark):
+    df = spark.range(50_000).selectExpr("(id * 7919) % 50000 as k")
+    from fathom.operators.relational import row_slice
+    out = row_slice(df, ["k"], 11, 20)
+    assert "TakeOrderedAndProject" in plan_of(out) and [r.k for r in out.orderBy("k").collect()] == list(range(10, 20))
+    import fathom.operators.relational as R
+    big, R.SLICE_ROWS = R.SLICE_ROWS, 5
+    try:
+        assert sorted(map(tuple, row_slice(df, ["k"], 11, 20).collect())) == sorted(map(tuple, out.collect()))
+    finally:
+        R.SLICE_ROWS = big

@@ -17,14 +17,38 @@ def data(spark):
     return spark.createDataFrame(rows, "k long, tb long, x double")
 
 
+@pytest.fixture
+def ranges(spark):
+    """Set the number of ranges, which AQE then leaves alone."""
+    keys = {"spark.sql.shuffle.partitions": None, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+
+    def put(n):
+        spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+
+    yield put
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("parts", [1, 3, 8])
-def test_row_index_matches_row_number(data, parts):
+def test_row_index_matches_row_number(data, ranges, parts):
     naive = data.withColumn("rn0", F.row_number().over(Window.orderBy("k", "tb")))
-    idx = S.with_row_index(data, ["k", "tb"], "rn", num_partitions=parts)
+    ranges(parts)
+    idx = S.with_row_index(data, ["k", "tb"], "rn")
     bad = idx.join(naive, ["k", "tb"]).filter(F.col("rn") != F.col("rn0")).count()
     assert bad == 0 and idx.count() == 300
 
 
+def test_small_index_takes_few_partitions(spark, ranges):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    ranges(200)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    idx = S.with_row_index(spark.range(15).withColumnRenamed("id", "k"), ["k"], "rn")
+    assert idx.select(F.spark_partition_id()).distinct().count() == 1 and old
+
+
 @pytest.mark.parametrize("block", [5, 17, 1000])
 def test_block_window_matches_naive(data, block):
     idx = S.with_row_index(data, ["k", "tb"], "rn")
@@ -39,9 +63,11 @@ def test_block_window_matches_naive(data, block):
     assert j.filter(~F.col("l").eqNullSafe(F.col("l0"))).count() == 0
 
 
-def test_prefix_sum(data):
+@pytest.mark.parametrize("block,fan", [(7, 1000), (7, 3), (1, 2)])
+def test_prefix_sum(data, block, fan):
     idx = S.with_row_index(data, ["k", "tb"], "rn")
-    got = S.prefix_sum(idx, "rn", F.coalesce("x", F.lit(0.0)), "cs", block_rows=7)
+    got = S.prefix_sum(idx, "rn", F.coalesce("x", F.lit(0.0)), "cs", block_rows=block, fan=fan)
+    assert got.count() == 300
     naive = idx.select("rn", F.sum(F.coalesce("x", F.lit(0.0))).over(
         Window.orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)).alias("cs0"))
     assert got.join(naive, "rn").filter(F.abs(F.col("cs") - F.col("cs0")) > 1e-9).count() == 0
@@ -64,6 +90,17 @@ def test_exact_quantiles_match_percentile(data):
         assert j.filter(~F.col(a).eqNullSafe(F.col(b)) & (F.abs(F.col(a) - F.col(b)) > 1e-9)).count() == 0
 
 
+def test_quantiles_of_groups_with_nulls(spark):
+    from fathom.operators.aggregates import exact_quantiles
+    df = spark.createDataFrame([("a", None), ("b", 1.0), ("b", 3.0), ("c", 1.0), ("c", None), (None, 5.0), ("d", float("nan"))],
+                               "k string, x double")
+    skip = {r["k"]: r["q"] for r in exact_quantiles(df, "x", {"q": 0.5}, ["k"]).collect()}
+    assert skip == {"a": None, "b": 2.0, "c": 1.0, None: 5.0, "d": None}
+    strict = {r["k"]: r["q"] for r in exact_quantiles(df, "x", {"q": 0.5}, ["k"], nulls="propagate").collect()}
+    assert strict == {"a": None, "b": 2.0, "c": None, None: 5.0, "d": None}
+    assert exact_quantiles(df.limit(0), "x", {"q": 0.5}).collect()[0]["q"] is None
+
+
 def test_rank_within_keeps_null_groups(spark):
     df = spark.createDataFrame([(None, 3), (None, 1), ("a", 2)], "k string, v long")
     got = sorted((r["k"], r["v"], r["r"]) for r in S.rank_within(df, ["k"], ["v"], "r").collect()
@@ -71,15 +108,16 @@ def test_rank_within_keeps_null_groups(spark):
     assert got == [(None, 1, 1), (None, 3, 2)]
 
 
-def test_exact_quantiles_hot_group_spreads_over_partitions(spark):
+def test_exact_quantiles_hot_group_spreads_over_partitions(spark, ranges):
     """A third of the rows share one group and one value: the index still splits them
     across partitions (the tiebreak orders them) and the quantiles stay exact."""
     from fathom.operators.aggregates import exact_quantiles
     rows = [("hot", 5.0)] * 300 + [("hot", float(i)) for i in range(300)] + \
         [(f"g{i % 7}", float(i)) for i in range(300)]
     df = spark.createDataFrame(rows, "k string, x double")
+    ranges(4)
     idx = S.with_row_index(df.filter("k = 'hot' AND x = 5.0").withColumn("tb", F.monotonically_increasing_id()),
-                           ["k", "x", "tb"], "rn", num_partitions=4)
+                           ["k", "x", "tb"], "rn")
     sizes = [r["count"] for r in idx.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 1 and max(sizes) < 301
     got = exact_quantiles(df, "x", {"q": 0.3, "m": 0.5}, ["k"])

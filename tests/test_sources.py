@@ -3,6 +3,7 @@
 import os
 
 import pyarrow as pa
+import pytest
 import pyarrow.feather as feather
 from pyspark.sql import functions as F
 
@@ -25,6 +26,7 @@ def test_grid_csv_dir_with_provenance(spark, tmp_path):
     (d / "grid-2019-12.csv").write_text(
         "Interval,Layer depth min,Sv mean,Date_M,Time_M\n1,15.0,-65.0,20191201, 00:00:00.0000\n")
     df = FS.read_dir(spark, str(d), FS.GRID_CSV, glob="*.csv")
+    assert df.columns == [*FS.GRID_CSV.fieldNames(), "source_file"]
     df = df.withColumn("datetime", T.shift_hours(T.parse_datetime("Date_M", "Time_M"), -8))
     rows = sorted(df.collect(), key=lambda r: (r["source_file"], r["Interval"]))
     assert [r["source_file"] for r in rows] == ["grid-2019-11.csv"] * 2 + ["grid-2019-12.csv"]
@@ -33,6 +35,28 @@ def test_grid_csv_dir_with_provenance(spark, tmp_path):
     assert str(rows[2]["datetime"]) == "2019-11-30 16:00:00"
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    p = tmp_path / "a.csv"
+    p.write_text("Date_M,Time_M,Interval,Layer depth min,Sv mean,Extra\n20191105, 04:00:05.0000,1,15.0,NA,x\n20191105, 04:00:06.0000,2,20.0,-70.5,\n")
+    got = FS.read_csv(spark, str(p), FS.GRID_CSV).orderBy("Interval").collect()
+    assert [(r.Interval, r.Layer_depth_min, r.Sv_mean, r.Date_M) for r in got] == [(1, 15.0, None, 20191105), (2, 20.0, -70.5, 20191105)]
+    (tmp_path / "b.csv").write_text("Date_M,Interval\n20191105,1\n")
+    with pytest.raises(ValueError, match="Layer_depth_min"):
+        FS.read_csv(spark, str(tmp_path / "b.csv"), FS.GRID_CSV)
+    (tmp_path / "bad.csv").write_text("x\none\n")
+    with pytest.raises(Exception, match="MALFORMED|malformed|cannot be cast|Malformed"):
+        FS.read_csv(spark, str(tmp_path / "bad.csv"), "x int").collect()
+
+
+def test_files_with_another_header_fail(spark, tmp_path):
+    d = tmp_path / "d"
+    d.mkdir()
+    (d / "a.csv").write_text("x,y\n1,2\n")
+    (d / "b.csv").write_text("y,x\n1,2\n")
+    with pytest.raises(Exception, match="header"):
+        FS.read_csv(spark, str(d), "x int, y int").collect()
+
+
 def test_feather_ingest_and_selection(spark, tmp_path):
     for name, n in [("avoidance-a.feather", 3), ("auv-avoidance-b.feather", 2), ("avoidance-c.txt", 1)]:
         t = pa.table({"datetime": pa.array([1_000_000 * i for i in range(n)], pa.timestamp("us")),
