@@ -32,9 +32,9 @@ from fathom.llm.common import (
     components, drop_table, mix64, null_safe, read_table, slices, split_words, stage, stage_table, window_hashes, word_hashes)
 
 SHINGLE, PERCENT = 5, 80
-#: N-grams are counted in CELLS hash cells; a cell over its fair share by FREQUENT documents (and six
-#: deviations of chance) holds a frequent n-gram.
-CELLS, FREQUENT = 1 << 20, 32
+#: N-grams are counted in CELLS hash cells; a cell over its fair share by FREQUENT documents (and two
+#: deviations of chance) counts as frequent. The odd cell that is over by chance does no harm.
+CELLS, FREQUENT = 1 << 20, 16
 #: Up to so many documents to look up are sent to all tasks (16 bytes each).
 BROADCAST_ROWS = 1 << 20
 
@@ -81,7 +81,7 @@ def frequent_cells(docs: DataFrame, text: str, k: int, frequent: int, cells: int
 
     counts = stage(docs.select(text).mapInArrow(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")))
     mean = (counts.agg(F.sum("c")).first()[0] or 0) / cells
-    over = counts.filter(F.col("c") >= mean + max(frequent, 6 * mean ** 0.5)).select("cell").toArrow()
+    over = counts.filter(F.col("c") >= mean + max(frequent, 2 * mean ** 0.5)).select("cell").toArrow()
     flags = np.zeros(cells, dtype=bool)
     flags[np.asarray(over["cell"])] = True
     return flags
