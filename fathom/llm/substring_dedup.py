@@ -105,7 +105,7 @@ def repeated_windows(texts: DataFrame, seen: DataFrame, window: int, anchor: int
 
     # rows alike in id and text share a key and are all looked up; their windows do occur twice
     w = stage_table(looked_up.mapInArrow(run, "m long, sk long, bit int, c long, e long"))
-    twice = w.groupBy("m", "e").agg(F.sum("c").alias("c")).filter("c > 1").select("m", "e")
+    twice = stage(w.groupBy("m", "e").agg(F.sum("c").alias("c")).filter("c > 1").select("m", "e"))
     masks = stage_table(w.join(twice, ["m", "e"]).groupBy("m", "sk").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")))
     drop_table(w)
     return masks
@@ -135,7 +135,8 @@ def repeated_spans(texts: DataFrame, window: int, anchor: int) -> DataFrame:
     """(kid, th, start, stop), staged: word spans all of whose windows occur elsewhere as well."""
     every = find_stretches(texts, window, anchor)
     twice = every.groupBy("m").agg(F.count(F.lit(1)).alias("c"), (F.min("sk") == F.max("sk")).alias("alone")).filter("c > 1")
-    seen = stage_table(every.join(twice.select("m", "alone"), "m"))
+    # staged, so that the join reads plain shuffles, whose hot minimizers Spark can split
+    seen = stage_table(every.join(stage(twice.select("m", "alone")), "m"))
     masks = repeated_windows(texts, seen.filter("not alone"), window, anchor)
     some = seen.filter("not alone").join(masks, ["m", "sk"])
     full = F.expr("mask = shiftleft(1L, n) - 1")
