@@ -12,7 +12,7 @@ from tools.oracle_check import compare, duck
 SF = "/root/testdata/sf0.001"
 SUBSET = ["daily_summary", "migration", "bout_table", "cross_corr", "moving_mean", "components",
           "segment_stats", "layer_metrics", "ols_many", "profiles", "interval_join", "rescale_overlay",
-          "group_quantiles", "histogram", "row_slice"]
+          "group_quantiles", "histogram", "row_slice", "csv_scan", "median_nulls", "relabel_zone", "detect_demo"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FATHOM_ORACLE") == "all" else SUBSET
 
 
@@ -36,6 +36,6 @@ def test_entry_smoke(spark):
     assert df.count() > 0 and "nschools" in df.columns
 
 
-def test_rows_only_queries_run(spark):
-    for name in sorted(set(entry.queries()) - set(entry.oracle_sql())):
-        assert entry.queries()[name](spark, SF).count() >= 0, name
+def test_every_query_of_the_reference_has_an_oracle():
+    from fathom.plans.catalog import load_all
+    assert set(load_all()) <= set(entry.oracle_sql())
