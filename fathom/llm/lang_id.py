@@ -23,13 +23,15 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import read_table, slices
+from fathom.llm.common import read_table, slices, stage
 
 #: Bounds of the training sample and the model: documents per language, bytes of a document
 #: that may be in it, tree nodes. Model size is nodes * bytes seen * (4 + 4 * languages).
 DOCS_PER_LANG, DOC_BYTES, MAX_NODES = 400, 1 << 16, 4_000
 DEPTH, MIN_COUNT = 4, 6
 UND = "und"
+#: Up to so many languages' counts are sent to all tasks.
+BROADCAST_LANGS = 10_000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -133,7 +135,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str =
     size = F.octet_length(text)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & size.between(1, doc_bytes)).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.lit(10), F.col(order)), F.lit(1 << 32)).alias("h"), F.col(order).alias("o"))
-    counts = rows.groupBy("lang").agg((F.lit(4.0 * docs_per_lang * 2 ** 32) / F.count(F.lit(1))).alias("reach"))
+    counts = stage(rows.groupBy("lang").agg((F.lit(4.0 * docs_per_lang * 2 ** 32) / F.count(F.lit(1))).alias("reach")))
+    if counts.count() <= BROADCAST_LANGS:  # so that rows out of reach are not shuffled
+        counts = F.broadcast(counts)
     rows = rows.join(counts, "lang").filter(F.col("h") < F.col("reach")).drop("reach")
     first = Window.partitionBy("lang").orderBy("h", "o", "text")
     got = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= docs_per_lang).select("lang", "text").collect()
