@@ -13,16 +13,16 @@ from pyspark.sql import functions as F
 from fathom.llm import bpe, jaccard_join, lang_id, line_dedup, mixing
 from fathom.session import ensure_checkpoint_dir
 
-#: A document of more bits per byte than this fits no learned language.
-MAX_BITS = 7.0
+#: A document goes if no language has this share of the weight. (Code length a byte is no ground:
+#: short texts with numbers or keys in them cost much in their own language, too.)
+MIN_SCORE = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; ``und`` ones and those that no language's
-    model describes in MAX_BITS a byte go."""
+    """Documents in one of the learned languages; ``und`` ones and those below MIN_SCORE go."""
     model = lang_id.train(docs.filter(~lang_id.held_out("doc_id")))
     found = lang_id.predict(docs, model)
-    return found.filter((F.col("lang_pred") != lang_id.UND) & (F.col("bits_per_byte") <= MAX_BITS)).select(*docs.columns)
+    return found.filter((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
