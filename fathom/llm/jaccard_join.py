@@ -118,7 +118,7 @@ def prefixes(keyed: DataFrame, text: str, k: int, percent: int, frequent: np.nda
         gid = mix64(np.sum(mix64(p + place), keepdims=True, dtype=np.uint64) + np.uint64(len(s)))
         return len(s), _node(s), int(gid.view(np.int64)[0]), p.view(np.int64), _outline(s)
 
-    return _sets(keyed, text, k, row, "doc_id long, th int, n int, node long, gid long, prefix array<long>, outline array<int>",
+    return _sets(keyed, text, k, row, "doc_id long, th long, n int, node long, gid long, prefix array<long>, outline array<int>",
                  [("n", pa.int32()), ("node", pa.int64()), ("gid", pa.int64()), ("prefix", pa.list_(pa.int64())),
                   ("outline", pa.list_(pa.int32()))], ["doc_id", "th"])
 
@@ -214,7 +214,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     not (``node`` if there are none), and ``component_id`` is the least doc_id among them. A
     null or empty text has no n-grams, no links and null ``component``. Equal sets are one
     node. Null ids are kept; a component of null ids alone has a null ``component_id``."""
-    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.hash(text).alias("th"), F.col(text).alias("t"))
+    keyed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("t"))
     often = frequent_cells(keyed, "t", shingle, frequent, cells)
     p = stage_table(prefixes(keyed, "t", shingle, percent, often))
     # lists: prefix n-grams that two groups or more share
@@ -252,7 +252,7 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     g = near_duplicate_groups(docs, doc_id, text, **how)
     stay = g.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))).alias("r")).filter(
         "component is not null").select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__h"))
-    keyed = docs.withColumns({"__id0": F.col(doc_id).cast("long"), "__th0": F.hash(text)})
+    keyed = docs.withColumns({"__id0": F.col(doc_id).cast("long"), "__th0": F.xxhash64(text)})
     kept = keyed.join(stay, null_safe(keyed, stay, {"__id0": "__id", "__th0": "__h"})).dropDuplicates(["__id0", "__th0"]).select(*docs.columns)
     bare = docs.filter(~F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
     return kept.unionByName(bare)

@@ -78,7 +78,7 @@ def find_stretches(texts: DataFrame, window: int, anchor: int) -> DataFrame:
                  pa.array(s["start"].astype(np.int32)), pa.array(s["n"].astype(np.int32))], ["m", "sk", "kid", "th", "start", "n"])
 
     return texts.mapInArrow(
-        run, "m long, sk long, kid long, th int, start int, n int")
+        run, "m long, sk long, kid long, th long, start int, n int")
 
 
 def repeated_windows(texts: DataFrame, seen: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -159,8 +159,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows that repeat a text repeat its windows, whatever their ids; null ids are ids."""
     if not 0 < window - anchor < 62:
         raise ValueError("a stretch must have fewer than 63 windows")
-    # rows alike in the key, which is that of id and text, get alike results
-    key = {"__kid": F.xxhash64(F.col(doc_id)), "__th": F.hash(F.col(text))}
+    # rows alike in the key, two 64-bit hashes of id and text, get alike results (a null text has the
+    # words of an empty one, and hashes that skip nulls could take it for another's id)
+    key = {k: F.xxhash64(F.lit(seed), F.col(doc_id), F.coalesce(F.col(text), F.lit(""))) for k, seed in (("__kid", 1), ("__th", 2))}
     texts = docs.select(key["__kid"].alias("kid"), key["__th"].alias("th"), F.col(text).alias("t"))
     spans = repeated_spans(texts, window, anchor)
     lists = spans.groupBy(F.col("kid").alias("__kid"), F.col("th").alias("__th")).agg(

@@ -66,3 +66,13 @@ def test_many_near_copies_meet_in_one_component(spark):
     rows = [(i, " ".join(base[:i % 60] + [f"e{i}"] + base[i % 60 + 1:]), None, None, 0) for i in range(400)]
     got = near_duplicate_groups(spark.createDataFrame(rows, DOCS)).agg(F.min("component_id"), F.max("component_id")).first()
     assert tuple(got) == (0, 0)
+
+
+def test_texts_of_one_id_with_equal_32_bit_hashes_all_stay(spark):
+    a, b = (" ".join(f"w{i}x{j}" for j in range(40)) for i in (38755, 83392))
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i in (None, 5) for t in (a, b)] + [(5, a, None, None, 0)], DOCS)
+    assert docs.selectExpr("hash(text) as h").distinct().count() == 1
+    # a and b stand under a null id and under 5: one of each stays, that of the known id
+    assert sorted((r.doc_id, r.text) for r in one_per_group(docs).collect()) == sorted([(5, a), (5, b)])
+    bare = one_per_group(docs.filter("doc_id is null")).collect()
+    assert sorted(r.text for r in bare) == sorted([a, b])

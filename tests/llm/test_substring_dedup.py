@@ -55,3 +55,14 @@ def test_random_copies(spark, seed):
 
 def test_empty_table(spark):
     assert remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_texts_of_one_id_with_equal_32_bit_hashes(spark):
+    """The first two are alike in F.hash, under a null id and a repeated one; only one of each is copied in part."""
+    a, b = (" ".join(f"w{i}x{j}" for j in range(40)) for i in (38755, 83392))
+    rows = [(i, t, None, None, 0) for i in (None, 5) for t in (a, b)]
+    one = spark.createDataFrame(rows, DOCS)
+    assert one.selectExpr("hash(text) as h").distinct().count() == 1
+    held(spark.createDataFrame([*rows[:2], (9, "edit " + a[:a.index("x38")], None, None, 0)], DOCS))
+    held(spark.createDataFrame([*rows[2:], (9, b + " " + " ".join(f"more{j}" for j in range(50)), None, None, 0)], DOCS))
+    held(spark.createDataFrame([rows[0], (None, "short", None, None, 0), (None, None, None, None, 0), (None, "", None, None, 0), rows[0]], DOCS))
