@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 from fathom.llm import bpe, jaccard_join, lang_id, line_dedup, mixing
 from fathom.session import ensure_checkpoint_dir
 
-#: A document goes if no language has this share of the weight. (Code length a byte is no ground:
-#: short texts with numbers or keys in them cost much in their own language, too.)
-MIN_SCORE = 0.5
+#: A document goes if no language has this share of the weight, or if its letters cost so many standard
+#: deviations more than in texts of the language that describes them best: foreign text and noise.
+MIN_SCORE, MAX_EXCESS = 0.5, 20.0
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the learned languages; ``und`` ones and those below MIN_SCORE go."""
-    model = lang_id.train(docs.filter(~lang_id.held_out("doc_id")))
-    found = lang_id.predict(docs, model)
-    return found.filter((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    """Documents in one of the learned languages; ``und`` ones, those below MIN_SCORE and those
+    beyond MAX_EXCESS go."""
+    samples = lang_id.sample(docs.filter(~lang_id.held_out("doc_id")))
+    found = lang_id.predict(docs, lang_id.ContextTrees.fit(samples), limits=lang_id.letter_limits(samples))
+    return found.filter((F.col("lang_pred") != lang_id.UND) & (F.col("score") >= MIN_SCORE) & (
+        F.col("excess") <= MAX_EXCESS)).select(*docs.columns)
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,9 @@ UND = "und"
 #: Up to so many languages' counts are sent to all tasks.
 BROADCAST_LANGS = 10_000
 LETTER = regex.compile(r"\p{L}")
+NO_LETTERS = r"([a-z0-9_]*[0-9_][a-z0-9_]*|[^\pL\pM])+"
+#: Bytes of the pieces whose costs give the spread of a language's code length.
+PIECE = 32
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +102,8 @@ class ContextTrees:
                 cost[me, :, j] = np.where(sums > 0, own, cost[me, :, j])
         return cls(langs, symbol, child.reshape(-1), cost.reshape(-1, max(len(langs), 1)) if langs else cost.reshape(base[-1] * width, 0), depth)
 
-    def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Bits of every text (``data[offsets[i]:offsets[i + 1]]``) under every language."""
+    def byte_costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bits of every byte of the texts ``data[offsets[i]:offsets[i + 1]]`` under every language."""
         width = int(self.symbol.max()) + 1
         sym = self.symbol[data]
         start = np.repeat(offsets[:-1], np.diff(offsets))
@@ -113,7 +116,11 @@ class ContextTrees:
             alive = alive[on]
             node[alive] = nxt[on]
             alive = alive[past[alive] > d]
-        bits = self.cost[node * width + sym]
+        return self.cost[node * width + sym]
+
+    def code_lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bits of every text under every language."""
+        bits = self.byte_costs(data, offsets)
         out = np.zeros((len(offsets) - 1, self.cost.shape[1]))
         full = np.flatnonzero(np.diff(offsets) > 0)
         if len(full):
@@ -121,13 +128,80 @@ class ContextTrees:
         return out
 
 
+def flat_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and offsets (n + 1); a null text has none."""
+    t = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    off = np.frombuffer(t.buffers()[1], dtype=np.int64)[t.offset:t.offset + len(t) + 1]
+    data = np.frombuffer(t.buffers()[2], dtype=np.uint8)[off[0]:off[-1]] if off[-1] > off[0] else np.empty(0, np.uint8)
+    return data, off - off[0]
+
+
+def plain_letters(texts: pa.Array) -> pa.Array:
+    """The letters of every text in lower case, one space for all between them. Runs of ASCII letters
+    with a digit or ``_`` in them (keys, numbers, names in code) are left out."""
+    return pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), NO_LETTERS, " "), " ")
+
+
+def letter_costs(trees: ContextTrees, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the letters of every text cost: bits, bytes, language that describes them best; and bits of
+    all whole pieces. Each piece is described by the language that does it best, so that a text in two
+    learned languages costs no more than texts in one."""
+    data, off = flat_bytes(plain_letters(texts))
+    n = np.diff(off)
+    many = -(-n // PIECE)
+    to = np.r_[0, np.cumsum(many)]
+    start = np.repeat(off[:-1] - to[:-1] * PIECE, many) + np.arange(to[-1]) * PIECE
+    bits, best = np.zeros(len(n)), np.zeros(len(n), dtype=np.int64)
+    if not len(start) or not trees.langs:
+        return bits, n, best, np.empty(0)
+    cost = np.add.reduceat(trees.byte_costs(data, off), start, axis=0, dtype=np.float64)
+    least, some = cost.min(axis=1), np.flatnonzero(n)
+    bits[some] = np.add.reduceat(least, to[some])
+    best[some] = np.add.reduceat(cost, to[some], axis=0).argmin(axis=1)
+    return bits, n, best, least[np.diff(np.r_[start, len(data)]) == PIECE]
+
+
+def letter_limits(samples: dict[str, list[bytes]], **tree) -> dict[str, tuple[float, float, float]]:
+    """What letters cost in texts of each language: (mean bits a byte, variance of a byte, variance of a text).
+
+    Each half of a language's distinct texts is scored by trees of the other halves, so that no
+    text is described by itself. A language of one text gets the highest of the others' figures."""
+    texts = {l: list(dict.fromkeys(v)) for l, v in samples.items()}
+    texts = {l: v for l, v in texts.items() if len(v) > 1}
+    trees = [ContextTrees.fit({l: v[1 - k::2] for l, v in texts.items()}, **tree) for k in (0, 1)]
+    out = {}
+    for l, v in texts.items():
+        halves = [letter_costs(trees[k], pa.array([t.decode() for t in v[k::2]], pa.large_string())) for k in (0, 1)]
+        c, n, _, piece = (np.concatenate(x) for x in zip(*halves))
+        c, n = c[n > 0], n[n > 0]
+        if len(piece):
+            mean = c.sum() / n.sum()
+            byte = np.mean((piece - PIECE * mean) ** 2) / PIECE
+            # texts count alike, but for those so short that their bytes tell little of the text
+            share = n / (n + 4 * PIECE)
+            out[l] = (mean, byte, max(0.0, np.average((c / n - mean) ** 2 - byte / n, weights=share)))
+    most = tuple(np.max(list(out.values()), axis=0)) if out else (np.inf, 1.0, 0.0)
+    return {l: out.get(l, most) for l in samples}
+
+
+def excess(trees: ContextTrees, limits: dict[str, tuple[float, float, float]], texts: pa.Array) -> np.ndarray:
+    """By how many standard deviations, which shrink with the bytes, the letters of each text cost more than
+    they do in the language that describes them best; 0 without letters or languages."""
+    bits, n, best, _ = letter_costs(trees, texts)
+    if not trees.langs:
+        return bits
+    mean, byte, text = np.array([limits[l] for l in trees.langs]).T[:, best]
+    some = np.maximum(n, 1)
+    return np.where(n > 0, (bits / some - mean) / np.sqrt(np.maximum(text + byte / some, 1e-9)), 0.0)
+
+
 def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG,
-          doc_bytes: int = DOC_BYTES, **tree) -> ContextTrees:
-    """Trees from a sample of ``docs``: per language the ``docs_per_lang`` rows of least hash that
+def sample(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG,
+           doc_bytes: int = DOC_BYTES) -> dict[str, list[bytes]]:
+    """Texts to learn from: per language of ``docs`` the ``docs_per_lang`` rows of least hash that
     are not longer than ``doc_bytes``, so the driver sees at most their product a language.
 
     A language's count of rows sets the part of the hash range that is looked at: four times
@@ -144,28 +218,35 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str =
     samples: dict[str, list[bytes]] = {}
     for r in got:
         samples.setdefault(r["lang"], []).append(r["text"].encode())
-    return ContextTrees.fit(samples, **tree)
+    return samples
+
+
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", order: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG,
+          doc_bytes: int = DOC_BYTES, **tree) -> ContextTrees:
+    """Trees from a :func:`sample` of ``docs``."""
+    return ContextTrees.fit(sample(docs, text, lang, order, docs_per_lang, doc_bytes), **tree)
 
 
-def predict(docs: DataFrame, model: ContextTrees, text: str = "text") -> DataFrame:
-    """``docs`` plus ``lang_pred``, ``score`` and ``bits_per_byte`` (columns of these names are replaced).
+def predict(docs: DataFrame, model: ContextTrees, text: str = "text",
+            limits: dict[str, tuple[float, float, float]] | None = None) -> DataFrame:
+    """``docs`` plus ``lang_pred``, ``score`` and ``bits_per_byte`` (columns of these names are replaced),
+    and with ``limits`` (of :func:`letter_limits`) ``excess``, see there.
 
     ``score``: the weight 2**-bits of the best language among all. A null text, one without a
     letter, and every text if nothing was learned: ``und``, score 0, null bits. Ties go to the
     first language in code-point order. Whole texts count; rows are independent."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(
         (model.langs, model.symbol, model.child, model.cost, model.depth)))
-    new = ["lang_pred", "score", "bits_per_byte"]
+    new = ["lang_pred", "score", "bits_per_byte"] + ["excess"] * (limits is not None)
     keep = [f for f in docs.schema if f.name not in new]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["lang_pred string, score double, bits_per_byte double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["lang_pred string, score double, bits_per_byte double"]
+                       + ["excess double"] * (limits is not None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = ContextTrees(*pickle.loads(shared.value))
         for b in slices(batches, text, 1 << 20):
-            t = pc.fill_null(b.column(b.schema.get_field_index(text)).cast(pa.large_binary()), b"")
-            off = np.frombuffer(t.buffers()[1], dtype=np.int64)[t.offset:t.offset + len(t) + 1]
-            data = np.frombuffer(t.buffers()[2], dtype=np.uint8)[off[0]:off[-1]] if off[-1] > off[0] else np.empty(0, np.uint8)
-            bits = trees.code_lengths(data, off - off[0])
+            data, off = flat_bytes(b.column(b.schema.get_field_index(text)))
+            bits = trees.code_lengths(data, off)
             letters = np.array([bool(v and LETTER.search(v)) for v in b.column(b.schema.get_field_index(text)).to_pylist()], dtype=bool)
             known = letters & bool(trees.langs)
             if trees.langs:
@@ -179,7 +260,8 @@ def predict(docs: DataFrame, model: ContextTrees, text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index(f.name)) for f in keep]
                 + [pa.array(np.where(known, pred, UND), pa.string()), pa.array(np.where(known, score, 0.0)),
-                   pa.array(rate, pa.float64(), mask=~known)], [*[f.name for f in keep], *new])
+                   pa.array(rate, pa.float64(), mask=~known)]
+                + ([pa.array(excess(trees, limits, b.column(b.schema.get_field_index(text))))] if limits is not None else []), [*[f.name for f in keep], *new])
 
     return docs.mapInArrow(run, schema)
 

@@ -3,8 +3,9 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from fathom.llm.lang_id import ContextTrees, held_out, predict, query, train
+from fathom.llm.lang_id import ContextTrees, excess, held_out, letter_limits, plain_letters, predict, query, train
 from tests.llm.helpers import DOCS, SF, edge_docs
 
 
@@ -71,3 +72,18 @@ def test_labels_do_not_matter_to_predictions_and_nothing_learned(spark):
     assert sorted(plain) == sorted(other)
     none = train(spark.createDataFrame([], DOCS))
     assert {r.lang_pred for r in predict(docs, none).collect()} == {"und"}
+
+
+def test_plain_letters_and_their_excess():
+    got = plain_letters(pa.array(["The CAT, 12 abc9def x_y\n sat!", "Größe: 7", None, "", "12 34"]))
+    assert got.to_pylist() == ["the cat sat", "größe", None, "", ""]
+    rng = random.Random(4)
+    samples = {l: [" ".join("".join(rng.choice(a) for _ in range(5)) for _ in range(20)).encode() for _ in range(12)] for l, a in (("x", "aabc"), ("y", "dde"))}
+    samples["z"] = [b"zzz zz"]  # one text: the others' figures
+    limits = letter_limits(samples)
+    assert sorted(limits) == ["x", "y", "z"] and limits["z"][0] == max(limits["x"][0], limits["y"][0])
+    texts = pa.array(["abca baac cabb aabc", "abca ddee baac 77", "qwrt pksf hjkl mnvt", None, "12"])
+    over = excess(ContextTrees.fit(samples), limits, texts)
+    assert over[0] < 4 and over[2] > over[1] and over[2] > 8 and list(over[3:]) == [0, 0]
+    none = ContextTrees.fit({})
+    assert letter_limits({}) == {} and list(excess(none, {}, texts)) == [0] * 5

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers as P
 
 import corpus_pipeline as cp
@@ -45,3 +47,34 @@ def test_stages_take_edge_rows_and_empty_tables(spark):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, SF)
         assert docs.count() >= 0
+
+
+FOREIGN = [
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar.",
+    "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。",
+]
+
+
+def test_foreign_text_and_noise_go_and_short_clean_texts_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = random.Random(11)
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (8, 20, 200)]
+    table = docs.collect()
+    clean = []
+    for r in sorted((r for r in table if len(r.text or "") > 30), key=lambda r: (len(r.text), r.doc_id))[:8]:
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(40))
+        clean += [r.text, r.text.upper(), f"{r.text} 4785380592391139 +1 (777) 555-7427 token = \"{key}\""]
+    learned = {r.lang: r.text for r in table if len(r.text or "") > 500}
+    clean.append("\n".join(t[:400] for t in learned.values()))  # in all learned languages
+    texts = FOREIGN + [t * 20 for t in FOREIGN] + noise + clean
+    rows = [(10 ** 9 + i, t, None, "planted", len(t)) for i, t in enumerate(texts)]
+    more = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(
+        spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = {r.doc_id for r in cp.identify_language(spark, more, SF).collect()}
+    bad = 2 * len(FOREIGN) + len(noise)
+    assert [t[:60] for i, t in enumerate(texts) if (10 ** 9 + i in kept) != (i >= bad)] == []
+    assert {r.doc_id for r in table} <= kept
