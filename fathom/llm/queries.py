@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import (
-    bpe, chat_format, jaccard_join, lang_id, line_dedup, mixing, near_vectors, substring_dedup, token_counts, topk)
+    bpe, chat_format, jaccard_join, lang_id, line_dedup, mixing, near_vectors, sharding, spelling, substring_dedup,
+    token_counts, topk, vector_codes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": chat_format.query,
@@ -20,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_vectors": near_vectors.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_language_id": lang_id.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_sharding": sharding.query,
+    "op13_vector_codes": vector_codes.query,
 }
 
 SQL: dict[str, str] = {
@@ -30,4 +34,7 @@ SQL: dict[str, str] = {
     "op7_jaccard_join": jaccard_join.SQL,
     "op8_near_vectors": near_vectors.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
+    "op11_spelling_variants": spelling.SQL,
+    "op12_sharding": sharding.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
