@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import components, null_safe, read_table, stage
+from fathom.operators.sequence import with_row_index
 
 THRESHOLD = 0.95
 #: Bounds of the k-means fit: sampled vectors, cells; vectors a cell aims at; cosine margin.
@@ -137,24 +138,29 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
 
     Equal vectors are one class, compared once. A vector that is null, empty, zero or holds a
     null or non-finite component, or has a null id, links with nothing and is its own
-    component (kept, except for a null id). A row repeated with id and vector comes back once."""
+    component (kept, except for a null id). A row repeated with id and vector comes back once;
+    different vectors under one id are vectors of their own."""
     v = F.col(embedding)
     sound = F.coalesce(F.col(vec_id).isNotNull() & v.isNotNull() & (F.size(v) > 0) & F.exists(v, lambda x: x != 0)
                        & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(sound, v.cast("array<double>")).alias("v"))
     rows = rows.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit("v"), "v"), "sound": F.col("v").isNotNull()})
     ids = rows.groupBy("vec_id", "h1", "h2", "sound").agg(F.lit(1).alias("one")).drop("one")
-    size = ids.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"))
-    size = stage(size)
-    one = rows.filter("sound").select(F.col("vec_id").alias("node"), "h1", "h2", "v").join(size, ["node", "h1", "h2"])
+    size = stage(ids.filter("sound").groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight")))
+    # classes are numbered in order of their least id, so that two with one id stay apart
+    size = stage(with_row_index(size, ["least", "h1", "h2"], "node"))
+    one = rows.filter("sound").select(F.col("vec_id").alias("least"), "h1", "h2", "v").join(size, ["least", "h1", "h2"])
     classes = one.groupBy("node", "weight").agg(F.first("v").alias("v"))
     found = stage(compare(stage(assign(stage(classes), cell_rows, max_cells, margin)), threshold, home_block, other_block))
     links = found.groupBy("node").agg(F.sum("n").alias("n"))
     comp = components(found.filter("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v")).distinct())
-    table = size.join(links, "node", "left").join(comp, "node", "left").select(
-        F.col("h1").alias("c1"), F.col("h2").alias("c2"), "node", "weight", "n", "component")
+    table = size.join(links, "node", "left").join(comp, "node", "left")
+    table = table.withColumn("root", F.coalesce("component", "node"))
+    first = size.select(F.col("node").alias("root"), F.col("least").alias("component_id"))
+    table = table.drop("component").join(first, "root").select(
+        F.col("h1").alias("c1"), F.col("h2").alias("c2"), "weight", "n", "component_id")
     out = ids.join(table, null_safe(ids, table, {"h1": "c1", "h2": "c2"}) & ids["sound"], "left")
-    component = F.coalesce("component", "node", "vec_id")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", (F.coalesce("weight", F.lit(1)) - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"),
                       component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 

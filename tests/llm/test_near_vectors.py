@@ -43,3 +43,11 @@ def test_edge_vectors(spark):
     assert all(got[i] == (0, i, True) for i in (4, 5, 6, 7, 8, 9, 10))
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_duplicates(spark.createDataFrame(rows[4:7], SCHEMA)).count() == 3
+
+
+def test_different_vectors_under_one_id_keep_their_links(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (5, [0.0, 1.0, 0.0]), (6, [1.0, 0.001, 0.0]), (7, [0.0, 1.0, 0.001])]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+        got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_duplicates(df).collect())
+        assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False)]
