@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 from fathom.llm.common import read_table
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Hashes keep 44 bits, so that sums over 2**19 turns stay within a long; two of them name a prefix.
-MASK = (1 << 44) - 1
+#: Hashes keep 40 bits, so that sums over the 2**23 rows of a block stay within a long; two of them name a prefix.
+MASK = (1 << 40) - 1
+#: Sums over whole conversations are kept modulo this prime.
+PRIME = (1 << 61) - 1
 
 
 def _running(df: DataFrame, values: list[str]) -> DataFrame:
@@ -28,10 +30,10 @@ def _running(df: DataFrame, values: list[str]) -> DataFrame:
     every = Window.partitionBy("__conv")
     totals = df.groupBy("__conv", "__block").agg(*[F.sum(v).alias(v) for v in values]).select(
         "__conv", "__block", F.max("__block").over(every).alias("__last_block"),
-        *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__before_{v}") for v in values])
+        *[F.coalesce(F.sum(F.col(v).cast("decimal(28,0)")).over(before) % F.lit(PRIME), F.lit(0)).cast("long").alias(f"__before_{v}") for v in values])
     sums = df.select("*", *[F.sum(v).over(inner).alias(f"__in_{v}") for v in values])
     return sums.join(totals, ["__conv", "__block"]).select(
-        *df.columns, "__last_block", *[(F.col(f"__in_{v}") + F.col(f"__before_{v}")).alias(f"__run_{v}") for v in values])
+        *df.columns, "__last_block", *[((F.col(f"__in_{v}") % F.lit(PRIME) + F.col(f"__before_{v}")) % F.lit(PRIME)).alias(f"__run_{v}") for v in values])
 
 
 def turn_prefixes(turns: DataFrame, conv: str, turn: str, role: str, text: str, block_turns: int) -> DataFrame:

@@ -44,3 +44,14 @@ def test_many_copies_and_empty_table(spark):
     rows = [r for c in range(200) for r in turns(c, ["same", "talk"])] + turns(900, ["same", "talk", "goes on"])
     assert sorted(rendered(spark, rows)) == [900]
     assert rendered(spark, []) == {}
+
+
+def test_very_long_conversations_do_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    from fathom.llm.chat_format import maximal_conversations, turn_prefixes
+    n = (1 << 21) + 3
+    turns = spark.range(n).select(F.lit(1).alias("c"), F.col("id").alias("t"), F.lit("user").alias("r"), F.concat(F.lit("m"), F.col("id") % 7).alias("x"))
+    snap = turns.filter(F.col("t") < n - 5).withColumn("c", F.lit(2))
+    p = turn_prefixes(turns.unionByName(snap), "c", "t", "r", "x", 512)
+    assert [(r["__conv"], r["__n"]) for r in maximal_conversations(p).collect()] == [(1, n)]
