@@ -82,5 +82,5 @@ def connected_components(cells: DataFrame, group: Sequence[str], xi: str = "xi",
     edges = left.join(right, [*g, "__x", "__y"]).select(*g, "u", "v").distinct()
     roots = star_components(runs.select(*g, "u").distinct(), edges, g)
     labelled = runs.join(roots, [*g, "u"])
-    numbers = rank_within(roots.select(*g, "root").distinct(), g, ["root"], out_col)
+    numbers = rank_within(cut_lineage(roots.select(*g, "root").distinct()), g, ["root"], out_col)
     return labelled.join(numbers, [*g, "root"]).drop("u", "root", "__lin")

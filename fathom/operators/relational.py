@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fathom.functions._util import as_col
 from fathom.operators.sequence import with_row_index
@@ -103,13 +104,75 @@ def natural_left_join(a: DataFrame, b: DataFrame, null_matches: bool = True) ->
     return a.join(bb, cond, "left").drop(*[f"__k_{c}" for c in common])
 
 
-def interval_join(df: DataFrame, bounds: DataFrame, lo_col: str, hi_col: str,
-                  start: str, end: str) -> DataFrame:
-    """Rows strictly inside each interval: lo_col > start AND hi_col < end.
+#: So many intervals are compared with every row; more go through their index.
+FEW_INTERVALS = 64
+#: Entries of the index of intervals that are sent to all tasks.
+SENT_ENTRIES = 100_000
+
+
+def _axis(c: Column, kind: T.DataType) -> Column:
+    """Place on the axis of a number, a date or a time, as a double of the same order."""
+    if isinstance(kind, T.TimestampNTZType):
+        c = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c)
+    elif isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    return c.cast("double")
+
+
+def _level(length: Column) -> Column:
+    """Least k with 2**k >= length, from -1 on; 1024 for an endless length."""
+    k = F.ceil(F.log2(F.least(F.greatest(length, F.lit(0.5)), F.lit(2.0 ** 1023)))).cast("int")
+    k = k + (F.pow(F.lit(2.0), F.least(k, F.lit(1023)).cast("double")) < F.least(length, F.lit(2.0 ** 1023))).cast("int")
+    return F.when(length <= 0.5, F.lit(-1)).when(length > 2.0 ** 1023, F.lit(1024)).otherwise(k)
 
-    ``bounds`` is a table of a few intervals; Spark broadcasts it if its size allows."""
+
+def _bin(c: Column, level: Column) -> Column:
+    """The bin of width 2**level that holds ``c``; one bin for all at the endless level."""
+    return F.when(level >= 1024, F.lit(0.0)).otherwise(F.floor(c / F.pow(F.lit(2.0), F.least(level, F.lit(1023)).cast("double"))).cast("double"))
+
+
+def interval_join(df: DataFrame, bounds: DataFrame, lo_col: str, hi_col: str,
+                  start: str, end: str, few: int = FEW_INTERVALS) -> DataFrame:
+    """Every row with each interval that has lo_col > start AND hi_col < end.
+
+    Up to ``few`` intervals are sent to all tasks and compared with every row. More are indexed
+    by bins: an interval's level is that of the narrowest bins, of a power of two's width, that are
+    no shorter than it, so it lies in two bins at most; a row, which may be a stretch itself (its
+    lo_col may be above its hi_col, or an interval's start above its end), likewise. The two meet by an equi-join in a bin of the higher
+    level of both, so each side is copied at most twice for each level that the other one has,
+    whatever the lengths; the exact test comes after, and of two bins that hold both, one counts.
+    Null bounds match nothing."""
     cond = (F.col(lo_col) > F.col(start)) & (F.col(hi_col) < F.col(end))
-    return df.join(bounds, cond, "inner")
+    if bounds.limit(few + 1).count() <= few:
+        return df.join(F.broadcast(bounds), cond, "inner")
+    lo, hi = (_axis(F.col(c), df.schema[c].dataType) for c in (lo_col, hi_col))
+    rows = df.filter(F.col(lo_col).isNotNull() & F.col(hi_col).isNotNull()).withColumns(
+        {"__a": F.least(lo, hi), "__b": lo}).withColumn("__kr", _level(F.col("__b") - F.col("__a")))
+    ends = [_axis(F.col(c), bounds.schema[c].dataType) for c in (start, end)]
+    spans = bounds.filter(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumns({"__s": F.least(*ends), "__e": F.greatest(*ends)})
+    spans = spans.withColumn("__kb", _level(F.col("__e") - F.col("__s")))
+    # a thousand levels at most, whatever the data
+    of_rows = [r[0] for r in rows.select("__kr").distinct().collect()]
+    of_spans = {r[0]: r[1] for r in spans.groupBy("__kb").count().collect()}
+
+    def copies(side: DataFrame, own: str, other: list[int], first: str, last: str) -> DataFrame:
+        # its own level, if the other side has one no higher, and the other side's higher ones
+        k, most = F.col(own), F.array(*[F.lit(x) for x in sorted(other)] or [F.lit(None).cast("int")])
+        here = F.when(F.array_min(most) <= k, F.array(k)).otherwise(F.array().cast("array<int>"))
+        side = side.withColumn("__k", F.explode(F.concat(here, F.filter(most, lambda x: x > k))))
+        ends = F.array_distinct(F.array(_bin(F.col(first), F.col("__k")), _bin(F.col(last), F.col("__k"))))
+        return side.withColumn("__bin", F.explode(ends))
+
+    rows = copies(rows, "__kr", list(of_spans), "__a", "__b")
+    spans = copies(spans, "__kb", of_rows, "__s", "__e").withColumnsRenamed({"__k": "__kk", "__bin": "__bb"})
+    if sum(of_spans.values()) * 2 * (len(of_rows) + 1) <= SENT_ENTRIES:
+        spans = F.broadcast(spans)
+    met = rows.join(spans, (rows["__k"] == spans["__kk"]) & (rows["__bin"] == spans["__bb"]))
+    once = (F.col("__k") == F.greatest("__kr", "__kb")) & (
+        F.col("__bin") == F.greatest(_bin(F.col("__a"), F.col("__k")), _bin(F.col("__s"), F.col("__k"))))
+    return met.filter(once & cond).drop(*"__a __b __kr __k __bin __s __e __kb __kk __bb".split())
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions import math as M
+from fathom.functions import time as T
 from fathom.operators import aggregates as A
 from fathom.operators import grid as G
 from fathom.operators import relational as R
 from fathom.operators import sequence as S
 from fathom.plans.catalog import query
 from fathom.session import cut_lineage
+from fathom.sources import files as FS
 from fathom.sources import literals as L
 from fathom.sources.views import SQL as VIEW_SQL
 from fathom.sources.views import v_env, v_grid, with_views
@@ -60,7 +62,8 @@ def layers(lab: DataFrame, kept: DataFrame, group=GROUP) -> DataFrame:
 
 def smooth_layers(lay: DataFrame) -> DataFrame:
     """Q14: 19-row centred mean (replicated ends) over the whole series in time order."""
-    idx = S.with_row_index(lay, ["datetime", "date"], "__rn")
+    # one row a ping, from a window over all cells: written, so that the index reads the pings
+    idx = S.with_row_index(cut_lineage(lay), ["datetime", "date"], "__rn")
     return S.moving_mean(idx, "__rn", ["cm", "layertop", "layerbase"], SMOOTH_ROWS).drop("__rn")
 
 
@@ -385,22 +388,102 @@ def q_watershed_environment(spark, sf):
 # -- Q13: detection over files as written
 
 
-_FILES_GRID = """
-  SELECT CAST(datetime AS DATE) AS date, datetime, depth, Sv_mean FROM v_grid0 WHERE depth BETWEEN 15 AND 500"""
+FILE_GROUP = ["file", "date"]
+DETECT_DEPTHS = (15, 500)
 
 
-@query("detect_files", ops="Q13 S1 G9 P4", sql=grid_sql(
-    "SELECT *, CAST(date AS VARCHAR) || '-S' || CAST(label AS VARCHAR) AS school_id FROM kept", _FLOODED,
-    views=()).replace("WITH RECURSIVE", f"WITH RECURSIVE v_grid0 AS ({VIEW_SQL['v_grid']}), v_grid AS ({_FILES_GRID}),", 1))
-def q_detect_files(spark, sf):
-    """CSV exports read by header name: depths from 15 to 500, the date of the local clock, one
-    image a local day."""
-    from fathom.plans.tables import read_grid_csv, scratch, write_grid_csv
+def detect(grid: DataFrame, group=GROUP, width_inclusive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """G9 for every image of ``grid``: (kept segments with their ids, layer metrics of every ping).
+    ``group`` names what makes an image; the labelled grid is written once."""
+    src = cut_lineage(grid)
+    lab = cut_lineage(G.label_grid(G.densify(src, group, X, Y, V), group, V))
+    kept = segments(lab, True, group, width_inclusive)
+    return with_school_id(kept), layers(lab, kept, group)
+
+
+def detect_files(spark, path: str, depths=DETECT_DEPTHS, unit: str = "([^/]+)$") -> tuple[DataFrame, DataFrame]:
+    """Q13: detection over a directory of grid exports, each file read by its own header and cut into
+    images by itself: a local day that two files share is two images, with labels of their own.
+
+    ``file`` is what ``unit`` finds in a file's path; by default its name. A folder can so stand for
+    one export that was written in parts."""
+    from fathom.plans.tables import grid_columns
+    rows = FS.read_dir(spark, path, FS.GRID_CSV, glob="*.csv", name="file", full_path=True)
+    rows = rows.filter(F.col("Layer_depth_min").between(*depths))
+    grid = rows.select(F.regexp_extract("file", unit, 1).alias("file"), *grid_columns()).drop("hour")
+    return detect(grid, FILE_GROUP)
+
+
+def smooth_files(lay: DataFrame) -> DataFrame:
+    """Q14 over the layers of all files, one behind the other in order of their names."""
+    idx = S.with_row_index(cut_lineage(lay), ["file", "date", "datetime"], "__rn")
+    return S.moving_mean(idx, "__rn", ["cm", "layertop", "layerbase"], SMOOTH_ROWS).drop("__rn")
+
+
+# Pings every 3 hours: on the local clock the last ones of a month belong to the next month's file.
+_CRUISE = VIEW_SQL["v_grid"].replace("l_linenumber * 2", "l_linenumber * 3")
+_FILE_IMAGES = f"""
+  SELECT datetime, depth, Sv_mean, CAST(datetime AS DATE) AS day, strftime(datetime + INTERVAL 8 HOUR, '%Y-%m') AS file
+  FROM v_grid0 WHERE depth BETWEEN {DETECT_DEPTHS[0]} AND {DETECT_DEPTHS[1]}"""
+
+
+def _by_file(sql: str) -> str:
+    """The detection SQL over images (file, day): ``date`` there is a number of the image."""
+    views = f"""v_grid0 AS ({_CRUISE}), cells AS ({_FILE_IMAGES}),
+      images AS MATERIALIZED (SELECT file, day, row_number() OVER (ORDER BY file, day) AS date FROM (SELECT DISTINCT file, day FROM cells)),
+      v_grid AS MATERIALIZED (SELECT images.date, cells.datetime, cells.depth, cells.Sv_mean FROM cells JOIN images USING (file, day)),"""
+    return sql.replace("WITH RECURSIVE", f"WITH RECURSIVE {views}", 1)
+
+
+def cruise(spark, sf) -> DataFrame:
+    """The test grid with pings at ship date + 3 h x line number."""
+    return v_grid(spark, sf, ping_hours=3)
+
+
+def export_files(spark, sf) -> str:
+    """The cruise as monthly exports on the UTC clock, each file's columns in one of three orders."""
+    from fathom.plans.tables import export_columns, scratch
     path = scratch(spark)
-    write_grid_csv(spark, v_grid(spark, sf), path)
-    grid = read_grid_csv(spark, path).filter(F.col("depth").between(15, 500)).drop("hour")
-    lab = labelled_grid(spark, sf, use_watershed=True, grid=grid, shared=False)
-    return with_school_id(segments(lab, use_watershed=True))
+    utc = cruise(spark, sf).withColumn("__month", F.date_format(T.shift_hours("datetime", 8), "yyyy-MM")).select(
+        "__month", *export_columns())
+    utc = cut_lineage(utc)
+    names = [c for c in utc.columns if c != "__month"]
+    for k in range(3):
+        part = utc.filter(F.month(F.to_date("__month", "yyyy-MM")) % 3 == k).withColumnRenamed("__month", "month")
+        part.select("month", *names[k:], *names[:k]).repartition("month").write.mode("append").partitionBy("month").option(
+            "header", "true").option("nullValue", "NA").csv(path)
+    return path
+
+
+MONTH = "month=([^/]+)/"
+
+
+@query("detect_files", ops="Q13 S1 S2 G9 P4", sql=_by_file(grid_sql("""
+    SELECT images.file, day AS date, label, bottom, top, "left", "right", height, width, npixels, mean, std, total, start_time, middle,
+           CAST(day AS VARCHAR) || '-S' || CAST(label AS VARCHAR) AS school_id
+    FROM kept JOIN images ON images.date = kept.date""", _FLOODED, views=())))
+def q_detect_files(spark, sf):
+    """Monthly CSV exports with columns in different orders: depths from 15 to 500, the date of the
+    local clock, one image for each file and local day."""
+    return detect_files(spark, export_files(spark, sf), unit=MONTH)[0]
+
+
+@query("detect_files_layers", ops="Q13 Q14 G8", sql=_by_file(grid_sql(f"""
+    SELECT images.file, day AS date, datetime, cm, layertop, layerbase, hour, cm_smooth, layertop_smooth, layerbase_smooth
+    FROM smoothed JOIN images ON images.date = smoothed.date""", _WS_SUMMARY.replace(
+        "row_number() OVER (ORDER BY datetime, date) AS rn", "row_number() OVER (ORDER BY date, datetime) AS rn"), views=())))
+def q_detect_files_layers(spark, sf):
+    """The layer metrics of the same images, smoothed along the files."""
+    return smooth_files(detect_files(spark, export_files(spark, sf), unit=MONTH)[1])
+
+
+@query("detect_files_edges", ops="Q13 S2", sql=_by_file(grid_sql("""
+    SELECT day AS date, count(DISTINCT images.file) AS files, count(*) AS segments
+    FROM kept JOIN images ON images.date = kept.date GROUP BY day HAVING count(DISTINCT images.file) > 1""", _FLOODED, views=())))
+def q_detect_files_edges(spark, sf):
+    """The local days that two files share, with the segments of both images."""
+    segs = detect_files(spark, export_files(spark, sf), unit=MONTH)[0]
+    return segs.groupBy("date").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("segments")).filter("files > 1")
 
 
 # -- Q15: a few days as one image

@@ -41,7 +41,7 @@ def label_bouts(clicks: DataFrame, q: float = BOUT_QUANTILE, back: int = DILATE_
                 ahead: int = DILATE_AHEAD) -> DataFrame:
     """Q5 (first half): global q-quantile threshold, dilated exceedance flag, run labels."""
     thr = A.exact_quantiles(clicks, "n", {"bout_thresh": q})
-    idx = S.with_row_index(R.with_scalar(clicks, thr), ["datetime_round"], "__rn")
+    idx = R.with_scalar(S.with_row_index(clicks, ["datetime_round"], "__rn"), thr)
     flagged = idx.withColumn("__x", F.col("n") > F.col("bout_thresh"))
     dil = S.dilate(flagged, "__rn", "__x", "bout", back, ahead)
     return S.label_runs(dil, "__rn", "bout", "bout_label").drop("__rn", "__x")
@@ -65,6 +65,7 @@ def bout_rows(labelled: DataFrame, layer: DataFrame) -> DataFrame:
 
 def bout_profile(rows: DataFrame) -> DataFrame:
     """Q6: depth change by elapsed time: quantile bands of -rel_depth, sd/n, count."""
+    rows = cut_lineage(rows.select("bout_time", "rel_depth"))   # read by every pass of the quantiles
     neg = rows.select("bout_time", (-F.col("rel_depth")).alias("neg_rel"))
     qs = A.exact_quantiles(neg, "neg_rel", {"q25": 0.25, "q75": 0.75, "q40": 0.40, "q60": 0.60,
                                             "rel_depth": 0.5}, ["bout_time"])
@@ -76,7 +77,8 @@ def bout_profile(rows: DataFrame) -> DataFrame:
 def bout_table(rows: DataFrame) -> DataFrame:
     """Q7: one row per bout: extent (local and UTC), clicks, path length, max change,
     initial dive speed (2nd value / 20), duration, date and fractional hour."""
-    idx = S.with_row_index(rows.select("bout_label", "datetime_round", "n", "rel_depth"),
+    # the rows of bouts are few beside the series, and dear to find: written once
+    idx = S.with_row_index(cut_lineage(rows.select("bout_label", "datetime_round", "n", "rel_depth")),
                            ["bout_label", "datetime_round"], "__rn")
 
     def build(w):
@@ -202,7 +204,7 @@ SELECT lag, CASE WHEN cnt > 0 THEN greatest(-1.0, least(1.0, (s / (cnt + abs(lag
 FROM p, v""", "v_count", "v_layer"))
 def q_cross_corr(spark, sf):
     d = series_diff_join(v_count(spark, sf), layer_series(spark, sf))
-    idx = S.with_row_index(d.select("datetime_round", "dn", "dlayer_base"), ["datetime_round"], "__rn")
+    idx = S.with_row_index(cut_lineage(d.select("datetime_round", "dn", "dlayer_base")), ["datetime_round"], "__rn")
     return S.cross_corr(idx, "__rn", "dn", "dlayer_base", 6)
 
 
@@ -254,7 +256,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY bout_label ORDER BY datetime_rou
 GROUP BY bout_label""", _ROWS_CTE))
 def q_nth_value(spark, sf):
     rows = bout_rows(label_bouts(v_count(spark, sf)), layer_series(spark, sf))
-    idx = S.with_row_index(rows.select("bout_label", "datetime_round", "rel_depth"),
+    idx = S.with_row_index(cut_lineage(rows.select("bout_label", "datetime_round", "rel_depth")),
                            ["bout_label", "datetime_round"], "__rn")
     pos = idx.join(idx.groupBy("bout_label").agg(F.min("__rn").alias("__r0")), "bout_label")
     k = F.col("__rn") - F.col("__r0") + 1

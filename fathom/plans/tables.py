@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,24 +20,31 @@ def scratch(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark)}/files-{uuid.uuid4()}"
 
 
-def write_grid_csv(spark: SparkSession, grid: DataFrame, path: str) -> None:
+def export_columns() -> list:
     """Echogram cells as the instrument software exports them: header names with spaces, other
-    columns between, the clock 8 hours ahead, ``NA`` for a missing value."""
+    columns between, the clock 8 hours ahead."""
     utc = T.shift_hours("datetime", 8)
-    grid.select(
-        F.lit("x").alias("Process ID"), F.date_format(utc, "yyyyMMdd").cast("int").alias("Date_M"),
-        F.col("Sv_mean").alias("Sv mean"), F.date_format(utc, " HH:mm:ss.SSSS").alias("Time_M"),
-        F.col("depth").alias("Layer depth min"), F.lit(None).cast("string").alias("1 note"),
-        F.unix_micros(F.col("datetime").cast("timestamp")).alias("Interval"),
-    ).write.option("header", "true").option("nullValue", "NA").csv(path)
+    return [F.lit("x").alias("Process ID"), F.date_format(utc, "yyyyMMdd").cast("int").alias("Date_M"),
+            F.col("Sv_mean").alias("Sv mean"), F.date_format(utc, " HH:mm:ss.SSSS").alias("Time_M"),
+            F.col("depth").alias("Layer depth min"), F.lit(None).cast("string").alias("1 note"),
+            F.unix_micros(F.col("datetime").cast("timestamp")).alias("Interval")]
+
+
+def write_grid_csv(spark: SparkSession, grid: DataFrame, path: str) -> None:
+    """Cells as CSV exports, ``NA`` for a missing value."""
+    grid.select(*export_columns()).write.option("header", "true").option("nullValue", "NA").csv(path)
+
+
+def grid_columns() -> list:
+    """(date, datetime, hour, depth, Sv_mean) on the local clock, from the columns of an export."""
+    local = T.shift_hours(T.parse_datetime("Date_M", "Time_M"), -8)
+    return [F.to_date(local).alias("date"), local.alias("datetime"), F.hour(local).alias("hour"),
+            F.col("Layer_depth_min").alias("depth"), F.col("Sv_mean")]
 
 
 def read_grid_csv(spark: SparkSession, path: str) -> DataFrame:
     """(date, datetime, hour, depth, Sv_mean) from exported CSV files, on the local clock."""
-    g = FS.read_csv(spark, path, FS.GRID_CSV)
-    local = T.shift_hours(T.parse_datetime("Date_M", "Time_M"), -8)
-    return g.select(F.to_date(local).alias("date"), local.alias("datetime"), F.hour(local).alias("hour"),
-                    F.col("Layer_depth_min").alias("depth"), "Sv_mean")
+    return FS.read_csv(spark, path, FS.GRID_CSV).select(*grid_columns())
 
 
 @query("csv_scan", ops="S1 D1", sql=with_views("""
@@ -49,28 +55,30 @@ def csv_scan(spark, sf):
     return read_grid_csv(spark, path)
 
 
+#: Orders of columns in which the exports of a directory are written; the last two have a column more.
+EXPORT_COLUMNS = (["o_orderstatus", "o_totalprice", "o_orderkey"], ["o_orderkey", "o_orderstatus", "o_totalprice"],
+                  ["o_totalprice", "o_orderpriority", "o_orderkey", "o_orderstatus"], ["o_orderpriority", "o_orderkey", "o_totalprice", "o_orderstatus"])
+
+
 @query("csv_directory", ops="S2", sql="""
-    SELECT o_orderkey, o_totalprice, o_orderstatus, count(*) OVER (PARTITION BY o_orderkey % 4) > 0 AS has_source FROM orders""")
+    SELECT o_orderkey, o_totalprice, o_orderstatus, (o_orderkey % 4)::INTEGER AS export FROM orders""")
 def csv_directory(spark, sf):
-    """Several files in one scan, each row with the file that it came from."""
+    """A directory of exports whose columns stand in different orders: each file is read by its own
+    header, each row has the export that its file's path names."""
     path = scratch(spark)
-    table(spark, sf, "orders").select("o_orderstatus", "o_totalprice", "o_orderkey").repartition(4, "o_orderkey").write.option(
-        "header", "true").csv(path)
-    got = FS.read_dir(spark, path, "o_orderkey long, o_totalprice double, o_orderstatus string", glob="*.csv")
-    return got.withColumn("has_source", F.col("source_file").endswith(".csv")).drop("source_file")
+    for k, cols in enumerate(EXPORT_COLUMNS):
+        part = table(spark, sf, "orders").filter(F.col("o_orderkey") % 4 == k)
+        part.select(*cols).write.option("header", "true").csv(f"{path}/export-{k}")
+    got = FS.read_dir(spark, path, "o_orderkey long, o_totalprice double, o_orderstatus string", glob="*.csv", full_path=True)
+    return got.withColumn("export", F.regexp_extract("source_file", r"export-(\d+)/", 1).cast("int")).drop("source_file")
 
 
 @query("feather_ingest", ops="S3", sql=with_views("SELECT datetime, datetime AS datetime_round, depth, Sv_mean FROM v_grid", "v_grid"))
 def feather_ingest(spark, sf):
-    """One Feather file a month of cells, decoded again, one file a task."""
-    def pack(t: pa.Table) -> pa.Table:
-        import pyarrow.feather as feather
-        out = pa.BufferOutputStream()
-        feather.write_feather(t, out)
-        return pa.table({"content": pa.array([out.getvalue().to_pybytes()], pa.binary())})
-
-    cells = v_grid(spark, sf).select("Sv_mean", "date", "depth", "datetime", F.col("datetime").alias("datetime_round"))
-    return FS.decode_feather(cells.groupBy("date").applyInArrow(pack, "content binary"), FS.GRID_FEATHER)
+    """Feather files in the shared folder, read again by their record batches."""
+    path = scratch(spark)
+    FS.write_feather(v_grid(spark, sf).select("Sv_mean", "date", "depth", "datetime", F.col("datetime").alias("datetime_round")), path)
+    return FS.read_feather(spark, path, FS.GRID_FEATHER)
 
 
 @query("csv_auxiliary", ops="S4 D4", sql=with_views("""
@@ -85,14 +93,16 @@ def csv_auxiliary(spark, sf):
     return got.withColumn("datetime_round", T.parse_ts("datetime_round", T.PATTERNS["ymd_hms"]))
 
 
-@query("file_selection", ops="S5", sql="SELECT o_orderstatus AS status, 1::BIGINT AS files FROM orders GROUP BY 1")
+@query("file_selection", ops="S5", sql="SELECT DISTINCT o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'P'")
 def file_selection(spark, sf):
-    """Files picked by prefix and suffix without reading them: one CSV file a status."""
+    """Files picked by prefix, suffix and glob without reading them, among files of another kind and
+    folders of another name."""
     path = scratch(spark)
-    o = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("status"), "o_orderkey")
-    o.repartition(1, "status").write.partitionBy("status").option("header", "true").csv(path)
-    got = FS.list_inputs(spark, path, prefix="part-", suffix=".csv", glob="*.csv")
-    return got.groupBy(F.regexp_extract("path", "status=([^/]+)/", 1).alias("status")).agg(F.count(F.lit(1)).alias("files"))
+    o = table(spark, sf, "orders").select(F.concat(F.when(F.col("o_orderstatus") == "P", "other-").otherwise("status-"), "o_orderstatus").alias("kind"), "o_orderkey")
+    o.write.partitionBy("kind").option("header", "true").csv(path)
+    o.select(F.concat(F.lit("parquet-"), "kind").alias("kind"), "o_orderkey").write.mode("append").partitionBy("kind").parquet(path)
+    got = FS.list_inputs(spark, path, prefix="part-", suffix=".csv", glob="part-*")
+    return got.select(F.regexp_extract("path", "kind=status-([^/]+)/", 1).alias("status")).filter("status <> ''").distinct()
 
 
 @query("table_sink", ops="S6", sql=with_views("""

@@ -18,11 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def v_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v_grid(spark: SparkSession, sf_dir: str, ping_hours: int = 2) -> DataFrame:
     """Echogram cells: (date, datetime, depth, Sv_mean) from lineitem: one image per ship
     month, pings at ship date + 2 h x line number, depth = 10 x quantity."""
     li = table(spark, sf_dir, "lineitem")
-    ping = F.timestamp_add("HOUR", F.col("l_linenumber") * 2, F.col("l_shipdate"))
+    ping = F.timestamp_add("HOUR", F.col("l_linenumber") * ping_hours, F.col("l_shipdate"))
     return (li.groupBy(month_start("l_shipdate").alias("date"),
                        ping.alias("datetime"),
                        (F.col("l_quantity") * 10).alias("depth"))

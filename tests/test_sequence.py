@@ -46,7 +46,8 @@ def test_small_index_takes_few_partitions(spark, ranges):
     ranges(200)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     idx = S.with_row_index(spark.range(15).withColumnRenamed("id", "k"), ["k"], "rn")
-    assert idx.select(F.spark_partition_id()).distinct().count() == 1 and old
+    # the index is made when it is read, so the rows are asked for it
+    assert idx.select(F.spark_partition_id().alias("p"), "rn").filter("rn > 0").select("p").distinct().count() == 1 and old
 
 
 @pytest.mark.parametrize("block", [5, 17, 1000])
@@ -125,3 +126,77 @@ def test_exact_quantiles_hot_group_spreads_over_partitions(spark, ranges):
     j = got.join(naive, "k")
     assert j.count() == 8
     assert j.filter((F.abs(F.col("q") - F.col("q0")) > 1e-9) | (F.abs(F.col("m") - F.col("m0")) > 1e-9)).count() == 0
+
+
+# ---------------------------------------------------------------- keyed series, index without a write
+
+@pytest.fixture(scope="module")
+def keyed(spark):
+    """One long series, many short ones, a null key."""
+    rnd = random.Random(11)
+    keys = ["long"] * 150 + [None] * 9 + [f"s{i % 40}" for i in range(100)]
+    rows = [(k, i, rnd.choice([None, rnd.random(), 0.5]), rnd.random() < 0.4, rnd.random()) for i, k in enumerate(keys)]
+    return spark.createDataFrame(rows, "k string, t long, x double, f boolean, y double")
+
+
+def series_of(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r.t):
+        out.setdefault(r.k, []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("block", [30, 1000])
+def test_keyed_windows_stay_in_their_series(keyed, block):
+    idx = S.with_row_index(keyed, ["k", "t"], "rn", range_rows=40)
+    assert sorted(r.rn for r in idx.collect()) == list(range(1, keyed.count() + 1))
+    df = S.moving_mean(idx, "rn", ["x", "y"], 5, block_rows=block, by=["k"])
+    df = S.diff0(df, "rn", ["y"], block_rows=block, by=["k"])
+    df = S.dilate(df, "rn", "f", "wide", 4, 1, block_rows=block, by=["k"])
+    df = S.label_runs(df, "rn", "f", "run", block_rows=block, by=["k"])
+    got = {r.t: r for r in df.collect()}
+    assert len(got) == keyed.count()
+    for rows in series_of(keyed.collect()).values():
+        run = 0
+        for i, r in enumerate(rows):
+            g = got[r.t]
+            pad = [rows[min(max(j, 0), len(rows) - 1)] for j in range(i - 2, i + 3)]
+            for c in ("x", "y"):
+                vals = [p[c] for p in pad]
+                want = None if None in vals else sum(vals) / 5
+                assert g[f"{c}_smooth"] == (None if want is None else pytest.approx(want, abs=1e-12))
+            assert g.dy == pytest.approx(r.y - rows[i - 1].y if i else 0.0)
+            ahead = 1 if i + 1 >= 4 else 0
+            assert g.wide == any(p.f for p in rows[max(0, i - 4):i + 1 + ahead])
+            run += r.f and not (i and rows[i - 1].f)
+            assert g.run == (run if r.f else 0)
+
+
+def test_keyed_cross_corr_equals_each_series_alone(keyed):
+    idx = S.with_row_index(keyed, ["k", "t"], "rn", range_rows=40)
+    got = {(r.k, r.lag): r.acf for r in S.cross_corr(idx, "rn", "x", "y", 2, block_rows=20, by=["k"]).collect()}
+    for k in ("long", None, "s3"):
+        own = S.with_row_index(keyed.filter(F.col("k").eqNullSafe(F.lit(k))), ["t"], "rn")
+        for r in S.cross_corr(own, "rn", "x", "y", 2).collect():
+            assert got[k, r.lag] == (None if r.acf is None else pytest.approx(r.acf, abs=1e-12))
+
+
+def test_index_writes_nothing_and_is_the_same_when_computed_again(spark, data, ranges, tmp_path):
+    ranges(8)
+    src = f"{tmp_path}/t"
+    data.write.parquet(src)
+    df = spark.read.parquet(src)
+    folder = spark.sparkContext.getCheckpointDir()
+
+    def files():
+        import os
+        return sum(len(f) for _, _, f in os.walk(folder.removeprefix("file:")))
+
+    before = files()
+    idx = S.with_row_index(df, ["k", "tb"], "rn", range_rows=30)
+    first, again = sorted(map(tuple, idx.collect()), key=str), sorted(map(tuple, idx.repartition(5).collect()), key=str)
+    assert first == again and files() == before
+    plan = idx._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan.split("BroadcastExchange")[0] and "FileScan parquet" in plan
+    other = S.with_row_index(df, ["k", "tb"], "rn", range_rows=7)        # other bounds, same index
+    assert sorted(map(tuple, other.collect()), key=str) == first

@@ -48,13 +48,73 @@ def test_csv_columns_are_found_by_name(spark, tmp_path):
         FS.read_csv(spark, str(tmp_path / "bad.csv"), "x int").collect()
 
 
-def test_files_with_another_header_fail(spark, tmp_path):
-    d = tmp_path / "d"
-    d.mkdir()
-    (d / "a.csv").write_text("x,y\n1,2\n")
-    (d / "b.csv").write_text("y,x\n1,2\n")
-    with pytest.raises(Exception, match="header"):
-        FS.read_csv(spark, str(d), "x int, y int").collect()
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    d = tmp_path / "d [x]" / "deep"
+    d.mkdir(parents=True)
+    (d / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (d / "b.csv").write_text("y,x\n20,10\n")
+    (d / "c.csv").write_text('\ufeff"an ""extra"", col",x,1 note,y\n"7\n8",100,,200\n')
+    (d / "d.csv").write_text("y , x\n")          # a header only
+    (d / "e.csv").write_text("")                  # nothing
+    (d / "_hidden.csv").write_text("q\n1\n")
+    import gzip
+    with gzip.open(d / "f.csv.gz", "wt") as f:
+        f.write("x,y\n5,6\n")
+    root = str(tmp_path / "d [x]").replace("[", "\\[").replace("]", "\\]")
+    got = FS.read_dir(spark, root, "x int, y int", multiLine="true").orderBy("x").collect()
+    assert [(r.x, r.y, r.source_file) for r in got] == [
+        (1, 2, "a.csv"), (3, 4, "a.csv"), (5, 6, "f.csv.gz"), (10, 20, "b.csv"), (100, 200, "c.csv")]
+    heads = {r.path.rsplit("/", 1)[1]: r.header for r in FS.read_headers(spark, root, {"recursiveFileLookup": "true"}).collect()}
+    assert heads["c.csv"] == ['an "extra", col', "x", "1 note", "y"] and "e.csv" not in heads and "_hidden.csv" not in heads
+
+
+def test_headers_in_a_store_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "b.csv").write_text("y,x,z\n" + "20,10,0\n" * 5)
+    want = sorted(map(tuple, FS.read_headers(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(FS, "_arrow_reads", lambda path: False)
+    assert sorted((p.replace("file:///", "file:/"), h) for p, h in FS.read_headers(spark, str(tmp_path)).collect()) == want
+    assert FS.read_csv(spark, str(tmp_path), "x int, y int").agg(F.sum("x"), F.sum("y")).first() == (51, 102)
+
+
+def test_long_headers_and_files_that_lack_a_column(spark, tmp_path):
+    names = [f"column number {i}" for i in range(9000)]
+    (tmp_path / "a.csv").write_text(",".join([*names, "x"]) + "\n" + ",".join(["0"] * 9000 + ["5"]) + "\n")
+    got = FS.read_csv(spark, str(tmp_path), "x int, column_number_17 int", maxColumns="10000")
+    assert [tuple(r) for r in got.collect()] == [(5, 0)]
+    (tmp_path / "b.csv").write_text("y\n1\n")
+    with pytest.raises(ValueError, match="b.csv: missing columns"):
+        FS.read_csv(spark, str(tmp_path), "x int")
+    (tmp_path / "b.csv").write_text("x,x\n1,2\n")
+    with pytest.raises(ValueError, match="ambiguous columns"):
+        FS.read_csv(spark, str(tmp_path), "x int")
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert FS.read_dir(spark, str(empty), "x int", glob="*.csv").columns == ["x", "source_file"]
+
+
+def test_feather_file_is_split_by_its_batches(spark, tmp_path):
+    t = pa.table({"Sv_mean": pa.array([float(i) for i in range(800)]), "other": pa.array(["x" * 50] * 800),
+                  "depth": pa.array(range(800), pa.int32())})
+    with pa.ipc.new_file(str(tmp_path / "a.feather"), t.schema) as w:
+        w.write_table(t, max_chunksize=100)
+    from pyspark.sql import types as T_
+    schema = T_.StructType([T_.StructField("depth", T_.DoubleType()), T_.StructField("Sv_mean", T_.DoubleType())])
+    df = FS.read_feather(spark, str(tmp_path), schema)
+    one = spark.read.format("feather").schema(schema).option("glob", "*.feather").option("partitionBytes", "1").load(str(tmp_path))
+    assert df.rdd.getNumPartitions() == 1 and one.rdd.getNumPartitions() == 8
+    assert sorted(map(tuple, one.collect())) == [(float(i), float(i)) for i in range(800)] == sorted(map(tuple, df.collect()))
+    with pytest.raises(Exception, match="missing columns"):
+        FS.read_feather(spark, str(tmp_path), T_.StructType([T_.StructField("no", T_.DoubleType())])).collect()
+
+
+def test_feather_files_are_written_once_a_partition(spark, tmp_path):
+    df = spark.range(1000, numPartitions=3).selectExpr("id as n")
+    FS.write_feather(df, f"{tmp_path}/f", batch_rows=64)
+    FS.write_feather(df, f"{tmp_path}/f", batch_rows=64)      # tasks that run twice
+    assert sorted(os.listdir(f"{tmp_path}/f")) == [f"part-0000{i}.feather" for i in range(3)]
+    assert pa.ipc.open_file(f"{tmp_path}/f/part-00001.feather").num_record_batches == 6
+    assert FS.read_feather(spark, f"{tmp_path}/f", df.schema).agg(F.sum("n"), F.count("n")).first() == (499500, 1000)
 
 
 def test_feather_ingest_and_selection(spark, tmp_path):
