@@ -8,7 +8,7 @@ from fathom.operators import aggregates as A
 from fathom.operators import relational as R
 from fathom.plans.catalog import query
 from fathom.sources import literals as L
-from fathom.sources.views import v_obs, with_views
+from fathom.sources.views import table, v_obs, with_views
 
 TRANSECT, DESCEND = "N", "R"          # activity codes standing for 'transect' / 'descend'
 PROFILE_VARS = {"temperature": "temperature_celsius", "salinity": "salinity",
@@ -77,3 +77,21 @@ def q_profiles_long(spark, sf):
 def q_profile_lookup(spark, sf):
     p = profiles(v_obs(spark, sf))
     return p.filter((F.col("date") == F.lit(LOOKUP_DATE).cast("date")) & F.col("depth").isin(*LOOKUP_DEPTHS))
+
+
+# The log's concepts, dealt over the parts: the real lookup's names, and some that it lacks.
+CONCEPTS = [c for c, _ in L.PREY_GROUPS] + ["Nanomia bijuga", "Solmissus", "Aegina"]
+_CONCEPTS_SQL = "[" + ", ".join(f"'{c}'" for c in CONCEPTS) + "]"
+
+
+@query("prey_groups", ops="S7 Q9 J6 P8 A19", sql=f"""
+    WITH lk(concept, "Group") AS (VALUES {", ".join(f"('{c}', '{g}')" for c, g in L.PREY_GROUPS)}),
+      log AS (SELECT {_CONCEPTS_SQL}[l_partkey % {len(CONCEPTS)} + 1] AS concept, l_extendedprice / 100 AS depth_meters FROM lineitem)
+    SELECT lk."Group" AS "Group", log.concept, round_even(depth_meters, -2) AS depth_meters, count(*) AS n
+    FROM log LEFT JOIN lk ON log.concept = lk.concept GROUP BY 1, 2, 3""")
+def q_prey_groups(spark, sf):
+    """Counts by the study's own prey groups; concepts without one have a null group."""
+    names = F.array(*[F.lit(c) for c in CONCEPTS])
+    log = table(spark, sf, "lineitem").select(
+        F.element_at(names, (F.col("l_partkey") % len(CONCEPTS) + 1).cast("int")).alias("concept"), (F.col("l_extendedprice") / 100).alias("depth_meters"))
+    return A.binned_counts(R.natural_left_join(log, F.broadcast(L.lookup(spark))), ["Group", "concept"], -2, "depth_meters")

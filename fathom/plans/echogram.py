@@ -153,3 +153,23 @@ def q_interval_layer(spark, sf):
     j = R.interval_join(cm, bounds(spark), "datetime", "datetime", "outer_start", "outer_end")
     return j.select(T.year_month("inner_start").alias("window"), "datetime", "cm",
                     R.between_open("datetime", F.col("inner_start"), F.col("inner_end")).alias("inner_window"))
+
+
+_WATCHES = """
+  SELECT o_orderkey AS watch, o_orderdate - INTERVAL 1 DAY AS opens,
+         o_orderdate + to_days(CAST(CASE WHEN o_orderkey % 97 = 0 THEN 400 ELSE 1 + o_orderkey % 5 END AS INTEGER)) AS closes FROM orders"""
+
+
+@query("interval_index", ops="J8", sql=f"""
+    SELECT watch, count(*) AS pings, min(l_shipdate) AS first_ping, sum(l_quantity) AS quantity
+    FROM lineitem JOIN ({_WATCHES}) ON l_shipdate > opens AND l_shipdate < closes GROUP BY watch""")
+def q_interval_index(spark, sf):
+    """As many overlapping windows as there are orders, a few days long and some over a year: cells are
+    found through the index of intervals."""
+    days = F.when(F.col("o_orderkey") % 97 == 0, 400).otherwise(1 + F.col("o_orderkey") % 5).cast("int")
+    watches = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("watch"), F.timestamp_add("DAY", F.lit(-1), "o_orderdate").alias("opens"),
+        F.timestamp_add("DAY", days, "o_orderdate").alias("closes"))
+    pings = table(spark, sf, "lineitem").select("l_shipdate", "l_quantity")
+    j = R.interval_join(pings, watches, "l_shipdate", "l_shipdate", "opens", "closes")
+    return j.groupBy("watch").agg(F.count(F.lit(1)).alias("pings"), F.min("l_shipdate").alias("first_ping"), F.sum("l_quantity").alias("quantity"))

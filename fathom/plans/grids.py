@@ -477,15 +477,6 @@ def q_detect_files_layers(spark, sf):
     return smooth_files(detect_files(spark, export_files(spark, sf), unit=MONTH)[1])
 
 
-@query("detect_files_edges", ops="Q13 S2", sql=_by_file(grid_sql("""
-    SELECT day AS date, count(DISTINCT images.file) AS files, count(*) AS segments
-    FROM kept JOIN images ON images.date = kept.date GROUP BY day HAVING count(DISTINCT images.file) > 1""", _FLOODED, views=())))
-def q_detect_files_edges(spark, sf):
-    """The local days that two files share, with the segments of both images."""
-    segs = detect_files(spark, export_files(spark, sf), unit=MONTH)[0]
-    return segs.groupBy("date").agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("segments")).filter("files > 1")
-
-
 # -- Q15: a few days as one image
 
 DEMO = ("1996-01-01 00:00:00", "1996-04-01 00:00:00", 300)

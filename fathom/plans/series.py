@@ -11,7 +11,7 @@ from fathom.operators import relational as R
 from fathom.operators import sequence as S
 from fathom.plans.catalog import query
 from fathom.session import cut_lineage
-from fathom.sources.views import v_count, v_grid, v_layer, with_views
+from fathom.sources.views import v_count, v_grid, v_layer, v_user, with_views
 
 LAYER_SHIFT_HOURS = -8   # the layer table is stored in UTC, the click series in local time
 BOUT_QUANTILE = 0.95
@@ -360,3 +360,59 @@ FROM (SELECT DISTINCT date, depth FROM v_grid)""", "v_grid"))
 def q_axis_rank(spark, sf):
     axis = v_grid(spark, sf).select("date", "depth").distinct()
     return S.rank_within(axis, ["date"], ["depth"], "y")
+
+
+# ------------------------------------------------------------------ one series a user
+
+
+SERIES = ["user_id"]
+_USER_IDX = """s AS (SELECT *, row_number() OVER p AS rn, count(*) OVER (PARTITION BY user_id) AS len FROM v_user
+                      WINDOW p AS (PARTITION BY user_id ORDER BY datetime_round))"""
+
+
+def user_series(spark, sf) -> DataFrame:
+    return S.with_row_index(v_user(spark, sf), ["user_id", "datetime_round"], "__rn")
+
+
+@query("series_moving_mean", ops="W1 W10", sql=with_views(f"""
+WITH {_USER_IDX}
+SELECT user_id, datetime_round, n, level,
+       (sum(level) OVER w + greatest(0, 10 - rn) * first_value(level) OVER a
+        + greatest(0, rn + 9 - len) * last_value(level) OVER a) / 19 AS level_smooth
+FROM s WINDOW w AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN 9 PRECEDING AND 9 FOLLOWING),
+              a AS (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""", "v_user"))
+def q_series_moving_mean(spark, sf):
+    return S.moving_mean(user_series(spark, sf), "__rn", ["level"], 19, by=SERIES).drop("__rn")
+
+
+@query("series_bouts", ops="W3 W4 W10", sql=with_views(f"""
+WITH {_USER_IDX},
+  d AS (SELECT *, CASE WHEN rn < {DILATE_BACK}
+                  THEN max((level > 100)::INTEGER) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN {DILATE_BACK} PRECEDING AND CURRENT ROW)
+                  ELSE max((level > 100)::INTEGER) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN {DILATE_BACK} PRECEDING AND {DILATE_AHEAD} FOLLOWING)
+                  END = 1 AS bout FROM s),
+  f AS (SELECT *, bout AND NOT coalesce(lag(bout) OVER (PARTITION BY user_id ORDER BY rn), false) AS starts FROM d)
+SELECT user_id, datetime_round, n, level, bout,
+       CASE WHEN bout THEN sum(starts::INTEGER) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) ELSE 0 END::BIGINT AS bout_label
+FROM f""", "v_user"))
+def q_series_bouts(spark, sf):
+    idx = user_series(spark, sf).withColumn("__x", F.col("level") > 100)
+    dil = S.dilate(idx, "__rn", "__x", "bout", DILATE_BACK, DILATE_AHEAD, by=SERIES)
+    return S.label_runs(dil, "__rn", "bout", "bout_label", by=SERIES).drop("__rn", "__x")
+
+
+@query("series_cross_corr", ops="W9 W2", sql=with_views(f"""
+WITH {_USER_IDX},
+  d AS (SELECT user_id, rn AS i, coalesce(n - lag(n) OVER p, 0)::DOUBLE AS x, CASE WHEN rn = 1 THEN 0.0 ELSE level - lag(level) OVER p END AS y
+        FROM s WINDOW p AS (PARTITION BY user_id ORDER BY rn)),
+  cc AS (SELECT user_id, i, x - avg(x) OVER (PARTITION BY user_id) AS xc, y - avg(y) OVER (PARTITION BY user_id) AS yc FROM d),
+  v AS (SELECT user_id, sum(xc * xc) / count(xc) AS vx, sum(yc * yc) / count(yc) AS vy FROM cc GROUP BY user_id),
+  lags AS (SELECT CAST(unnest(range(-3, 4)) AS INTEGER) AS lag),
+  p AS (SELECT v.user_id, lags.lag, sum(a.xc * b.yc) AS s, count(a.xc * b.yc) AS cnt, any_value(vx) AS vx, any_value(vy) AS vy
+        FROM v CROSS JOIN lags LEFT JOIN cc b ON b.user_id = v.user_id LEFT JOIN cc a ON a.user_id = b.user_id AND a.i = b.i + lags.lag GROUP BY 1, 2)
+SELECT user_id, lag, CASE WHEN cnt > 0 AND vx * vy > 0 THEN greatest(-1.0, least(1.0, (s / (cnt + abs(lag))) / sqrt(vx * vy))) END AS acf
+FROM p""", "v_user"))
+def q_series_cross_corr(spark, sf):
+    idx = user_series(spark, sf)
+    d = S.diff0(idx, "__rn", ["n", "level"], by=SERIES)
+    return S.cross_corr(d, "__rn", "dn", "dlevel", 3, by=SERIES)

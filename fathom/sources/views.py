@@ -38,6 +38,14 @@ def v_count(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def v_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One series a user: (user_id, datetime_round, n, level), events and their mean value per hour bucket.
+    Both the number of series and their rows grow with the table."""
+    ev = table(spark, sf_dir, "events")
+    return ev.groupBy("user_id", floor_time("ts", "1 hour").alias("datetime_round")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("level"))
+
+
 def v_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layer series with gaps: 'view' events per hour bucket."""
     ev = table(spark, sf_dir, "events").filter(F.col("event_type") == "view")
@@ -83,6 +91,9 @@ SQL = {
     "v_count": """
         SELECT time_bucket(INTERVAL '1 hour', ts) AS datetime_round, count(*) AS n
         FROM events GROUP BY 1""",
+    "v_user": """
+        SELECT user_id, time_bucket(INTERVAL '1 hour', ts) AS datetime_round, count(*) AS n, avg(value) AS level
+        FROM events GROUP BY 1, 2""",
     "v_layer": """
         SELECT time_bucket(INTERVAL '1 hour', ts) AS datetime_round, avg(value) AS layer_base,
                max(value) AS center_of_mass,
