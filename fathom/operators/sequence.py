@@ -32,7 +32,7 @@ from fathom.session import cut_lineage
 _BLK, _HOME = "__blk", "__home"
 DEFAULT_BLOCK_ROWS = 100_000
 #: Rows a range should hold, and keys drawn for each shuffle partition (1024 at least).
-RANGE_ROWS, DRAWN = 200_000, 8
+RANGE_ROWS, DRAWN = 10_000, 8
 
 
 def _range_bounds(df: DataFrame, order: Sequence[str], range_rows: int) -> list[tuple]:

@@ -8,9 +8,9 @@ scan order if several have it); marker cells have the least key and keep their l
 values are so flooded outwards from where they are entered, like a first-in-first-out queue.
 
 Images are cut into tiles of bounded size. A tile is flooded in one task (lowest key first,
-so each cell is settled once); what its edge cells end with goes to the tiles beside it,
-which are flooded again with that. Keys only fall, and when no edge cell changes any more
-every cell obeys the rule. An image of one tile needs no exchange.
+so each cell is settled once); what its edge cells end with goes to the tiles beside it. A list
+holds the tiles beside an edge cell that has changed; only they are flooded again. Keys only fall,
+and when the list is empty every cell obeys the rule. An image of one tile needs no exchange.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from fathom.session import cut_lineage
 
 TILE = 512
+#: Tiles on the work list that are sent to all tasks; a longer list is joined with a shuffle.
+SENT_TILES = 100_000
 
 Key = tuple[float, int, int]
 Halo = list[tuple[int, int, Key, int]]
@@ -40,33 +42,83 @@ def settle(values: np.ndarray, markers: np.ndarray, halo: Halo = (), origin: tup
     """Labels and keys of a dense 2-D ``values`` array [ping, depth] from integer ``markers``.
 
     ``halo``: settled cells just outside, as (i, j, key, label). ``origin``: where the array
-    starts in its image, so that the scan order is the image's. Cells that nothing reaches
-    have label 0 and key None."""
+    starts in its image (the scan order within a tile is that of its image). Cells that nothing
+    reaches have label 0 and key None.
+
+    Cells lie in one list with a border around, column-major. A key is one integer: the rank of its
+    level among the values at hand, then generation and steps of 31 bits each; with the cell's place
+    behind it, it is an entry of the queue."""
     nx, ny = values.shape
-    v, seg = values.tolist(), markers.astype(np.int64).tolist()
-    keys: list[list[Key | None]] = [[None] * ny for _ in range(nx)]
-    ox, oy = origin
-    heap = [(k, j + oy, i + ox, lab) for i, j, k, lab in halo]
-    for i, j in zip(*(a.tolist() for a in np.nonzero(markers > 0))):
-        keys[i][j] = (float("-inf"), 0, 0)
-        heap.append((keys[i][j], j + oy, i + ox, seg[i][j]))
+    w = nx + 2
+    size = w * (ny + 2)
+    shift = size.bit_length()
+    levels = np.unique(np.concatenate([values.ravel(), np.array([k[0] for _, _, k, _ in halo if k[0] > float("-inf")], dtype=np.float64)]))
+    rank = np.zeros((ny + 2, w), dtype=np.int64)
+    rank[1:-1, 1:-1] = (np.searchsorted(levels, values) + 1).T      # 0: below all, the level of markers
+    labels = np.zeros((ny + 2, w), dtype=np.int64)
+    labels[1:-1, 1:-1] = markers.T
+    open_ = np.zeros((ny + 2, w), dtype=bool)
+    open_[1:-1, 1:-1] = markers.T <= 0
+    start = np.flatnonzero(labels > 0)
+    rank, seg, free = rank.ravel().tolist(), np.where(labels > 0, labels, 0).ravel().tolist(), open_.ravel().tolist()
+    keys: list[int | None] = [None] * size
+    heap = []
+    for p in start.tolist():
+        keys[p] = 0
+        heap.append(p)
+    for i, j, (level, gen, steps), lab in halo:
+        p = (j + 1) * w + i + 1
+        r = int(np.searchsorted(levels, level)) + 1 if level > float("-inf") else 0
+        seg[p] = lab
+        heap.append((((r << 62) | (gen << 31) | steps) << shift) | p)
     heapq.heapify(heap)
+    around = (-w - 1, -w, -w + 1, -1, 1, w - 1, w, w + 1)
+    mask, pop, push = (1 << shift) - 1, heapq.heappop, heapq.heappush
     while heap:
-        k, gj, gi, lab = heapq.heappop(heap)
-        level, gen, steps = k
-        i, j = gi - ox, gj - oy
-        for nj in range(max(j - 1, 0), min(j + 2, ny)):
-            for ni in range(max(i - 1, 0), min(i + 2, nx)):
-                if keys[ni][nj] is None:
-                    x = v[ni][nj]
-                    new = (x, 0, 0) if x > level else (level, gen + 1, 0) if x == level else (level, gen, steps + 1)
-                    keys[ni][nj], seg[ni][nj] = new, lab
-                    heapq.heappush(heap, (new, nj + oy, ni + ox, lab))
-    return np.array(seg, dtype=np.int64).reshape(nx, ny), keys
+        e = pop(heap)
+        p, k = e & mask, e >> shift
+        lab, level = seg[p], k >> 62
+        for d in around:
+            q = p + d
+            if 0 <= q < size and free[q]:
+                free[q] = False
+                r = rank[q]
+                new = r << 62 if r > level else ((k >> 31) + 1) << 31 if r == level else k + 1
+                keys[q], seg[q] = new, lab
+                push(heap, (new << shift) | q)
+    low = (1 << 31) - 1
+
+    def key(p: int) -> Key | None:
+        k = keys[p]
+        if k is None:
+            return None
+        r = k >> 62
+        return (float(levels[r - 1]) if r else float("-inf")), (k >> 31) & low, k & low
+
+    out = np.array(seg, dtype=np.int64).reshape(ny + 2, w)[1:-1, 1:-1].T
+    return out, _Keys(lambda i, j: key((j + 1) * w + i + 1))
+
+
+class _Keys:
+    """Keys by [ping][depth], unpacked when asked for."""
+
+    def __init__(self, at):
+        self.at = at
+
+    def __getitem__(self, i: int):
+        return _Row(lambda j: self.at(i, j))
+
+
+class _Row:
+    def __init__(self, at):
+        self.at = at
+
+    def __getitem__(self, j: int):
+        return self.at(j)
 
 
 def _flood_tile(pdf: pd.DataFrame, halo: pd.DataFrame | None, xi: str, yi: str, value: str, marker: str):
-    """(row places, labels, keys) of one tile's cells."""
+    """(row places, labels, a function from a row's place to its key) of one tile's cells."""
     x, y = pdf[xi].to_numpy(np.int64), pdf[yi].to_numpy(np.int64)
     ox, oy = int(x.min()), int(y.min())
     shape = int(x.max()) - ox + 1, int(y.max()) - oy + 1
@@ -76,15 +128,16 @@ def _flood_tile(pdf: pd.DataFrame, halo: pd.DataFrame | None, xi: str, yi: str,
     around = [] if halo is None else [(int(i) - ox, int(j) - oy, (float(a), int(b), int(c)), int(lab)) for i, j, a, b, c, lab in
                                       zip(halo["hx"], halo["hy"], halo["level"], halo["gen"], halo["steps"], halo["lab"])]
     seg, keys = settle(vals, marks, around, (ox, oy))
-    return seg[x - ox, y - oy], [keys[i][j] for i, j in zip((x - ox).tolist(), (y - oy).tolist())]
+    return seg[x - ox, y - oy], lambda r: keys[int(x[r]) - ox][int(y[r]) - oy]
 
 
 def watershed(grid: DataFrame, group: Sequence[str], xi: str = "xi", yi: str = "yi",
-              value: str = "Sv_mean", marker: str = "comp", out_col: str = "label", tile: int = TILE) -> DataFrame:
+              value: str = "Sv_mean", marker: str = "comp", out_col: str = "label", tile: int = TILE,
+              rounds: list[int] | None = None) -> DataFrame:
     """Per group: flood ``value`` from ``marker`` labels (0 = unlabelled) on the dense grid.
 
     Returns every input column except ``marker``, plus ``out_col``. ``tile`` changes how much a
-    task holds, not the result."""
+    task holds, not the result. ``rounds`` is given how many tiles each round has flooded."""
     g = list(group)
     at = {"__tx": F.floor((F.col(xi) - 1) / tile), "__ty": F.floor((F.col(yi) - 1) / tile)}
     cells = grid.withColumns(at)
@@ -108,12 +161,17 @@ def watershed(grid: DataFrame, group: Sequence[str], xi: str = "xi", yi: str = "
         cols = [*g, "hx", "hy", "level", "gen", "steps", "lab"]
         if not len(pdf):
             return pd.DataFrame(columns=cols)
-        seg, keys = _flood_tile(pdf, halo, xi, yi, value, marker)
+        seg, key = _flood_tile(pdf, halo, xi, yi, value, marker)
         x, y = pdf[xi].to_numpy(np.int64), pdf[yi].to_numpy(np.int64)
-        rim = np.flatnonzero((x % tile <= 1) | (y % tile <= 1))
-        rim = [r for r in rim.tolist() if keys[r] is not None]
-        return pd.DataFrame({**{c: pdf[c].iloc[rim] for c in g}, "hx": x[rim], "hy": y[rim], "level": [keys[r][0] for r in rim],
-                             "gen": [keys[r][1] for r in rim], "steps": [keys[r][2] for r in rim], "lab": seg[rim]})
+        rim = np.flatnonzero((x % tile <= 1) | (y % tile <= 1)).tolist()
+        rim = [(r, k) for r in rim if (k := key(r)) is not None]
+        at = [r for r, _ in rim]
+        return pd.DataFrame({**{c: pdf[c].iloc[at] for c in g}, "hx": x[at], "hy": y[at], "level": [k[0] for _, k in rim],
+                             "gen": [k[1] for _, k in rim], "steps": [k[2] for _, k in rim], "lab": seg[at]})
+
+    def home(rim: DataFrame) -> DataFrame:
+        """Edge cells with the tile they lie in."""
+        return rim.withColumns({"__tx": F.floor((F.col("hx") - 1) / tile), "__ty": F.floor((F.col("hy") - 1) / tile)})
 
     def beside(rim: DataFrame) -> DataFrame:
         """Edge cells under every other tile that one of their neighbours is in."""
@@ -124,13 +182,36 @@ def watershed(grid: DataFrame, group: Sequence[str], xi: str = "xi", yi: str = "
         return rim.withColumn("t", F.explode(near)).filter(~own).select(
             *rim.columns, F.col("t.tx").alias("__tx"), F.col("t.ty").alias("__ty"))
 
-    spark = grid.sparkSession
-    rim = spark.createDataFrame([], edge_schema)
+    def of(side: DataFrame, work: DataFrame, how: str = "left_semi") -> DataFrame:
+        """The rows of ``side`` whose tile is on the list ``work`` (or, left_anti, is not)."""
+        cond = F.lit(True)
+        for c in tiles:
+            cond = cond & side[c].eqNullSafe(work[f"__k{c}"])
+        return side.join(work, cond, how)
+
+    # The work list: a tile is flooded if an edge cell beside it has changed since its last flood.
+    # ``rim`` holds the edge cells of all tiles as they are.
+    rim = cut_lineage(cells.groupBy(*tiles).applyInPandas(lambda pdf: edges(pdf, None), edge_schema))
+    changed = rim
+    existing = cut_lineage(cells.select(*tiles).distinct())
+    if rounds is not None:
+        rounds.append(existing.count())
     while True:
-        halo = beside(rim)
-        new = cut_lineage(cells.groupBy(*tiles).cogroup(halo.groupBy(*tiles)).applyInPandas(edges, edge_schema))
-        if new.exceptAll(rim).isEmpty():
+        work = beside(changed).select(*[F.col(c).alias(f"__k{c}") for c in tiles]).distinct()
+        cond = F.lit(True)
+        for c in tiles:
+            cond = cond & work[f"__k{c}"].eqNullSafe(existing[c])
+        work = cut_lineage(work.join(existing, cond, "left_semi"))
+        n = work.count()
+        if not n:
             break
-        rim = new
+        if rounds is not None:
+            rounds.append(n)
+        if n <= SENT_TILES:
+            work = F.broadcast(work)
+        halo = of(beside(rim), work)
+        new = cut_lineage(of(cells, work).groupBy(*tiles).cogroup(halo.groupBy(*tiles)).applyInPandas(edges, edge_schema))
+        changed = cut_lineage(new.exceptAll(of(home(rim), work).select(*rim.columns)))
+        rim = cut_lineage(of(home(rim), work, "left_anti").select(*rim.columns).unionByName(new))
     return cells.groupBy(*tiles).cogroup(beside(rim).groupBy(*tiles)).applyInPandas(
         lambda pdf, halo: label(pdf, halo) if len(pdf) else pd.DataFrame(columns=[*names, out_col]), out_schema)

@@ -183,3 +183,45 @@ def test_densify_salted_equals_plain(spark):
     many = densify(df, ["g"], "x", "y", "v", cells_per_task=37)
     assert one.count() == many.count() == 2 * 30 * 20
     assert one.exceptAll(many).count() == 0
+
+
+def test_only_tiles_beside_a_change_are_flooded_again(spark):
+    """Nine images that are settled at once, and one that a marker in its corner floods tile by tile."""
+    from fathom.operators.watershed import flood, watershed
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for g in range(10):
+        vals = np.maximum(rng.normal(-85, 6, (48, 16)), -90)
+        marks = np.zeros(vals.shape, dtype=np.int64) if not g else np.arange(1, vals.size + 1).reshape(vals.shape)
+        if not g:
+            marks[0, 0], marks[2, 15] = 1, 2
+        seg = flood(vals, marks)
+        rows += [(g, i + 1, j + 1, float(vals[i, j]), int(marks[i, j])) for i in range(48) for j in range(16)]
+        want |= {(g, i + 1, j + 1): int(seg[i, j]) for i in range(48) for j in range(16)}
+    df = spark.createDataFrame(rows, "g int, xi int, yi int, Sv_mean double, comp long")
+    rounds = []
+    got = {(r.g, r.xi, r.yi): r.label for r in watershed(df, ["g"], tile=8, rounds=rounds).collect()}
+    assert got == want
+    assert rounds[0] == 120 and len(rounds) > 4 and max(rounds[2:]) <= 12, rounds
+
+
+def test_two_files_that_share_a_day_are_two_images(spark, tmp_path):
+    """20:00 to 02:00 UTC-8 around a month's end: the local day is cut by the files, each with its labels."""
+    from fathom.plans.grids import detect_files
+    head = "Interval,Layer depth min,Sv mean,Date_M,Time_M\n"
+
+    def cell(day, hour, depth, sv):
+        return f"{hour},{depth},{sv},{day}, {hour:02d}:00:00.0000\n"
+
+    def day(d, hours):
+        return "".join(cell(d, h, z, -50 if z < 40 else -80 - z / 100) for h in hours for z in (20, 30, 40, 50, 600))
+
+    (tmp_path / "2019-11.csv").write_text(head + day("20191130", (20, 21, 22)))       # 12:00 to 14:00 local, 30 November
+    late = head.replace("Sv mean,Date_M", "Date_M,Sv mean")
+    body = day("20191201", (1, 2, 3))                                                  # 17:00 to 19:00 local, 30 November
+    swap = "".join(",".join([a, b, d, c, e]) + "\n" for a, b, c, d, e in (x.split(",") for x in body.splitlines()))
+    (tmp_path / "2019-12.csv").write_text(late + swap)
+    segs, lay = detect_files(spark, str(tmp_path))
+    got = sorted((r.file, str(r.date), r.school_id, r.npixels, r.width) for r in segs.collect())
+    assert got == [("2019-11.csv", "2019-11-30", "2019-11-30-S1", 12, 3), ("2019-12.csv", "2019-11-30", "2019-11-30-S1", 12, 3)]
+    assert lay.count() == 6
