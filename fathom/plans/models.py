@@ -80,6 +80,15 @@ def q_watershed_ols(spark, sf):
     return MO.fit_many(migration_table(spark, sf, use_watershed=True), _models())
 
 
+@query("ols_qr", ops="R2 R5 R3", sql=grid_sql(" UNION ALL ".join(
+    _fit_sql(y, xs) for y, xs in _models()), _SUMMARY))
+def q_ols_qr(spark, sf):
+    """The same fits by a QR factorisation over a tree of tasks."""
+    fits = MO.fit_qr(migration_table(spark, sf), _models())
+    return fits.select("response", "predictors", "intercept", F.get("coefs", F.lit(0)).alias("coef1"),
+                       F.get("coefs", F.lit(1)).alias("coef2"), "r2", "n")
+
+
 @query("ols_predict", ops="R4 S8", sql=grid_sql(f"""
     SELECT f.response, CAST(x AS DOUBLE) AS sa_db, f.intercept + f.coef1 * x AS fitted
     FROM ({_fit_sql('delta_layertop', ['sa_db'])} UNION ALL {_fit_sql('layertop_noon', ['sa_db'])}) f
