@@ -75,8 +75,9 @@ class SegmentTree:
 class CountedText:
     """A text with its trees of characters and tokens."""
 
-    def __init__(self, text: str, chars: SegmentTree, tokens: SegmentTree, codec: Codec):
+    def __init__(self, text: str, chars: SegmentTree, tokens: SegmentTree, codec: Codec, leaf_chars: int = LEAF_CHARS):
         self.text, self.chars, self.tokens, self.codec, self.encoded = text, chars, tokens, codec, 0
+        self.leaf_chars = leaf_chars
 
     @classmethod
     def of(cls, text: str, codec: Codec, leaf_chars: int = LEAF_CHARS) -> "CountedText":
@@ -84,7 +85,7 @@ class CountedText:
         for n in sizes:
             counts.append(len(codec.encode(text[at:at + n])))
             at += n
-        return cls(text, SegmentTree.of(sizes), SegmentTree.of(counts), codec)
+        return cls(text, SegmentTree.of(sizes), SegmentTree.of(counts), codec, leaf_chars)
 
     def edit(self, start: int, stop: int, put: str) -> None:
         """Replace text[start:stop] by ``put``; bounds are cut to the text."""
@@ -99,12 +100,28 @@ class CountedText:
         b += int(self.chars.heap[self.chars.cap + last])
         region = self.text[a:start] + put + self.text[stop:b]
         self.text = self.text[:start] + put + self.text[stop:]
+        self.encoded += len(region)
+        if len(region) > 2 * self.leaf_chars:
+            self._cut(first, last, region)
+            return
         for leaf in range(first, last + 1):
             self.chars.put(leaf, 0)
             self.tokens.put(leaf, 0)
         self.chars.put(first, len(region))
         self.tokens.put(first, len(self.codec.encode(region)))
-        self.encoded += len(region)
+
+    def _cut(self, first: int, last: int, region: str) -> None:
+        """Put several leaves in place of ``first`` to ``last``, so that no edit meets a long one (but
+        where a text has no sure end). The sums are made anew; leaves that edits have emptied go."""
+        sizes, counts, at = leaf_lengths(region, self.leaf_chars), [], 0
+        for n in sizes:
+            counts.append(len(self.codec.encode(region[at:at + n])))
+            at += n
+        chars, tokens = (t.heap[t.cap:] for t in (self.chars, self.tokens))
+        held = chars > 0
+        left, right = np.flatnonzero(held[:first]), np.flatnonzero(held[last + 1:]) + last + 1
+        self.chars = SegmentTree.of(np.concatenate([chars[left], sizes, chars[right]]))
+        self.tokens = SegmentTree.of(np.concatenate([tokens[left], counts, tokens[right]]))
 
 
 def _run(df: DataFrame, ranks: bytes, pattern: str, keep: list[str], new: list[tuple[str, str, pa.DataType]], text: str, row) -> DataFrame:
@@ -162,9 +179,9 @@ def with_edits(trees: DataFrame, edits: DataFrame, key: str = "doc_id") -> DataF
     """``trees`` with the rows (key, seq, start, stop, put) of ``edits`` as an array in order of
     ``seq``. The edits of one call go to the task that holds their document; a long log is
     applied in several calls."""
-    e = edits.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "stop", "put"))).alias("e"))
+    e = edits.groupBy(F.col(key).alias("__key")).agg(F.sort_array(F.collect_list(F.struct("seq", "start", "stop", "put"))).alias("__edits"))
     j = trees.join(e, trees[key] == e["__key"], "left")
-    return j.withColumn("edits", F.transform("e", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["put"].alias("put")))).drop("e", "__key")
+    return j.withColumn("edits", F.transform("__edits", lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["put"].alias("put")))).drop("__edits", "__key")
 
 
 def sample_edits(key: str = "doc_id", text: str = "text"):

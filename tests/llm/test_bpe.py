@@ -90,3 +90,25 @@ def test_edit_tables_and_null_edits(spark, codec):
     got = {r.doc_id: r for r in apply_edits(trees, RANKS, P.PATTERN).collect()}
     assert (got[1].text, got[2].text, got[3].text) == ("1 2 three", "four", "new")
     assert got[2].n_chars_encoded == 0 and got[3].n_tokens_before == 0 and got[3].n_tokens == len(codec.encode("new"))
+
+
+def test_many_edits_in_one_place_stay_cheap(codec):
+    t = CountedText.of("some words to start with. " * 40, codec)
+    at, spent = 300, []
+    for k in range(300):
+        put = f" edit {k}: " + "new text, more words; " * 13
+        before = t.encoded
+        t.edit(at, at, put)
+        spent.append(t.encoded - before)
+        at += len(put)
+    assert t.tokens.total == len(codec.encode(t.text)) and t.chars.total == len(t.text)
+    assert max(spent[-20:]) <= 3 * max(spent[:3]), (spent[:3], spent[-3:])
+    t.edit(0, len(t.text) - 30, "")
+    assert t.tokens.total == len(codec.encode(t.text)) and t.chars.total == len(t.text)
+
+
+def test_edits_join_tables_with_clashing_columns(spark):
+    trees = spark.createDataFrame([(1, "a b", 5, 6)], "doc_id long, text string, e long, seq long")
+    edits = spark.createDataFrame([(1, 0, 0, 1, "x")], "doc_id long, seq long, start long, stop long, put string")
+    got = with_edits(trees, edits)
+    assert got.columns == ["doc_id", "text", "e", "seq", "edits"] and got.first().edits[0].put == "x" and got.first().e == 5
