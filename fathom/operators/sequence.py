@@ -85,7 +85,9 @@ def with_row_index(df: DataFrame, order: Sequence[str], index_col: str = "rn",
         off += counts.get(rid, 0)
     offsets = df.sparkSession.createDataFrame(rows, "__rid int, __off long")
     w = Window.partitionBy("__rid").orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    tagged = _range_of(df, order, bounds, "__rid").join(F.broadcast(offsets), "__rid")
+    # a single range takes its number from the table, too: it is dealt out like the others
+    offsets = F.broadcast(offsets)
+    tagged = _range_of(df, order, bounds, "__rid").join(offsets, "__rid") if bounds else df.crossJoin(offsets)
     return tagged.withColumn(index_col, F.col("__off") + F.row_number().over(w)).drop("__rid", "__off")
 
 

@@ -40,8 +40,8 @@ def series_diff_join(clicks: DataFrame, layer: DataFrame) -> DataFrame:
 def label_bouts(clicks: DataFrame, q: float = BOUT_QUANTILE, back: int = DILATE_BACK,
                 ahead: int = DILATE_AHEAD) -> DataFrame:
     """Q5 (first half): global q-quantile threshold, dilated exceedance flag, run labels."""
-    thr = A.exact_quantiles(clicks, "n", {"bout_thresh": q})
-    idx = R.with_scalar(S.with_row_index(clicks, ["datetime_round"], "__rn"), thr)
+    thr = cut_lineage(A.exact_quantiles(clicks, "n", {"bout_thresh": q}))   # one row, whatever the input
+    idx = S.with_row_index(clicks, ["datetime_round"], "__rn").crossJoin(F.broadcast(thr))
     flagged = idx.withColumn("__x", F.col("n") > F.col("bout_thresh"))
     dil = S.dilate(flagged, "__rn", "__x", "bout", back, ahead)
     return S.label_runs(dil, "__rn", "bout", "bout_label").drop("__rn", "__x")
