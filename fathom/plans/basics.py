@@ -416,7 +416,7 @@ def global_stats(spark, sf):
     obs = v_obs(spark, sf)
     simple = obs.agg(F.avg("depth_meters").alias("mean"), F.max("depth_meters").alias("max"))
     qs = A.exact_quantiles(obs, "depth_meters", {"median": 0.5, "q90": 0.9})
-    return simple.crossJoin(qs)
+    return R.with_scalar(simple, qs)
 
 
 @query("mean_product", ops="A14", sql="""
@@ -427,7 +427,7 @@ def mean_product(spark, sf):
     per_day = o.groupBy(F.to_date("o_orderdate")).agg(F.count(F.lit(1)).alias("n")).agg(
         F.avg("n").alias("a"))
     price = o.agg(F.avg("o_totalprice").alias("b"))
-    return per_day.crossJoin(price).select((F.col("a") * F.col("b")).alias("product"))
+    return R.with_scalar(per_day, price).select((F.col("a") * F.col("b")).alias("product"))
 
 
 @query("histogram", ops="A17 M3", sql=with_views("""

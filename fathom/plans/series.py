@@ -273,7 +273,7 @@ FROM bouts GROUP BY date""", _BOUTS_CTE))
 def q_bouts_daily(spark, sf):
     b = bouts(spark, sf)
     daily = b.groupBy("date").agg(F.count(F.lit(1)).alias("nbouts"))
-    scal = daily.agg(F.avg("nbouts").alias("__a")).crossJoin(b.agg(F.avg("distance").alias("__b")))
+    scal = daily.agg(F.avg("nbouts").alias("__a")).crossJoin(F.broadcast(b.agg(F.avg("distance").alias("__b"))))
     return R.with_scalar(daily, scal.select((F.col("__a") * F.col("__b")).alias("daily_distance")))
 
 
@@ -311,7 +311,7 @@ def q_bout_stats(spark, sf):
     q2 = A.exact_quantiles(b, "init_dive_speed", {"init_dive_speed_median": 0.5})
     q3 = A.exact_quantiles(b, "distance", {"distance_median": 0.5})
     daily = b.groupBy("date").agg(F.count(F.lit(1)).alias("c")).agg(F.avg("c").alias("nbouts_mean"))
-    return simple.crossJoin(q1).crossJoin(q2).crossJoin(q3).crossJoin(daily)
+    return simple.crossJoin(F.broadcast(q1)).crossJoin(F.broadcast(q2)).crossJoin(F.broadcast(q3)).crossJoin(F.broadcast(daily))
 
 
 def _hist_sql(name: str, source: str, bins: int) -> str:

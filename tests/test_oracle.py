@@ -12,7 +12,9 @@ from tools.oracle_check import compare, duck
 SF = "/root/testdata/sf0.001"
 SUBSET = ["daily_summary", "migration", "bout_table", "cross_corr", "moving_mean", "components",
           "segment_stats", "layer_metrics", "ols_many", "profiles", "interval_join", "rescale_overlay",
-          "group_quantiles", "histogram", "row_slice", "csv_scan", "median_nulls", "relabel_zone", "detect_demo"]
+          "group_quantiles", "histogram", "row_slice", "csv_scan", "median_nulls", "relabel_zone", "detect_demo",
+          "series_moving_mean", "series_bouts", "series_cross_corr", "interval_index", "csv_directory", "feather_ingest",
+          "prey_groups"]
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("FATHOM_ORACLE") == "all" else SUBSET
 
 
