@@ -211,8 +211,9 @@ _LAYER_CTES = """,
 def _smooth_sql(c: str) -> str:
     full = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
     return (f"CASE WHEN count({c}) OVER w = count(*) OVER w THEN (sum({c}) OVER w"
-            f" + greatest(0, 10 - rn) * first_value({c}) OVER (ORDER BY rn {full})"
-            f" + greatest(0, rn + 9 - N) * last_value({c}) OVER (ORDER BY rn {full})) / 19 END AS {c}_smooth")
+            # an end's value counts only in windows that reach over it: 0 * NaN would be NaN
+            f" + CASE WHEN rn < 10 THEN (10 - rn) * first_value({c}) OVER (ORDER BY rn {full}) ELSE 0 END"
+            f" + CASE WHEN rn + 9 > N THEN (rn + 9 - N) * last_value({c}) OVER (ORDER BY rn {full}) ELSE 0 END) / 19 END AS {c}_smooth")
 
 
 _LAYERS, _WS_LAYERS = _COMPS + _LAYER_CTES, _FLOODED + _LAYER_CTES
