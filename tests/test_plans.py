@@ -1,4 +1,4 @@
-"""Physical-plan properties: pushdown, pruning, no single-task windows, Python only in G4/S3."""
+"""Physical-plan properties: pushdown, pruning, no single-task windows, Python only in G3/G4/S3."""
 
 import pytest
 
@@ -35,7 +35,7 @@ def test_ordered_operators_have_no_single_partition_exchange(spark, name):
 
 
 @pytest.mark.parametrize("name", ["daily_summary", "migration", "profiles", "ols_many", "cross_corr"])
-def test_no_python_outside_watershed(spark, name):
+def test_no_python_outside_components_and_watershed(spark, name):
     plan = plan_of(entry.queries()[name](spark, SF))
     assert not any(p in plan for p in PY_NODES)
 
