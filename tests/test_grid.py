@@ -225,3 +225,29 @@ def test_two_files_that_share_a_day_are_two_images(spark, tmp_path):
     got = sorted((r.file, str(r.date), r.school_id, r.npixels, r.width) for r in segs.collect())
     assert got == [("2019-11.csv", "2019-11-30", "2019-11-30-S1", 12, 3), ("2019-12.csv", "2019-11-30", "2019-11-30-S1", 12, 3)]
     assert lay.count() == 6
+
+
+def test_layer_metrics_against_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from fathom.operators import grid as G
+    rng = np.random.default_rng(21)
+    rows = [(d, x, y + 1, x, 10.0 * (y + 1), float(v), int(lab)) for d in ("a", "b", None) for x in range(1, 9)
+            for y, (v, lab) in enumerate(zip(rng.choice([-90.0, -75.0, -62.0, -55.0, -40.0], 12), rng.integers(0, 4, 12)))]
+    rows += [("quiet", 1, y + 1, 1, 10.0 * (y + 1), -90.0, 0) for y in range(12)]
+    lab = spark.createDataFrame(rows, "g string, xi int, yi int, x int, y double, v double, label long").repartition(5)
+    kept = spark.createDataFrame([("a", 2), ("b", 1), ("b", 3)], "g string, label long")
+    out = G.layer_metrics(lab, kept, ["g"], "x", "y", "v")
+    assert out.columns == ["g", "datetime", "cm", "layertop", "layerbase"]
+    got = {(r["g"], r["datetime"]): r for r in out.collect()}
+    blank = {("a", 2), ("b", 1), ("b", 3)}
+    assert len(got) == 25
+    for d, x in got:
+        col = [(r[4], 0.0 if (d, r[6]) in blank else 10 ** (r[5] / 10)) for r in rows if (r[0], r[1]) == (d, x)]
+        top = next((y for i, (y, _) in enumerate(col) if sum(s for _, s in col[:i + 1]) > G.LAYER_EPS), None)
+        base = next((y for i, (y, _) in reversed(list(enumerate(col))) if sum(s for _, s in col[i:]) > G.LAYER_EPS), None)
+        total = sum(s for _, s in col)
+        assert (got[d, x]["layertop"], got[d, x]["layerbase"]) == (top, base)
+        assert got[d, x]["cm"] == pytest.approx(sum(y * s for y, s in col) / total)
+    assert got["quiet", 1]["layertop"] is None and got["quiet", 1]["layerbase"] is None
+    assert G.layer_metrics(lab.filter(F.lit(False)), kept, ["g"], "x", "y", "v").count() == 0
