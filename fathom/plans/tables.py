@@ -93,16 +93,25 @@ def csv_auxiliary(spark, sf):
     return got.withColumn("datetime_round", T.parse_ts("datetime_round", T.PATTERNS["ymd_hms"]))
 
 
-@query("file_selection", ops="S5", sql="SELECT DISTINCT o_orderstatus AS status FROM orders WHERE o_orderstatus <> 'P'")
+@query("file_selection", ops="S5", sql="SELECT o_orderstatus AS status, 1::BIGINT AS files FROM orders GROUP BY 1")
 def file_selection(spark, sf):
-    """Files picked by prefix, suffix and glob without reading them, among files of another kind and
-    folders of another name."""
+    """Files picked by prefix, suffix and glob without reading them: one CSV file a status, among files of
+    another kind and folders of another name."""
     path = scratch(spark)
-    o = table(spark, sf, "orders").select(F.concat(F.when(F.col("o_orderstatus") == "P", "other-").otherwise("status-"), "o_orderstatus").alias("kind"), "o_orderkey")
-    o.write.partitionBy("kind").option("header", "true").csv(path)
+    status = F.col("o_orderstatus")
+    named = F.coalesce(F.concat(F.lit("status-"), status), F.lit("none"))
+    o = table(spark, sf, "orders").select(named.alias("kind"), status.alias("status"), "o_orderkey")
+    # a file has one writer: each status goes to a task of its own
+    o.drop("status").repartition("kind").write.partitionBy("kind").option("header", "true").csv(path)
+    o.filter("status = 'P'").select(F.concat(F.lit("other-"), "status").alias("kind"), "o_orderkey").write.mode("append").partitionBy(
+        "kind").option("header", "true").csv(path)
     o.select(F.concat(F.lit("parquet-"), "kind").alias("kind"), "o_orderkey").write.mode("append").partitionBy("kind").parquet(path)
     got = FS.list_inputs(spark, path, prefix="part-", suffix=".csv", glob="part-*")
-    return got.select(F.regexp_extract("path", "kind=status-([^/]+)/", 1).alias("status")).filter("status <> ''").distinct()
+    # Spark writes some characters of a folder's name as %XX
+    kind = F.url_decode(F.replace(F.regexp_extract("path", "/kind=([^/]+)/", 1), F.lit("+"), F.lit("%2B")))
+    got = got.select(kind.alias("kind")).filter(F.col("kind").startswith("status-") | (F.col("kind") == "none"))
+    return got.groupBy(F.when(F.col("kind") != "none", F.substring("kind", len("status-") + 1, 2 ** 31 - 1)).alias("status")).agg(
+        F.count(F.lit(1)).alias("files"))
 
 
 @query("table_sink", ops="S6", sql=with_views("""

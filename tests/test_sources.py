@@ -140,3 +140,12 @@ def test_write_partitioned_roundtrip(spark, tmp_path):
     FS.write_table(df, out, partition_by=["date"])
     back = spark.read.parquet(out)
     assert back.filter(F.col("date") == F.lit("2019-01-02").cast("date")).first()["v"] == 2.0
+
+
+def test_file_selection_counts_the_files_of_every_status(spark, tmp_path):
+    import __spark_entry__ as entry
+    rows = [("P", 1), ("O", 2), ("F", 3), ("P", 4), (None, 5), ("none", 6), ("a+b %/c", 7)] * 3
+    spark.createDataFrame(rows, "o_orderstatus string, o_orderkey long").repartition(4).write.parquet(f"{tmp_path}/orders.parquet")
+    got = entry.queries()["file_selection"](spark, str(tmp_path))
+    assert got.columns == ["status", "files"]
+    assert {tuple(r) for r in got.collect()} == {(s, 1) for s in ("P", "O", "F", None, "none", "a+b %/c")}
