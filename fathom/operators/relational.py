@@ -133,8 +133,65 @@ def _bin(c: Column, level: Column) -> Column:
     return F.when(level >= 1024, F.lit(0.0)).otherwise(F.floor(c / F.pow(F.lit(2.0), F.least(level, F.lit(1023)).cast("double"))).cast("double"))
 
 
+#: Times that may lie in the bin of an interval's end, on average, if intervals take totals.
+END_TIMES = 64
+
+
+def _totals_of(of: Mapping[str, tuple[Column, str]], again: bool = False) -> list[Column]:
+    """The aggregates ``of`` over rows, or ``again`` over totals of rows."""
+    return [getattr(F, kind)(F.col(name) if again else c).alias(name) for name, (c, kind) in of.items()]
+
+
+def _totals_join(cells: DataFrame, bounds: DataFrame, col: str, start: str, end: str, of: Mapping[str, tuple[Column, str]]) -> DataFrame:
+    """Every interval of times with the totals that make up what lies inside it.
+
+    ``cells`` has the totals of each time. They are added up in bins of a power of two's width, from
+    the finest level, whose bins hold END_TIMES times on average at most, to that of the longest interval.
+    An interval takes whole bins, two a level at most, for what lies between its ends' bins of the
+    finest level; the times in these two are compared with it."""
+    axis = {c: F.floor(_axis(F.col(c), kind)).cast("long") for c, kind in ((col, cells.schema[col].dataType), (start, bounds.schema[start].dataType),
+                                                                           (end, bounds.schema[end].dataType))}
+    cells = cells.filter(F.col(col).isNotNull()).withColumn("__x", axis[col])
+    # null ends and those in the wrong order hold no time
+    spans = bounds.filter(F.col(start) < F.col(end)).withColumns({"__s": axis[start], "__e": axis[end]})
+    n, first, last = cells.agg(F.count(F.lit(1)), F.min("__x"), F.max("__x")).first()
+    longest = spans.agg(F.max(F.col("__e").cast("double") - F.col("__s"))).first()[0] or 1.0
+    top = max(1, int(longest).bit_length())
+    # evenly spread times would have an eighth of END_TIMES a bin; clustered ones need finer bins
+    even = max(1, (((last - first) * END_TIMES // 8 // n) if n else 1).bit_length())
+    tried = sorted({*range(even, 0, -4), 1}, reverse=True)
+    per = cells.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("__x", k).alias("b")) for k in tried])).alias("x"))
+    load = {r[0]: r[1] for r in per.groupBy("x.k", "x.b").count().groupBy("k").agg(
+        F.sum(F.col("count") * F.col("count")) / F.sum("count")).collect()}
+    low = next((k for k in tried if load.get(k, 0) <= END_TIMES), 1)
+    levels = range(low, max(low, top) + 1)
+
+    finest = cells.groupBy(F.shiftright("__x", low).alias("__bin")).agg(*_totals_of(of, again=True))
+    bins = finest.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.shiftright("__bin", k - low).alias("b")) for k in levels])).alias("__x"))
+    bins = bins.groupBy(F.col("__x.k").alias("__kk"), F.col("__x.b").alias("__bb")).agg(*_totals_of(of, again=True))
+    times = cells.withColumn("__bb", F.shiftright("__x", low)).drop("__x")
+    if n * (len(levels) + 1) <= SENT_ENTRIES:
+        bins, times = F.broadcast(bins), F.broadcast(times)
+
+    a, b = F.shiftright("__s", low), F.shiftright("__e", low)
+    whole = []
+    for k in levels:    # bins from one to before the other of this level lie inside
+        lo, hi = -F.shiftright(-(a + 1), k - low), F.shiftright(b, k - low)
+        for here, at in ((lo.bitwiseAND(1) == 1, lo), (hi.bitwiseAND(1) == 1, hi - 1)) if k < levels[-1] else ():
+            whole.append(F.when((lo < hi) & here, F.struct(F.lit(k).alias("k"), at.alias("b"))))
+    lo, hi = -F.shiftright(-(a + 1), levels[-1] - low), F.shiftright(b, levels[-1] - low)
+    rest = F.when(lo < hi, F.transform(F.sequence(lo, hi - 1), lambda i: F.struct(F.lit(levels[-1]).alias("k"), i.alias("b"))))
+    whole = F.concat(F.array_compact(F.array(*whole)), F.coalesce(rest, F.array())) if whole else F.coalesce(rest, F.array())
+    out = [*bounds.columns, *of]
+    inside = spans.withColumn("__x", F.explode(whole)).withColumns({"__k": F.col("__x.k"), "__bin": F.col("__x.b")})
+    inside = inside.join(bins, (inside["__k"] == bins["__kk"]) & (inside["__bin"] == bins["__bb"])).select(*out)
+    ends = spans.withColumn("__bin", F.explode(F.array_distinct(F.array(a, b))))
+    ends = ends.join(times, (ends["__bin"] == times["__bb"]) & (F.col(col) > F.col(start)) & (F.col(col) < F.col(end))).select(*out)
+    return inside.unionByName(ends)
+
+
 def interval_join(df: DataFrame, bounds: DataFrame, lo_col: str, hi_col: str,
-                  start: str, end: str, few: int = FEW_INTERVALS) -> DataFrame:
+                  start: str, end: str, few: int = FEW_INTERVALS, totals: Mapping[str, tuple[Column, str]] | None = None) -> DataFrame:
     """Every row with each interval that has lo_col > start AND hi_col < end.
 
     Up to ``few`` intervals are sent to all tasks and compared with every row. More are indexed
@@ -143,7 +200,20 @@ def interval_join(df: DataFrame, bounds: DataFrame, lo_col: str, hi_col: str,
     lo_col may be above its hi_col, or an interval's start above its end), likewise. The two meet by an equi-join in a bin of the higher
     level of both, so each side is copied at most twice for each level that the other one has,
     whatever the lengths; the exact test comes after, and of two bins that hold both, one counts.
-    Null bounds match nothing."""
+    Null bounds match nothing.
+
+    With ``totals``, {name: (column, "sum", "min" or "max")} over points (lo_col is hi_col), an interval
+    comes not with its rows but with their totals, in as many parts as it took to add them up; the same
+    aggregate over the parts is that of all its rows. Nothing then grows with the number of rows an
+    interval holds: rows of one time become one, and dates and times are added up in bins."""
+    if totals is not None:
+        if lo_col != hi_col:
+            raise ValueError("interval_join: totals are taken of points")
+        df = df.groupBy(lo_col).agg(*_totals_of(totals))
+        kinds = {df.schema[lo_col].dataType, bounds.schema[start].dataType, bounds.schema[end].dataType}
+        if len(kinds) == 1 and isinstance(kinds.pop(), (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return _totals_join(df, bounds, lo_col, start, end, totals)
+        return interval_join(df, bounds, lo_col, hi_col, start, end, few).select(*bounds.columns, *totals)
     cond = (F.col(lo_col) > F.col(start)) & (F.col(hi_col) < F.col(end))
     if bounds.limit(few + 1).count() <= few:
         return df.join(F.broadcast(bounds), cond, "inner")

@@ -165,11 +165,12 @@ _WATCHES = """
     FROM lineitem JOIN ({_WATCHES}) ON l_shipdate > opens AND l_shipdate < closes GROUP BY watch""")
 def q_interval_index(spark, sf):
     """As many overlapping windows as there are orders, a few days long and some over a year: cells are
-    found through the index of intervals."""
+    found through the index of intervals, in totals of cells."""
     days = F.when(F.col("o_orderkey") % 97 == 0, 400).otherwise(1 + F.col("o_orderkey") % 5).cast("int")
     watches = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("watch"), F.timestamp_add("DAY", F.lit(-1), "o_orderdate").alias("opens"),
         F.timestamp_add("DAY", days, "o_orderdate").alias("closes"))
     pings = table(spark, sf, "lineitem").select("l_shipdate", "l_quantity")
-    j = R.interval_join(pings, watches, "l_shipdate", "l_shipdate", "opens", "closes")
-    return j.groupBy("watch").agg(F.count(F.lit(1)).alias("pings"), F.min("l_shipdate").alias("first_ping"), F.sum("l_quantity").alias("quantity"))
+    j = R.interval_join(pings, watches, "l_shipdate", "l_shipdate", "opens", "closes", totals={
+        "pings": (F.lit(1), "sum"), "first_ping": (F.col("l_shipdate"), "min"), "quantity": (F.col("l_quantity"), "sum")})
+    return j.groupBy("watch").agg(F.sum("pings").alias("pings"), F.min("first_ping").alias("first_ping"), F.sum("quantity").alias("quantity"))

@@ -65,3 +65,35 @@ def test_plans(spark):
     assert "BroadcastNestedLoopJoin BuildRight" in plan
     n = interval_join(li, bounds.filter("id < 2000"), "lo", "hi", "s", "e").count()
     assert n == interval_join(li, bounds.filter("id < 2000"), "lo", "hi", "s", "e", few=10 ** 9).count()
+
+
+@pytest.mark.parametrize("kind", ["timestamp_ntz", "timestamp", "date", "double"])
+def test_totals_of_intervals(spark, kind):
+    """Clustered and repeated times before and after 1970, intervals from empty to longer than all."""
+    rnd = random.Random(9)
+    def at():
+        return rnd.choice([0, 0, 5, 10 ** 6, 86400 * 10 ** 6, rnd.randint(-50, 50), rnd.randint(-10 ** 9, 10 ** 9),
+                           rnd.randint(-10 ** 15, 10 ** 15), 86400 * 10 ** 6 * rnd.randint(-900, 900)])
+    def col(c):
+        micros = F.timestamp_add("MICROSECOND", F.col(c), F.lit("1970-01-01").cast("timestamp_ntz"))
+        return (F.col(c).cast("double") if kind == "double" else micros.cast(kind)).alias(c)
+    rows = [(at(), rnd.choice([None, 1.0, 2.0, 7.0])) for _ in range(1500)] + [(None, 1.0)] * 3
+    bounds = [(i % 250, s, s + rnd.choice([0, -1, 1, 2, 3, 60, 10 ** 6, 10 ** 10, 86400 * 10 ** 6 * 3, 10 ** 14, 10 ** 16])) for i, s in enumerate(at() for _ in range(300))]
+    bounds += [(900, None, 5), (901, 5, None)]
+    r = spark.createDataFrame(rows, "x long, q double").select(col("x"), "q")
+    b = spark.createDataFrame(bounds, "id long, s long, e long").select("id", col("s"), col("e"))
+    plain = interval_join(r, b, "x", "x", "s", "e", few=10 ** 9).groupBy("id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("first"), F.max("x").alias("last"), F.sum("q").alias("q"))
+    parts = interval_join(r, b, "x", "x", "s", "e", totals={
+        "n": (F.lit(1), "sum"), "first": (F.col("x"), "min"), "last": (F.col("x"), "max"), "q": (F.col("q"), "sum")})
+    got = parts.groupBy("id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("q").alias("q"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.collect())) and got.count() > 50
+
+
+def test_totals_do_not_grow_with_the_rows_of_an_interval(spark):
+    start = F.lit("2020-01-01").cast("timestamp_ntz")
+    rows = spark.range(20_000).select(F.timestamp_add("SECOND", F.col("id") * 37 % 10 ** 6, start).alias("x"))
+    bounds = spark.range(100).select("id", F.timestamp_add("SECOND", F.col("id"), start).alias("s"), F.timestamp_add("SECOND", F.col("id") + 900_000, start).alias("e"))
+    parts = interval_join(rows, bounds, "x", "x", "s", "e", totals={"n": (F.lit(1), "sum")})
+    assert parts.count() < 100 * 200
+    assert parts.agg(F.sum("n")).first()[0] == interval_join(rows, bounds, "x", "x", "s", "e").count() > 10 ** 6
