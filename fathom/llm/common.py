@@ -147,11 +147,11 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = stage(_both(edges.select(F.col("u").cast("long"), F.col("v").cast("long"))))
     while True:
-        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.when(F.col("v") < F.col("u"), 1)).alias("down"),
-                                 F.count(F.when(F.col("v") > F.col("u"), 1)).alias("up"))
+        low = stage(e.groupBy("u").agg(F.min("v").alias("m"), F.count(F.when(F.col("v") < F.col("u"), 1)).alias("down"),
+                                       F.count(F.when(F.col("v") > F.col("u"), 1)).alias("up")))
         if low.filter("down > 1 or (down > 0 and up > 0)").isEmpty():
             return low.select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
-        near = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        near = low.select("u", F.least("u", "m").alias("m"))
         large = e.filter("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         m = large.groupBy("u").agg(F.min("v").alias("m"))
         spokes = large.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -250,8 +250,9 @@ def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", *
     """The rows of ``docs`` less all but one of each component: the one of least id stays (of
     rows with that id, the one whose text hashes least). Documents without n-grams all stay."""
     g = near_duplicate_groups(docs, doc_id, text, **how)
-    stay = g.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))).alias("r")).filter(
-        "component is not null").select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__h"))
+    # written by itself: one plan for this and the documents keeps much more in the driver at once
+    stay = stage(g.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("th"))).alias("r")).filter(
+        "component is not null").select(F.col("r.doc_id").alias("__id"), F.col("r.th").alias("__h")))
     keyed = docs.withColumns({"__id0": F.col(doc_id).cast("long"), "__th0": F.xxhash64(text)})
     kept = keyed.join(stay, null_safe(keyed, stay, {"__id0": "__id", "__th0": "__h"})).dropDuplicates(["__id0", "__th0"]).select(*docs.columns)
     bare = docs.filter(~F.coalesce(F.col(text).rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
