@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm.common import read_table, slices
+from fathom.llm.common import gives_back, read_table, slices
 
 LEAF = 8192
 
@@ -128,13 +128,13 @@ def _mapped(df: DataFrame, column: str, new: dict[str, tuple[str, pa.DataType]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(shared.value, pattern, leaf)
-        for b in slices(batches, column):
+        for b in slices(batches, column, 1 << 19):
             got = list(zip(*[work(codec, v.as_py()) for v in b.column(b.schema.get_field_index(column))]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index(c)) for c in names] + [pa.array(v, t) for v, (_, t) in zip(got, new.values())],
                 [*names, *new])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(gives_back(run), schema)
 
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "ids", leaf: int = LEAF) -> DataFrame:

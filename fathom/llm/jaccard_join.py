@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm.common import (
-    components, drop_table, mix64, null_safe, read_table, slices, split_words, stage, stage_table, window_hashes, word_hashes)
+    components, drop_table, gives_back, mix64, null_safe, read_table, slices, split_words, stage, stage_table, window_hashes, word_hashes)
 
 SHINGLE, PERCENT = 5, 80
 #: N-grams are counted in CELLS hash cells; a cell over its fair share by FREQUENT documents (and two
 #: deviations of chance) counts as frequent. The odd cell that is over by chance does no harm.
 CELLS, FREQUENT = 1 << 20, 16
+#: Bytes of text that a task makes sets of at once: its arrays are many times as large.
+SLICE = 1 << 19
 #: Up to so many documents to look up are sent to all tasks (16 bytes each).
 BROADCAST_ROWS = 1 << 20
 
@@ -57,13 +59,13 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
 def _sets(df: DataFrame, text: str, k: int, row, schema: str, kinds: list[tuple[str, pa.DataType]], keep: list[str]) -> DataFrame:
     """``keep`` columns plus what ``row`` makes of each text's set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             got = [row(s) for s in shingle_sets(b.column(b.schema.get_field_index(text)), k)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(b.schema.get_field_index(c)) for c in keep] + [pa.array(v, t) for v, (_, t) in zip(zip(*got), kinds)],
                 [*keep, *[n for n, _ in kinds]])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(gives_back(run), schema)
 
 
 def frequent_cells(docs: DataFrame, text: str, k: int, frequent: int, cells: int) -> np.ndarray:
@@ -71,7 +73,7 @@ def frequent_cells(docs: DataFrame, text: str, k: int, frequent: int, cells: int
     task adds up its n-grams in one array, so what is shuffled doesn't depend on their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(cells, dtype=np.int64)
-        for b in slices(batches, text):
+        for b in slices(batches, text, SLICE):
             for s in shingle_sets(b.column(0), k):
                 np.add.at(sums, (s % np.uint64(cells)).astype(np.int64), 1)
         used = np.flatnonzero(sums)
@@ -79,7 +81,7 @@ def frequent_cells(docs: DataFrame, text: str, k: int, frequent: int, cells: int
             part = used[i:i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(sums[part])], ["cell", "c"])
 
-    counts = stage(docs.select(text).mapInArrow(run, "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")))
+    counts = stage(docs.select(text).mapInArrow(gives_back(run), "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c")))
     mean = (counts.agg(F.sum("c")).first()[0] or 0) / cells
     over = counts.filter(F.col("c") >= mean + max(frequent, 2 * mean ** 0.5)).select("cell").toArrow()
     flags = np.zeros(cells, dtype=bool)

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.common import read_table, slices, stage
+from fathom.llm.common import gives_back, read_table, slices, stage
 
 #: Bounds of the training sample and the model: documents per language, bytes of a document
 #: that may be in it, tree nodes. Model size is nodes * bytes seen * (4 + 4 * languages).
@@ -244,7 +244,7 @@ def predict(docs: DataFrame, model: ContextTrees, text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = ContextTrees(*pickle.loads(shared.value))
-        for b in slices(batches, text, 1 << 20):
+        for b in slices(batches, text, 1 << 18):
             data, off = flat_bytes(b.column(b.schema.get_field_index(text)))
             bits = trees.code_lengths(data, off)
             letters = np.array([bool(v and LETTER.search(v)) for v in b.column(b.schema.get_field_index(text)).to_pylist()], dtype=bool)
@@ -263,7 +263,7 @@ def predict(docs: DataFrame, model: ContextTrees, text: str = "text",
                    pa.array(rate, pa.float64(), mask=~known)]
                 + ([pa.array(excess(trees, limits, b.column(b.schema.get_field_index(text))))] if limits is not None else []), [*[f.name for f in keep], *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(gives_back(run), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,10 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from fathom.llm.common import components, slices, split_words, window_hashes, word_hashes
@@ -43,3 +48,49 @@ def test_components(spark):
     assert got == {x: want[x] for x in ids if any(x in e and len(e) > 1 for e in linked)}
     none = spark.createDataFrame([], "u long, v long")
     assert components(none).count() == 0 and components(none.withColumn("v", F.col("u"))).columns == ["node", "component"]
+
+
+IDLE_MB = """
+import re, sys
+from types import SimpleNamespace as N
+import numpy as np, pyarrow as pa
+import public_tokenizers as P
+from fathom.llm import bpe, jaccard_join, lang_id
+from fathom.llm.common import window_hashes
+
+def mb():
+    return int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+class Tasks(list):  # takes what is given to mapInArrow
+    schema, sparkSession = [], N(sparkContext=N(broadcast=lambda v: N(value=v)))
+    def mapInArrow(self, run, schema):
+        self.append(run)
+
+words = np.array([f"w{i:05d}" for i in range(50_000)])
+rng = np.random.default_rng(1)
+def batches(n=20):
+    for _ in range(n):
+        yield pa.record_batch([pa.array([" ".join(rng.choice(words, 1500)) for _ in range(400)])], ["text"])
+
+df = Tasks()
+if sys.argv[1] == "sets":
+    jaccard_join._sets(df, "text", 5, lambda s: (s.view(np.int64),), "s array<long>", [("s", pa.list_(pa.int64()))], [])
+else:
+    samples = {l: [" ".join(rng.choice(words[:9], 99)).encode() for _ in range(9)] for l in "abcd"}
+    lang_id.predict(df, lang_id.ContextTrees.fit(samples), limits=lang_id.letter_limits(samples))
+for _ in df[0](batches(1)):
+    pass
+import gc; gc.collect(); pa.default_memory_pool().release_unused()
+start = mb()
+for _ in df[0](batches(6)):
+    pass
+del _
+print(mb() - start)
+"""
+
+
+@pytest.mark.parametrize("task", ["sets", "lang"])
+def test_an_idle_worker_gives_back_the_memory_of_its_tasks(task):
+    got = subprocess.run([sys.executable, "-c", IDLE_MB, task], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert got.returncode == 0, got.stderr
+    assert float(got.stdout) < 6
